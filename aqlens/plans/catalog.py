@@ -249,3 +249,249 @@ def complete_defaults(spark, sf):
 def pm_repair(spark, sf):
     w = R.pollutant_rows(_readings(spark, sf))
     return w.select("city", "date", X.rnd(F.col("pm25")).alias("pm25"), X.rnd(F.col("pm10")).alias("pm10"), "pm_repaired")
+
+
+# ---------------------------------------------------------------------------
+# Dashboard (O-A1..A9, O-T1..T6, O-P2..P10)
+# ---------------------------------------------------------------------------
+_good = [f"good_{y}" for y in T.ORDER_YEARS]
+_bad = [f"bad_{y}" for y in T.ORDER_YEARS]
+_year_cols = ",\n         ".join(
+    f"CAST(count(*) FILTER (WHERE year(o.o_orderdate) = {y} AND o.o_totalprice {op} {O.dbl(T.ORDER_PRICE_CUT)}) AS INTEGER) AS {k}_{y}"
+    for y in T.ORDER_YEARS
+    for k, op in (("good", "<="), ("bad", ">"))
+)
+YEARLY = f"""yearly AS (
+  SELECT g.n_nationkey + 1 AS sl_no, g.state, g.city, {", ".join(f"p.{k}_{y}" for y in T.ORDER_YEARS for k in ("good", "bad"))}
+  FROM (SELECT c.c_nationkey AS nk,
+         {_year_cols}
+        FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey) p
+  JOIN geo g ON p.nk = g.n_nationkey)"""
+YEARLY_M = f"""ym AS (
+  SELECT *, CAST({" + ".join(f"coalesce({c}, 0)" for c in _good)} AS BIGINT) AS total_good_days,
+         CAST({" + ".join(f"coalesce({c}, 0)" for c in _bad)} AS BIGINT) AS total_bad_days
+  FROM yearly),
+ym2 AS (
+  SELECT *, total_good_days + total_bad_days AS total_days,
+         coalesce(CAST(total_good_days AS DOUBLE) / nullif(total_good_days + total_bad_days, 0) * 100, 0.0) AS good_pct
+  FROM ym)"""
+STATE_M = """city_state AS (SELECT DISTINCT city, state FROM geo),
+sdays AS (
+  SELECT s.state, o.city, CAST(count(*) FILTER (WHERE o.aqi <= 200) AS INTEGER) AS good_days,
+         CAST(count(*) FILTER (WHERE o.aqi > 200) AS INTEGER) AS bad_days
+  FROM overall o JOIN city_state s ON o.city = s.city GROUP BY s.state, o.city),
+sm AS (
+  SELECT *, coalesce(good_days, 0) + coalesce(bad_days, 0) AS total_days,
+         coalesce(CAST(coalesce(good_days, 0) AS DOUBLE) / nullif(coalesce(good_days, 0) + coalesce(bad_days, 0), 0) * 100, 0.0) AS good_pct,
+         50.0 + coalesce(CAST(coalesce(bad_days, 0) AS DOUBLE) / nullif(coalesce(good_days, 0) + coalesce(bad_days, 0), 0) * 300, 0.0) AS estimated_aqi
+  FROM sdays)"""
+
+
+def _yearly(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    return D.yearly_metrics(T.yearly_counts(spark, sf))
+
+
+def _state(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    return D.state_metrics(D.state_day_counts(_readings(spark, sf)))
+
+
+@query(
+    "city_good_bad",
+    O.final(
+        (O.GEO, YEARLY, YEARLY_M),
+        "SELECT city, sum(total_good_days) AS total_good_days, sum(total_bad_days) AS total_bad_days FROM ym2 GROUP BY city",
+        dates=(),
+    ),
+)
+def city_good_bad(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    return D.city_totals(_yearly(spark, sf)).select(
+        "city", F.col("total_good_days").cast("bigint").alias("total_good_days"), F.col("total_bad_days").cast("bigint").alias("total_bad_days")
+    )
+
+
+@query(
+    "row_percentage",
+    O.final(
+        (O.GEO, YEARLY, YEARLY_M),
+        f"SELECT sl_no, city, total_good_days, total_bad_days, total_days, {O.rnd('good_pct')} AS good_pct FROM ym2",
+        dates=(),
+    ),
+)
+def row_percentage(spark, sf):
+    y = _yearly(spark, sf)
+    return y.select("sl_no", "city", "total_good_days", "total_bad_days", "total_days", X.rnd(F.col("good_pct")).alias("good_pct"))
+
+
+@query(
+    "yearly_stats",
+    O.final(
+        (O.GEO, YEARLY, YEARLY_M),
+        f"""SELECT {O.rnd('avg(good_pct)')} AS mean_good_pct, sum(total_good_days) AS total_good_days,
+       sum(total_bad_days) AS total_bad_days FROM ym2""",
+        dates=(),
+    ),
+)
+def yearly_stats(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    s = D.overall_stats(_yearly(spark, sf))
+    return s.select(
+        X.rnd(F.col("mean_good_pct")).alias("mean_good_pct"),
+        F.col("total_good_days").cast("bigint").alias("total_good_days"),
+        F.col("total_bad_days").cast("bigint").alias("total_bad_days"),
+    )
+
+
+@query(
+    "state_metrics",
+    O.final(
+        (*O.DAILY, STATE_M),
+        f"""SELECT state, city, good_days, bad_days, total_days, {O.rnd('good_pct')} AS good_pct,
+       {O.rnd('estimated_aqi')} AS estimated_aqi FROM sm""",
+        dates=(),
+    ),
+)
+def state_metrics(spark, sf):
+    s = _state(spark, sf)
+    return s.select(
+        "state", "city", "good_days", "bad_days", "total_days",
+        X.rnd(F.col("good_pct")).alias("good_pct"), X.rnd(F.col("estimated_aqi")).alias("estimated_aqi"),
+    )
+
+
+@query(
+    "estimated_aqi_state_top10",
+    O.final(
+        (*O.DAILY, STATE_M),
+        f"""SELECT state, {O.rnd('m')} AS mean_estimated_aqi FROM
+(SELECT state, avg(estimated_aqi) AS m FROM sm GROUP BY state ORDER BY m DESC, state LIMIT 10)""",
+        dates=(),
+    ),
+)
+def estimated_aqi_state_top10(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    t = D.top_by_mean(_state(spark, sf), "state", "estimated_aqi", 10)
+    return t.select("state", X.rnd(F.col("mean_estimated_aqi")).alias("mean_estimated_aqi"))
+
+
+@query(
+    "good_pct_state_top10",
+    O.final(
+        (*O.DAILY, STATE_M),
+        f"""SELECT state, {O.rnd('m')} AS mean_good_pct FROM
+(SELECT state, avg(good_pct) AS m FROM sm GROUP BY state ORDER BY m DESC, state LIMIT 10)""",
+        dates=(),
+    ),
+)
+def good_pct_state_top10(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    t = D.top_by_mean(_state(spark, sf), "state", "good_pct", 10)
+    return t.select("state", X.rnd(F.col("mean_good_pct")).alias("mean_good_pct"))
+
+
+@query(
+    "national_tiles",
+    O.final(
+        O.BASE,
+        f"""SELECT count(*) AS n_rows, count(DISTINCT station) AS n_stations, count(DISTINCT state) AS n_states,
+       count(DISTINCT city) AS n_cities, {O.rnd('avg(value)')} AS mean_aqi, {O.rnd('max(value)')} AS max_aqi,
+       {O.fmt_ts('max(datetime)')} AS latest_update FROM norm""",
+        dates=(),
+    ),
+)
+def national_tiles(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    t = D.tiles(R.normalise(_readings(spark, sf)))
+    return t.withColumns({"mean_aqi": X.rnd(F.col("mean_aqi")), "max_aqi": X.rnd(F.col("max_aqi"))})
+
+
+@query(
+    "pollutant_frequency",
+    O.final(
+        O.BASE,
+        f"""SELECT pollutant_id, n, {O.rnd('100.0 * n / sum(n) OVER ()')} AS share_pct
+FROM (SELECT pollutant_id, count(*) AS n FROM norm GROUP BY pollutant_id)""",
+        dates=(),
+    ),
+)
+def pollutant_frequency(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    f = D.frequency(R.normalise(_readings(spark, sf)), "pollutant_id")
+    return f.select("pollutant_id", "n", X.rnd(F.col("share_pct")).alias("share_pct"))
+
+
+@query(
+    "latest_50",
+    O.final(
+        O.BASE,
+        f"""SELECT reading_id, state, city, station, pollutant_id, {O.rnd('value')} AS value, last_update
+FROM norm ORDER BY datetime DESC NULLS LAST, reading_id DESC LIMIT 50""",
+        dates=(),
+    ),
+)
+def latest_50(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    return D.latest(R.normalise(_readings(spark, sf)), 50).withColumn("value", X.rnd(F.col("value")))
+
+
+@query(
+    "distinct_options",
+    O.final(
+        O.BASE,
+        f"""SELECT DISTINCT 'state' AS kind, {O.strip('state')} AS value FROM readings WHERE length({O.strip('state')}) > 0
+UNION ALL
+SELECT DISTINCT 'city' AS kind, {O.strip('city')} AS value FROM readings WHERE length({O.strip('city')}) > 0""",
+        dates=(),
+    ),
+)
+def distinct_options(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    return D.distinct_options(_readings(spark, sf))
+
+
+FILTER_STATE = "ASIA"
+
+
+@query(
+    "filter_state_city",
+    O.final(
+        O.BASE,
+        f"""SELECT reading_id, state, city, station, pollutant, {O.rnd('value')} AS value
+FROM norm WHERE state = {O.q(FILTER_STATE)}""",
+        dates=(),
+    ),
+)
+def filter_state_city(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    f = D.filter_state_city(R.normalise(_readings(spark, sf)), state=FILTER_STATE, city=D.ALL)
+    return f.select("reading_id", "state", "city", "station", "pollutant", X.rnd(F.col("value")).alias("value"))
+
+
+@query(
+    "map_points",
+    O.final(
+        O.BASE,
+        f"""SELECT reading_id, lat, lon, state, city, station, pollutant_id, {O.rnd('value')} AS value,
+       {O.rnd('coalesce(value, 10.0)')} AS marker_value
+FROM norm WHERE lat IS NOT NULL AND lon IS NOT NULL""",
+        dates=(),
+    ),
+)
+def map_points(spark, sf):
+    from aqlens.operators import dashboard as D
+
+    m = D.map_points(R.normalise(_readings(spark, sf)))
+    return m.withColumns({"value": X.rnd(F.col("value")), "marker_value": X.rnd(F.col("marker_value"))})
