@@ -495,3 +495,142 @@ def map_points(spark, sf):
 
     m = D.map_points(R.normalise(_readings(spark, sf)))
     return m.withColumns({"value": X.rnd(F.col("value")), "marker_value": X.rnd(F.col("marker_value"))})
+
+
+# ---------------------------------------------------------------------------
+# Weather (O-S7, O-S8, O-J1, O-J2, O-J6, O-F25, O-F27, O-F28)
+# ---------------------------------------------------------------------------
+from aqlens.operators import weather as W  # noqa: E402
+
+_W = (*O.BASE, O.VALID, *O.weather_ctes())
+_WCOLS = ", ".join(f"{O.rnd(k)} AS weather_{k}" for k in K.DAILY_WEATHER_VARS)
+
+
+@query("weather_parse", O.final(_W, f"SELECT city, date, {_WCOLS} FROM wdaily"))
+def weather_parse(spark, sf):
+    p = W.parse_daily(T.daily_weather_docs(spark, sf))
+    return p.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in W.WEATHER_COLUMNS])
+
+
+@query(
+    "weather_join",
+    O.final(
+        (*_W, O.CONC, O.complete_cte()),
+        f"SELECT city, date, {_WIDE_COLS}, {_WCOLS} FROM wide JOIN wdaily USING (city, date)",
+    ),
+)
+def weather_join(spark, sf):
+    pol = R.complete(R.station_mean(_valid(spark, sf), ["city", "date"]), ["city", "date"])
+    wx = W.parse_daily(T.daily_weather_docs(spark, sf))
+    j = pol.join(wx, ["city", "date"], "inner")
+    return j.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in K.POLLUTANT_COLUMNS + W.WEATHER_COLUMNS])
+
+
+def _six(spark, sf):
+    return W.match_forecast_day(T.weather_requests(spark, sf), T.forecast_docs(spark, sf))
+
+
+_SIX = (*_W, *O.forecast_match_ctes())
+
+
+@query(
+    "weather_date_match",
+    O.final(
+        _SIX,
+        f"""SELECT city, date, {O.rnd('T')} AS T, {O.rnd('RH')} AS RH, {O.rnd('WS')} AS WS, {O.rnd('WD')} AS WD,
+       {O.rnd('RF')} AS RF, {O.rnd('BP')} AS BP, weather_matched FROM six""",
+    ),
+)
+def weather_date_match(spark, sf):
+    s = _six(spark, sf)
+    return s.select("city", "date", *[X.rnd(F.col(k)).alias(k) for k in K.WEATHER_KEY_DEFAULTS], "weather_matched")
+
+
+_SYN = {
+    "weather_temperature_2m_max": f"T + {O.dbl(K.SYNTH_TEMP_SPREAD)}",
+    "weather_temperature_2m_min": f"T - {O.dbl(K.SYNTH_TEMP_SPREAD)}",
+    "weather_temperature_2m_mean": "T",
+    "weather_relative_humidity_2m_max": f"least(CAST(100 AS DOUBLE), RH + {O.dbl(K.SYNTH_RH_SPREAD)})",
+    "weather_relative_humidity_2m_min": f"greatest(CAST(0 AS DOUBLE), RH - {O.dbl(K.SYNTH_RH_SPREAD)})",
+    "weather_relative_humidity_2m_mean": "RH",
+    "weather_precipitation_sum": "RF",
+    "weather_rain_sum": "RF",
+    "weather_snowfall_sum": "CAST(0 AS DOUBLE)",
+    "weather_wind_speed_10m_max": f"WS + {O.dbl(K.SYNTH_WIND_SPREAD)}",
+    "weather_wind_speed_10m_mean": "WS",
+    "weather_wind_direction_10m_dominant": "WD",
+    "weather_wind_gusts_10m_max": f"WS + {O.dbl(K.SYNTH_WIND_SPREAD)} + {O.dbl(K.SYNTH_GUST_EXTRA)}",
+    "weather_pressure_msl_mean": "BP",
+    "weather_sunshine_duration": O.dbl(K.SYNTH_SUNSHINE),
+}
+
+
+@query(
+    "weather_synth",
+    O.final(_SIX, "SELECT city, date, " + ", ".join(f"{O.rnd(v)} AS {k}" for k, v in _SYN.items()) + " FROM six"),
+)
+def weather_synth(spark, sf):
+    s = W.synthesise_daily(_six(spark, sf))
+    return s.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in _SYN])
+
+
+_unpivot = "\nUNION ALL\n".join(
+    f"SELECT city, date, {O.q(k)} AS key, {O.q(K.WEATHER_KEY_LABELS[k])} AS label, CAST({k} AS DOUBLE) AS value FROM six"
+    for k in K.WEATHER_KEY_DEFAULTS
+)
+
+
+@query(
+    "weather_display_map",
+    O.final(
+        _SIX,
+        f"SELECT city, date, key, label, {O.round1_half_even('value')} AS value FROM ({_unpivot}) WHERE value <> 0 OR key = 'T'",
+    ),
+)
+def weather_display_map(spark, sf):
+    return W.display_entries(_six(spark, sf))
+
+
+_city_rows = ", ".join(
+    "({}, {}, {}, {}, {})".format(
+        O.q(c), O.dbl(lat), O.dbl(lon),
+        O.q(K.CITY_INFO[c][2]) if c in K.CITY_INFO else "NULL",
+        O.q(K.CITY_INFO[c][3]) if c in K.CITY_INFO else "NULL",
+    )
+    for c, (lat, lon) in K.CITY_COORDINATES.items()
+)
+_dlat, _dlon = K.CITY_COORDINATES[K.DEFAULT_CITY]
+
+
+@query(
+    "city_lookup_default",
+    O.final(
+        (O.GEO, O.READINGS, f"dim(dim_city, dim_lat, dim_lon, dim_region, dim_population) AS (VALUES {_city_rows})"),
+        f"""SELECT c.city, coalesce(d.dim_lat, {O.dbl(_dlat)}) AS latitude, coalesce(d.dim_lon, {O.dbl(_dlon)}) AS longitude,
+       coalesce(d.dim_region, {O.q(K.CITY_INFO_DEFAULT[2])}) AS region, d.dim_population AS population,
+       d.dim_city IS NOT NULL AS known_city
+FROM (SELECT DISTINCT city FROM readings) c LEFT JOIN dim d ON c.city = d.dim_city""",
+        dates=(),
+    ),
+)
+def city_lookup_default(spark, sf):
+    cities = _readings(spark, sf).select("city").distinct()
+    return W.with_city_lookup(cities)
+
+
+TODAY = "2024-01-15"
+
+
+@query(
+    "date_class",
+    O.final(
+        (*O.BASE, O.VALID),
+        f"""SELECT date, CASE WHEN date < DATE '{TODAY}' THEN 'past' WHEN date = DATE '{TODAY}' THEN 'today' ELSE 'future' END AS date_class,
+       date BETWEEN DATE '{TODAY}' - INTERVAL 7 DAY AND DATE '{TODAY}' + INTERVAL 7 DAY AS in_window, count(*) AS n_readings
+FROM valid GROUP BY date""",
+    ),
+)
+def date_class(spark, sf):
+    v = _valid(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("n_readings"))
+    cls, inside = W.date_class(F.col("date"), TODAY)
+    return v.select("date", cls.alias("date_class"), inside.alias("in_window"), "n_readings")

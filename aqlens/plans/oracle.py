@@ -187,3 +187,47 @@ REPAIRED = """repaired AS (
   SELECT city, date, pm25, CASE WHEN pm10 < pm25 THEN pm25 * CAST('1.2' AS DOUBLE) ELSE pm10 END AS pm10,
          no, no2, nox, nh3, co, so2, o3, benzene, toluene, xylene, pm10 < pm25 AS pm_repaired
   FROM wide)"""
+
+
+def round1_half_even(x: str) -> str:
+    """SQL twin of operators.weather.round1_half_even (same IEEE steps)."""
+    a, b = f"(({x}) * CAST(8 AS DOUBLE))", f"(({x}) * CAST(2 AS DOUBLE))"
+    s = f"({a} + {b})"
+    bb = f"({s} - {a})"
+    e = f"(({a} - ({s} - {bb})) + ({b} - {bb}))"
+    fl = f"floor({s})"
+    tie = f"({s} - {fl} = 0.5)"
+    even = f"(CASE WHEN {fl} % 2 = 0 THEN {fl} ELSE {fl} + 1 END)"
+    r = f"(CASE WHEN {tie} AND {e} > 0 THEN {fl} + 1 WHEN {tie} AND {e} < 0 THEN {fl} WHEN {tie} THEN {even} ELSE round({s}) END)"
+    return f"({r} / CAST(10 AS DOUBLE))"
+
+
+def weather_ctes() -> tuple[str, ...]:
+    stats = """wstats AS (
+  SELECT city, date, min(value) AS vmin, max(value) AS vmax, avg(value) AS vavg, count(*) AS n
+  FROM valid GROUP BY city, date)"""
+    cols = ", ".join(f"CAST({f} AS DOUBLE) AS {k}" for k, f in T.WEATHER_FORMULAS.items())
+    daily = f"wdaily AS (SELECT city, date, {cols} FROM wstats)"
+    return (stats, daily)
+
+
+def forecast_match_ctes() -> tuple[str, ...]:
+    d = K.WEATHER_KEY_DEFAULTS
+    return (
+        f"""req AS (
+  SELECT DISTINCT city, date, CAST(date_trunc('week', date + INTERVAL {T.REQUEST_SHIFT_DAYS} DAY) AS DATE) AS doc_key FROM valid)""",
+        "wk AS (SELECT *, CAST(date_trunc('week', date) AS DATE) AS doc_key FROM wdaily)",
+        "firstday AS (SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY city, doc_key ORDER BY date) = 1)",
+        f"""six AS (
+  SELECT r.city, r.date,
+         coalesce((m.temperature_2m_max + m.temperature_2m_min) / 2, (f.temperature_2m_max + f.temperature_2m_min) / 2, {dbl(d['T'])}) AS T,
+         coalesce(m.relative_humidity_2m_max, f.relative_humidity_2m_max, {dbl(d['RH'])}) AS RH,
+         coalesce(m.wind_speed_10m_max, f.wind_speed_10m_max, {dbl(d['WS'])}) AS WS,
+         {dbl(d['WD'])} AS WD,
+         coalesce(m.precipitation_sum, f.precipitation_sum, {dbl(d['RF'])}) AS RF,
+         {dbl(d['BP'])} AS BP,
+         m.city IS NOT NULL AS weather_matched
+  FROM req r
+  LEFT JOIN wk m ON m.city = r.city AND m.doc_key = r.doc_key AND m.date = r.date
+  LEFT JOIN firstday f ON f.city = r.city AND f.doc_key = r.doc_key)""",
+    )

@@ -131,3 +131,79 @@ def yearly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_nation.join(geo, "n_nationkey").select(
         (F.col("n_nationkey") + 1).alias("sl_no"), "state", "city", *[a for y in ORDER_YEARS for a in (f"good_{y}", f"bad_{y}")]
     )
+
+
+# TEST DATA MAPPING: daily weather per (city, date) from the statistics of
+# that day's valid readings (vmin, vmax, vavg, n).  Written as SQL text so
+# the Spark derivation and the oracle use the very same formulas.
+WEATHER_FORMULAS = {
+    "temperature_2m_max": "20 + vmax / 50",
+    "temperature_2m_min": "10 + vmin / 50",
+    "temperature_2m_mean": "15 + vavg / 50",
+    "relative_humidity_2m_max": "least(100, 40 + vmax / 10)",
+    "relative_humidity_2m_min": "20 + vmin / 10",
+    "relative_humidity_2m_mean": "30 + vavg / 10",
+    "precipitation_sum": "vmin",
+    "rain_sum": "vmin",
+    "snowfall_sum": "CAST(0 AS DOUBLE)",
+    "wind_speed_10m_max": "vmax / 20",
+    "wind_speed_10m_mean": "vavg / 20",
+    "wind_direction_10m_dominant": "CAST((n * 10) % 360 AS DOUBLE)",
+    "wind_gusts_10m_max": "vmax / 15",
+    "pressure_msl_mean": "1000 + vavg / 20",
+    "sunshine_duration": "CAST(3600 * n AS DOUBLE)",
+}
+# A forecast document covers one city-week (Monday start); a request for a
+# date reads the document of the week that starts nearest to it, so dates
+# late in a week miss and fall back to the document's first day.
+REQUEST_SHIFT_DAYS = 3
+
+
+def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(city, date, <15 variables>) derived from the readings."""
+    from aqlens.operators.readings import normalise, valid
+
+    v = valid(normalise(readings(spark, sf_dir)))
+    stats = v.groupBy("city", "date").agg(
+        F.min("value").alias("vmin"), F.max("value").alias("vmax"), F.avg("value").alias("vavg"), F.count(F.lit(1)).alias("n")
+    )
+    return stats.select("city", "date", *[F.expr(f).cast("double").alias(k) for k, f in WEATHER_FORMULAS.items()])
+
+
+def daily_weather_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed archive documents: (city, date, payload JSON text)."""
+    w = daily_weather(spark, sf_dir)
+    daily = F.struct(
+        F.array(F.date_format("date", "yyyy-MM-dd")).alias("time"), *[F.array(F.col(k)).alias(k) for k in WEATHER_FORMULAS]
+    )
+    return w.select("city", "date", F.to_json(F.struct(daily.alias("daily"))).alias("payload"))
+
+
+def forecast_docs(spark: SparkSession, sf_dir: str, variables=None) -> DataFrame:
+    """Landed forecast documents, one per (city, week): (city, doc_key, payload).
+    A document holds at most seven days, so the grouped list is bounded."""
+    from aqlens.operators.weather import FORECAST_VARS
+
+    variables = variables or FORECAST_VARS
+    w = daily_weather(spark, sf_dir).withColumn("doc_key", F.to_date(F.date_trunc("week", F.col("date"))))
+    days = w.groupBy("city", "doc_key").agg(
+        F.array_sort(F.collect_list(F.struct(F.date_format("date", "yyyy-MM-dd").alias("time"), *[F.col(v) for v in variables]))).alias("d")
+    )
+    def field(name):
+        return lambda x: x[name]
+
+    daily = F.struct(*[F.transform("d", field(v)).alias(v) for v in ["time", *variables]])
+    return days.select("city", "doc_key", F.to_json(F.struct(daily.alias("daily"))).alias("payload"))
+
+
+def weather_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (city, date) pairs of the readings, with the document they name."""
+    from aqlens.operators.readings import normalise, valid
+
+    v = valid(normalise(readings(spark, sf_dir))).select("city", "date").distinct()
+    return v.select(
+        "city",
+        "date",
+        F.date_format("date", "yyyy-MM-dd").alias("date_text"),
+        F.to_date(F.date_trunc("week", F.date_add("date", REQUEST_SHIFT_DAYS))).alias("doc_key"),
+    )
