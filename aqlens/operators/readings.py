@@ -149,3 +149,10 @@ def pollutant_rows(
     """Clean live readings to one complete, repaired 12-pollutant row per entity."""
     v = valid(normalise(readings, missing_as_zero))
     return pm_repair(complete(combine(v, list(keys), method), list(keys)))
+
+
+def pivot_wide(combined: DataFrame, keys: Sequence[str], pollutants: Sequence[str] = tuple(K.POLLUTANT_NAMES)) -> DataFrame:
+    """Wide row per entity with the listed pollutants, null where absent."""
+    return combined.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("pollutant") == p, F.col("value"))).alias(K.COLUMN_OF[p]) for p in pollutants]
+    )

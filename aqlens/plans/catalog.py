@@ -634,3 +634,353 @@ def date_class(spark, sf):
     v = _valid(spark, sf).groupBy("date").agg(F.count(F.lit(1)).alias("n_readings"))
     cls, inside = W.date_class(F.col("date"), TODAY)
     return v.select("date", cls.alias("date_class"), inside.alias("in_window"), "n_readings")
+
+
+# ---------------------------------------------------------------------------
+# Quality (O-A10, O-A12, O-A23, O-P15, O-F13, O-F23, O-F24)
+# ---------------------------------------------------------------------------
+from aqlens.operators import activity as Ac  # noqa: E402
+from aqlens.operators import features as Fe  # noqa: E402
+from aqlens.operators import quality as Q  # noqa: E402
+from aqlens.plans import daily as Dy  # noqa: E402
+
+_PROFILE_COLS = ["pollutant_id", "pollutant", "value", "value_min", "value_max", "datetime", "lat", "lon"]
+
+
+@query(
+    "null_profile",
+    O.final(
+        O.BASE,
+        "\nUNION ALL\n".join(
+            f"SELECT {O.q(c)} AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_null, count(*) AS n_rows FROM norm"
+            for c in _PROFILE_COLS
+        ),
+        dates=(),
+    ),
+)
+def null_profile(spark, sf):
+    return Q.null_profile(R.normalise(_readings(spark, sf)), _PROFILE_COLS)
+
+
+_bounds = O.case("pollutant", {p: O.dbl(v) for p, v in K.INPUT_BOUNDS.items()}, raw_values=True)
+
+
+@query(
+    "bounds_check",
+    O.final(
+        O.BASE,
+        f"""SELECT pollutant, count(*) AS n,
+       count(*) FILTER (WHERE value BETWEEN 0 AND {_bounds}) AS n_in_bounds,
+       count(*) FILTER (WHERE NOT (value BETWEEN 0 AND {_bounds})) AS n_out_of_bounds
+FROM norm GROUP BY pollutant""",
+        dates=(),
+    ),
+)
+def bounds_check(spark, sf):
+    return Q.bounds_summary(R.normalise(_readings(spark, sf)))
+
+
+def _sanity_sql() -> str:
+    lo, hi = O.expected("pm25", 0), O.expected("pm25", 1)
+    tol = K.SANITY_TOLERANCE
+    est = O.linear("pm25")
+    issues = [
+        f"CASE WHEN aqi < ({lo}) - {tol} THEN 'AQI_FAR_BELOW' WHEN aqi > ({hi}) + {tol} THEN 'AQI_FAR_ABOVE' END",
+    ]
+    warns = [
+        f"CASE WHEN aqi >= ({lo}) - {tol} AND aqi <= ({hi}) + {tol} AND NOT (aqi BETWEEN ({lo}) AND ({hi})) THEN 'AQI_OUTSIDE_TYPICAL' END",
+        "CASE WHEN pm10 > 0 AND pm25 > 0 AND pm10 < pm25 THEN 'PM10_BELOW_PM25' END",
+        f"CASE WHEN no2 > {K.NO2_WARN} THEN 'NO2_HIGH' END",
+        f"CASE WHEN so2 > {K.SO2_WARN} THEN 'SO2_HIGH' END",
+        f"CASE WHEN pm25 > 0 AND abs(aqi - {est}) > {K.LINEAR_MAX_DIFF} THEN 'LINEAR_GAP' END",
+    ]
+    n_i = " + ".join(f"(CASE WHEN ({x}) IS NOT NULL THEN 1 ELSE 0 END)" for x in issues)
+    n_w = " + ".join(f"(CASE WHEN ({x}) IS NOT NULL THEN 1 ELSE 0 END)" for x in warns)
+    return f"""SELECT city, date, {O.rnd('pm25')} AS pm25, aqi, {lo} AS expected_lo, {hi} AS expected_hi,
+       CAST({n_i} AS INTEGER) AS n_issues, CAST({n_w} AS INTEGER) AS n_warnings, ({n_i}) = 0 AS is_reasonable,
+       concat_ws(',', {", ".join(issues + warns)}) AS codes
+FROM drows"""
+
+
+@query("sanity_check", O.final(O.daily_rows_ctes(), _sanity_sql()))
+def sanity_check(spark, sf):
+    s = Q.sanity(Dy.daily_rows(spark, sf))
+    return s.select(
+        "city", "date", X.rnd(F.col("pm25")).alias("pm25"), "aqi", "expected_lo", "expected_hi", "n_issues", "n_warnings",
+        "is_reasonable", F.concat_ws(",", F.concat("issues", "warnings")).alias("codes"),
+    )
+
+
+@query(
+    "linear_estimate",
+    O.final(
+        O.daily_rows_ctes(),
+        f"""SELECT city, date, {O.rnd('pm25')} AS pm25, aqi, {O.rnd(O.linear('pm25'))} AS estimate,
+       {O.rnd(f"abs(aqi - {O.linear('pm25')})")} AS gap, pm25 > 0 AND abs(aqi - {O.linear('pm25')}) > {K.LINEAR_MAX_DIFF} AS gap_flag
+FROM drows""",
+    ),
+)
+def linear_estimate(spark, sf):
+    s = Q.linear_check(Dy.daily_rows(spark, sf))
+    return s.select(
+        "city", "date", X.rnd(F.col("pm25")).alias("pm25"), "aqi", X.rnd(F.col("estimate")).alias("estimate"),
+        X.rnd(F.col("gap")).alias("gap"), "gap_flag",
+    )
+
+
+# ---------------------------------------------------------------------------
+# Features (O-F7..F9, O-W1, O-F26, O-A11, O-P12, O-A18, O-M4)
+# ---------------------------------------------------------------------------
+@query(
+    "calendar_features",
+    O.final(
+        O.daily_rows_ctes(),
+        f"""SELECT city, date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+       CAST(dayofyear(date) AS INTEGER) AS day_of_year, {O.season_name('month(date)')} AS season,
+       {O.season_code('month(date)')} AS season_encoded FROM drows""",
+    ),
+)
+def calendar_features(spark, sf):
+    c = Fe.calendar(Dy.daily_rows(spark, sf))
+    return c.select("city", "date", "year", "month", "day_of_year", "season", "season_encoded")
+
+
+@query(
+    "reading_time_parts",
+    O.final(
+        O.BASE,
+        """SELECT reading_id, CAST(hour(datetime) AS INTEGER) AS hour, CAST(day(datetime) AS INTEGER) AS day,
+       CAST(month(datetime) AS INTEGER) AS month FROM norm""",
+        dates=(),
+    ),
+)
+def reading_time_parts(spark, sf):
+    return R.normalise(_readings(spark, sf)).select("reading_id", "hour", "day", "month")
+
+
+@query(
+    "category_codes",
+    O.final(
+        (*O.daily_rows_ctes(), "codes AS (SELECT city AS c, CAST(dense_rank() OVER (ORDER BY city) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT city FROM drows))"),
+        "SELECT city, date, coalesce(code, -1) AS city_encoded FROM drows LEFT JOIN codes ON city = c",
+    ),
+)
+def category_codes(spark, sf):
+    return Fe.with_codes(Dy.daily_rows(spark, sf), ["city"]).select("city", "date", "city_encoded")
+
+
+_raw_ids = sorted(set(T.EVENT_POLLUTANT.values()))
+
+
+@query(
+    "one_hot",
+    O.final(
+        O.BASE,
+        "SELECT reading_id, "
+        + ", ".join(f"coalesce(pollutant_id = {O.q(v)}, false) AS {Fe.one_hot_name('pollutant', v)}" for v in _raw_ids)
+        + " FROM norm",
+        dates=(),
+    ),
+)
+def one_hot(spark, sf):
+    n = R.normalise(_readings(spark, sf))
+    values = Fe.distinct_values(n, "pollutant_id")
+    oh = Fe.one_hot(n, "pollutant_id", "pollutant", values)
+    return oh.select("reading_id", *[Fe.one_hot_name("pollutant", v) for v in values])
+
+
+_OBS = [K.COLUMN_OF[p] for p in sorted(set(K.POLLUTANT_ALIASES[v.upper()] for v in T.EVENT_POLLUTANT.values()))]
+_OBS_SQL = ", ".join(f"max(CASE WHEN pollutant = {O.q(p)} THEN value END) AS {K.COLUMN_OF[p]}" for p in K.POLLUTANT_NAMES if K.COLUMN_OF[p] in _OBS)
+_OBS_CTE = f"obs AS (SELECT city, date, {_OBS_SQL} FROM conc GROUP BY city, date)"
+
+
+def _obs(spark, sf):
+    pols = [p for p in K.POLLUTANT_NAMES if K.COLUMN_OF[p] in _OBS]
+    return R.pivot_wide(R.station_mean(_valid(spark, sf), ["city", "date"]), ["city", "date"], pols)
+
+
+@query(
+    "median_impute",
+    O.final(
+        (*O.BASE, O.VALID, O.CONC, _OBS_CTE),
+        "SELECT city, date, " + ", ".join(f"{O.rnd(f'coalesce({c}, (SELECT median({c}) FROM obs))')} AS {c}" for c in _OBS) + " FROM obs",
+    ),
+)
+def median_impute(spark, sf):
+    m = Fe.median_impute(_obs(spark, sf), _OBS)
+    return m.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in _OBS])
+
+
+@query(
+    "mean_impute",
+    O.final(
+        (*O.BASE, O.VALID, O.CONC, _OBS_CTE),
+        "SELECT city, date, " + ", ".join(f"{O.rnd(f'coalesce({c}, (SELECT avg({c}) FROM obs))')} AS {c}" for c in _OBS) + " FROM obs",
+    ),
+)
+def mean_impute(spark, sf):
+    m = Fe.mean_impute(_obs(spark, sf), _OBS, K.TARGET_DEFAULTS)
+    return m.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in _OBS])
+
+
+def _aligned(spark, sf):
+    return Fe.align(Dy.scoring_table(spark, sf), Dy.FEATURES_AQI, keep=["city", "date"])
+
+
+_ALIGN_CTES = (
+    *O.daily_rows_ctes(), *O.weather_ctes(), *O.forecast_match_ctes(),
+    "syn AS (SELECT city, date, " + ", ".join(f"{v} AS {k}" for k, v in _SYN.items()) + " FROM six)",
+    f"""aligned AS (
+  SELECT d.city, d.date, {", ".join(f"CAST(d.{c} AS DOUBLE) AS {c}" for c in K.POLLUTANT_COLUMNS)},
+         {", ".join(f"CAST(s.{c} AS DOUBLE) AS {c}" for c in W.WEATHER_COLUMNS)},
+         CAST(year(d.date) AS DOUBLE) AS year, CAST(month(d.date) AS DOUBLE) AS month,
+         CAST(dayofyear(d.date) AS DOUBLE) AS day_of_year, CAST({O.season_code('month(d.date)')} AS DOUBLE) AS season_encoded,
+         CAST(0 AS DOUBLE) AS city_encoded
+  FROM drows d JOIN syn s ON d.city = s.city AND d.date = s.date)""",
+)
+
+
+@query(
+    "feature_align",
+    O.final(_ALIGN_CTES, "SELECT city, date, " + ", ".join(f"{O.rnd(c)} AS {c}" for c in Dy.FEATURES_AQI) + " FROM aligned"),
+)
+def feature_align(spark, sf):
+    a = _aligned(spark, sf)
+    return a.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in Dy.FEATURES_AQI])
+
+
+@query(
+    "zero_feature_count",
+    O.final(
+        _ALIGN_CTES,
+        "SELECT city, date, CAST(" + " + ".join(f"(CASE WHEN {c} = 0 THEN 1 ELSE 0 END)" for c in Dy.FEATURES_AQI)
+        + f" AS INTEGER) AS n_zero, CAST({len(Dy.FEATURES_AQI)} - ("
+        + " + ".join(f"(CASE WHEN {c} = 0 THEN 1 ELSE 0 END)" for c in Dy.FEATURES_AQI) + ") AS INTEGER) AS n_nonzero FROM aligned",
+    ),
+)
+def zero_feature_count(spark, sf):
+    a = _aligned(spark, sf)
+    z = Fe.zero_count(Dy.FEATURES_AQI)
+    return a.select("city", "date", z.cast("int").alias("n_zero"), (F.lit(len(Dy.FEATURES_AQI)) - z).cast("int").alias("n_nonzero"))
+
+
+_KEY_SQL = "city || '|' || strftime(date, '%Y-%m-%d')"
+
+
+@query(
+    "hash_split",
+    O.final(
+        O.daily_rows_ctes(),
+        f"SELECT city, date, {O.split_bucket(_KEY_SQL)} AS bucket, {O.split_bucket(_KEY_SQL)} < 20 AS is_test FROM drows",
+    ),
+)
+def hash_split(spark, sf):
+    d = Dy.daily_rows(spark, sf)
+    return d.select("city", "date", Fe.split_bucket("city", "date").alias("bucket"), (Fe.split_bucket("city", "date") < 20).alias("is_test"))
+
+
+# ---------------------------------------------------------------------------
+# Metrics (O-A21, O-A22): the PM2.5-only estimate judged on the test split
+# ---------------------------------------------------------------------------
+from aqlens.plans import models as M  # noqa: E402
+
+_TEST = f"scored AS (SELECT CAST(aqi AS DOUBLE) AS y, {O.linear('pm25')} AS p FROM drows WHERE {O.split_bucket(_KEY_SQL)} < 20)"
+
+
+@query(
+    "regression_metrics",
+    O.final(
+        (*O.daily_rows_ctes(), _TEST),
+        f"""SELECT count(*) AS n,
+       {O.rnd('1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*))')} AS r2,
+       {O.rnd('avg(abs(y - p))')} AS mae FROM scored""",
+        dates=(),
+    ),
+)
+def regression_metrics(spark, sf):
+    d = Fe.with_split(Dy.daily_rows(spark, sf), ["city", "date"]).filter("is_test")
+    s = d.select(F.col("aqi").cast("double").alias("y"), X.linear_estimate(F.col("pm25")).alias("p"))
+    m = M.regression_metrics(s, "y", "p")
+    return m.select("n", X.rnd(F.col("r2")).alias("r2"), X.rnd(F.col("mae")).alias("mae"))
+
+
+@query(
+    "classification_metrics",
+    O.final(
+        (
+            *O.daily_rows_ctes(),
+            _TEST,
+            f"cats AS (SELECT {O.category('y')} AS yc, {O.category('p')} AS pc FROM scored)",
+            """per_class AS (
+  SELECT c, sum(is_true) AS support, sum(1 - is_true) AS predicted, sum(is_true * hit) AS tp FROM (
+    SELECT yc AS c, 1 AS is_true, CASE WHEN yc = pc THEN 1 ELSE 0 END AS hit FROM cats
+    UNION ALL SELECT pc AS c, 0 AS is_true, CASE WHEN yc = pc THEN 1 ELSE 0 END AS hit FROM cats) GROUP BY c)""",
+        ),
+        f"""SELECT (SELECT count(*) FROM cats) AS n,
+       {O.rnd('(SELECT avg(CASE WHEN yc = pc THEN 1.0 ELSE 0.0 END) FROM cats)')} AS accuracy,
+       {O.rnd('sum(support * (2.0 * tp / (support + predicted))) / sum(support)')} AS f1_weighted FROM per_class""",
+        dates=(),
+    ),
+)
+def classification_metrics(spark, sf):
+    d = Fe.with_split(Dy.daily_rows(spark, sf), ["city", "date"]).filter("is_test")
+    c = d.select(X.aqi_category(F.col("aqi")).alias("y"), X.aqi_category(X.linear_estimate(F.col("pm25"))).alias("p"))
+    m = M.classification_metrics(c, "y", "p")
+    return m.select("n", X.rnd(F.col("accuracy")).alias("accuracy"), X.rnd(F.col("f1_weighted")).alias("f1_weighted"))
+
+
+# ---------------------------------------------------------------------------
+# Activity (O-A16, O-W2, O-F31, O-F33) and fills (O-P17)
+# ---------------------------------------------------------------------------
+_ACT = f"""act AS (
+  SELECT 'S' || CAST(user_id AS VARCHAR) AS session_id, ts AS timestamp, {O.case('event_type', T.EVENT_ACTIVITY)} AS event_type,
+         event_id AS seq, CASE WHEN event_type = 'error' THEN 'E' || CAST(event_id AS VARCHAR) END AS error
+  FROM events)"""
+
+
+@query(
+    "session_summary",
+    O.final(
+        (_ACT,),
+        "SELECT session_id, "
+        + ", ".join(f"count(*) FILTER (WHERE event_type = {O.q(k)}) AS n_{k.lower()}" for k in K.EVENT_KINDS)
+        + f""", count(*) AS n_total, count(error) AS n_error_records, {O.fmt_ts('min(timestamp)')} AS start_time,
+       {O.fmt_ts('max(timestamp)')} AS end_time,
+       {O.rnd('(epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1000000.0')} AS duration_seconds
+FROM act GROUP BY session_id""",
+        dates=(),
+    ),
+)
+def session_summary(spark, sf):
+    s = Ac.session_summary(T.activity_log(spark, sf))
+    return s.withColumn("duration_seconds", X.rnd(F.col("duration_seconds")))
+
+
+@query(
+    "last_five",
+    O.final(
+        (_ACT,),
+        f"""SELECT session_id, seq, {O.fmt_ts('timestamp')} AS timestamp, event_type, CAST(rk AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, seq DESC) AS rk FROM act)
+WHERE rk <= {K.LAST_N_PREDICTIONS}""",
+        dates=(),
+    ),
+)
+def last_five(spark, sf):
+    return Ac.last_n(T.activity_log(spark, sf)).select("session_id", "seq", "timestamp", "event_type", "rank")
+
+
+@query(
+    "constant_fill",
+    O.final(
+        O.BASE,
+        f"""SELECT reading_id, {O.rnd('coalesce(value, 0)')} AS aqi,
+       coalesce({O.category('value')}, {O.q(K.CATEGORY_FILL)}) AS category FROM norm""",
+        dates=(),
+    ),
+)
+def constant_fill(spark, sf):
+    n = R.normalise(_readings(spark, sf)).select("reading_id", F.col("value").alias("aqi"))
+    n = n.withColumn("category", X.aqi_category(F.col("aqi")))
+    f = n.fillna({"aqi": 0.0, "category": K.CATEGORY_FILL})
+    return f.select("reading_id", X.rnd(F.col("aqi")).alias("aqi"), "category")

@@ -21,8 +21,11 @@ def dbl(x: float) -> str:
     return f"CAST({q(repr(float(x)))} AS DOUBLE)"
 
 
-def case(expr: str, mapping: dict, default: str | None = None) -> str:
-    parts = " ".join(f"WHEN {expr} = {q(k) if isinstance(k, str) else k} THEN {q(v) if isinstance(v, str) else v}" for k, v in mapping.items())
+def case(expr: str, mapping: dict, default: str | None = None, raw_values: bool = False) -> str:
+    def val(v):
+        return v if raw_values or not isinstance(v, str) else q(v)
+
+    parts = " ".join(f"WHEN {expr} = {q(k) if isinstance(k, str) else k} THEN {val(v)}" for k, v in mapping.items())
     return f"CASE {parts} ELSE {default if default is not None else 'NULL'} END"
 
 
@@ -231,3 +234,23 @@ def forecast_match_ctes() -> tuple[str, ...]:
   LEFT JOIN wk m ON m.city = r.city AND m.doc_key = r.doc_key AND m.date = r.date
   LEFT JOIN firstday f ON f.city = r.city AND f.doc_key = r.doc_key)""",
     )
+
+
+def overall_wide(prefix: str = "") -> str:
+    subs = ", ".join(sub_index_for(p, f"{prefix}{K.COLUMN_OF[p]}") for p in K.AQI_BREAKPOINTS)
+    return f"coalesce(greatest({subs}), {K.AQI_WHEN_NO_POLLUTANT})"
+
+
+DAILY_ROWS = f"""drows AS (SELECT *, {overall_wide()} AS aqi FROM repaired)"""
+
+
+def daily_rows_ctes() -> tuple[str, ...]:
+    return (*BASE, VALID, CONC, complete_cte(), REPAIRED, DAILY_ROWS)
+
+
+def linear(pm25: str) -> str:
+    return f"({dbl(K.LINEAR_SLOPE)} * {pm25} + {dbl(K.LINEAR_INTERCEPT)})"
+
+
+def split_bucket(key: str) -> str:
+    return f"CAST(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) % 100 AS INTEGER)"
