@@ -984,3 +984,45 @@ def constant_fill(spark, sf):
     n = n.withColumn("category", X.aqi_category(F.col("aqi")))
     f = n.fillna({"aqi": 0.0, "category": K.CATEGORY_FILL})
     return f.select("reading_id", X.rnd(F.col("aqi")).alias("aqi"), "category")
+
+
+# ---------------------------------------------------------------------------
+# Models (O-M1..M11, O-A17, O-A19, O-T3, O-S10): forests get a rows-only check
+# ---------------------------------------------------------------------------
+from aqlens.plans import training as Tr  # noqa: E402
+
+
+@query("forest_aqi")
+def forest_aqi(spark, sf):
+    """Single-target AQI forest on features A; R^2 and MAE on the test split."""
+    m = Tr.aqi_forest(spark, sf).metrics
+    return m.select("target", "n", X.rnd(F.col("r2")).alias("r2"), X.rnd(F.col("mae")).alias("mae"))
+
+
+@query("forest_six_targets")
+def forest_six_targets(spark, sf):
+    """One forest per target pollutant; per-target and macro-mean metrics."""
+    m = Tr.with_overall(Tr.six_target_forest(spark, sf).metrics)
+    return m.select("target", "n", X.rnd(F.col("r2")).alias("r2"), X.rnd(F.col("mae")).alias("mae"))
+
+
+@query("forest_category")
+def forest_category(spark, sf):
+    """AQI regressor and category classifier on the live-reading features."""
+    m = Tr.category_models(spark, sf)
+    return m.select("n", *[X.rnd(F.col(c)).alias(c) for c in ("reg_r2", "reg_mae", "clf_f1", "clf_acc")])
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    """Top 10 features by importance averaged over the six targets."""
+    fit = Tr.six_target_forest(spark, sf)
+    top = M.mean_importance(M.importance_table(spark, fit), 10)
+    return top.select("feature", X.rnd(F.col("avg_importance")).alias("avg_importance"))
+
+
+@query("batch_score")
+def batch_score(spark, sf):
+    """Saved, reloaded six-target model scoring every city-day."""
+    s = Tr.batch_score(spark, sf)
+    return s.select(*[X.rnd(F.col(c)).alias(c) if c.startswith("pred_") else F.col(c) for c in s.columns])
