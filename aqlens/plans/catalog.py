@@ -1026,3 +1026,80 @@ def batch_score(spark, sf):
     """Saved, reloaded six-target model scoring every city-day."""
     s = Tr.batch_score(spark, sf)
     return s.select(*[X.rnd(F.col(c)).alias(c) if c.startswith("pred_") else F.col(c) for c in s.columns])
+
+
+# ---------------------------------------------------------------------------
+# Sources, sinks and streaming (O-S4, O-S6, O-S9, O-U1, O-X1, O-X2)
+# ---------------------------------------------------------------------------
+from aqlens.session import scratch_path  # noqa: E402
+from aqlens.sources import files as Fs  # noqa: E402
+from aqlens.streaming import ingest as Sx  # noqa: E402
+
+
+@query(
+    "union_pages",
+    O.final(O.BASE, f"SELECT reading_id, state, city, station, pollutant, {O.rnd('value')} AS value FROM norm", dates=()),
+)
+def union_pages(spark, sf):
+    """Readings landed as JSON pages (many files), read back as one table."""
+    path = scratch_path(spark, "pages")
+    Fs.write_pages(_readings(spark, sf), path)
+    n = R.normalise(Fs.read_pages(spark, path))
+    return n.select("reading_id", "state", "city", "station", "pollutant", X.rnd(F.col("value")).alias("value"))
+
+
+@query(
+    "city_day_csv",
+    O.final(
+        O.daily_rows_ctes(),
+        f"SELECT city, date, {_WIDE_COLS}, CAST(aqi AS DOUBLE) AS aqi FROM drows",
+    ),
+)
+def city_day_csv(spark, sf):
+    """Daily city table written as CSV with the application's headers, read
+    back with its schema, incomplete rows dropped."""
+    d = Dy.daily_rows(spark, sf)
+    out = d.select(
+        F.col("city").alias("City"), F.date_format("date", "yyyy-MM-dd").alias("Date"),
+        *[F.col(K.COLUMN_OF[p]).alias(p) for p in K.POLLUTANT_NAMES], F.col("aqi").cast("double").alias("AQI"),
+    )
+    path = scratch_path(spark, "city_day_csv")
+    Fs.write_table(out, path, fmt="csv")
+    back = Fs.read_city_day_csv(spark, path)
+    return back.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in K.POLLUTANT_COLUMNS], "aqi")
+
+
+@query(
+    "stream_dedupe",
+    O.final(O.BASE, "SELECT DISTINCT station, pollutant_id, last_update FROM readings", dates=()),
+)
+def stream_dedupe(spark, sf):
+    """Every page delivered twice; the stream keeps one row per key."""
+    root = scratch_path(spark, "stream")
+    readings = _readings(spark, sf)
+    Fs.write_pages(readings, f"{root}/landing/copy1")
+    Fs.write_pages(readings, f"{root}/landing/copy2")
+    stream = Sx.deduplicated(Sx.page_stream(spark, f"{root}/landing/*"))
+    Sx.run_available(stream.select(*Sx.DEDUPE_KEYS, "event_time"), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select(*Sx.DEDUPE_KEYS)
+
+
+@query(
+    "stream_tiles",
+    O.final(
+        O.BASE,
+        f"""SELECT count(*) AS n_rows, {O.rnd('avg(value)')} AS mean_aqi, {O.rnd('max(value)')} AS max_aqi,
+       {O.fmt_ts('max(datetime)')} AS latest_update FROM norm""",
+        dates=(),
+    ),
+)
+def stream_tiles(spark, sf):
+    """Dashboard tiles kept by a complete-mode streaming aggregation."""
+    root = scratch_path(spark, "tiles")
+    Fs.write_pages(_readings(spark, sf), f"{root}/landing")
+    Sx.run_tiles(Sx.tile_stream(Sx.page_stream(spark, f"{root}/landing")), f"{root}/out", f"{root}/checkpoint")
+    t = spark.read.parquet(f"{root}/out")
+    return t.select(
+        "n_rows", X.rnd(F.col("sum_value") / F.col("n_values")).alias("mean_aqi"), X.rnd(F.col("max_aqi")).alias("max_aqi"),
+        "latest_update",
+    )
