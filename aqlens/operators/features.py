@@ -125,11 +125,40 @@ def exact_median(df: DataFrame, col: str, limit: int = MEDIAN_COLLECT_LIMIT) ->
     return (a + b) / 2
 
 
+def exact_medians(df: DataFrame, cols: Sequence[str], limit: int = MEDIAN_COLLECT_LIMIT) -> dict:
+    """Exact medians of several columns.  The projected columns are persisted
+    for the search passes; when the whole projection has at most ``limit``
+    rows it is fetched once, else each column is narrowed by ``_kth``."""
+    proj = df.select(*cols).persist()
+    try:
+        row = proj.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in cols]).first()
+        if row["_rows"] <= limit:
+            data = proj.collect()
+            out = {}
+            for c in cols:
+                vals = sorted(r[c] for r in data if r[c] is not None)
+                n = len(vals)
+                out[c] = None if n == 0 else (vals[(n - 1) // 2] + vals[n // 2]) / 2
+            return out
+        out = {}
+        for c in cols:
+            n = row[c]
+            if n == 0:
+                out[c] = None
+                continue
+            a = _kth(proj, c, (n - 1) // 2, limit)
+            b = a if n % 2 else _kth(proj, c, n // 2, limit)
+            out[c] = (a + b) / 2
+        return out
+    finally:
+        proj.unpersist()
+
+
 def median_impute(df: DataFrame, cols: Sequence[str], exact: bool = True, limit: int = MEDIAN_COLLECT_LIMIT) -> DataFrame:
     """Fill nulls with the column median (exact by default, else
     ``percentile_approx``).  All-null columns stay null."""
     if exact:
-        med = {c: exact_median(df, c, limit) for c in cols}
+        med = exact_medians(df, cols, limit)
     else:
         row = df.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in cols]).first()
         med = {c: row[c] for c in cols}

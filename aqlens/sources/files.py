@@ -88,7 +88,7 @@ def read_city_day_csv(spark: SparkSession, path: str, drop_incomplete: bool = Tr
     df = spark.read.schema(CITY_DAY_SCHEMA).option("header", True).csv(path)
     df = df.select(
         F.col("City").alias("city"),
-        F.to_date("Date").alias("date"),
+        F.col("Date").try_cast("date").alias("date"),  # bad text -> null -> dropped below
         *[F.col(f"`{p}`").alias(K.COLUMN_OF[p]) for p in K.POLLUTANT_NAMES],
         F.col("AQI").alias("aqi"),
     )
