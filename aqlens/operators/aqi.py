@@ -91,3 +91,24 @@ def overall(sub: DataFrame, keys: Sequence[str] = ("city", "date")) -> DataFrame
 def city_air_quality(readings: DataFrame, keys: Sequence[str] = ("city", "date")) -> DataFrame:
     """Daily AQI per city with category and driving pollutant."""
     return overall(sub_indices(readings, keys), keys)
+
+
+def breakdown(wide: DataFrame, keys: Sequence[str] = ("city", "date")) -> DataFrame:
+    """Long form of the AQI pollutants of a wide row: names and values are
+    zipped by position (``arrays_zip`` + ``inline``), then each gets its
+    sub-index, category, unit and a display text (one decimal + unit)."""
+    names = list(K.AQI_BREAKPOINTS)
+    zipped = F.arrays_zip(
+        F.array(*[F.lit(p) for p in names]).alias("pollutant"),
+        F.array(*[F.col(K.COLUMN_OF[p]).cast("double") for p in names]).alias("concentration"),
+    )
+    long = wide.select(*keys, F.inline(zipped))
+    from aqlens.operators.weather import round1_half_even
+
+    unit = X.pollutant_unit(F.col("pollutant"))
+    return with_sub_index(long, "pollutant", "concentration").withColumns(
+        {
+            "unit": unit,
+            "display": F.concat_ws(" ", round1_half_even(F.col("concentration")).cast("string"), unit),
+        }
+    ).withColumn("category", X.aqi_category(F.col("sub_index")))

@@ -44,7 +44,7 @@ def code_dimension(df: DataFrame, col: str) -> DataFrame:
 def with_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:
     """Category codes joined back; missing values get -1."""
     for c in cols:
-        dim = broadcast_if_bounded(code_dimension(df, c))
+        dim = broadcast_if_bounded(code_dimension(df, c), derived=True)
         df = df.join(dim, F.col(c) == dim["_v"], "left").withColumn(f"{c}{suffix}", F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
     return df
 

@@ -197,3 +197,12 @@ def date_class(date_col, today: str, window_days: int = 7):
     cls = F.when(date_col < t, "past").when(date_col == t, "today").otherwise("future")
     inside = date_col.between(F.date_sub(t, window_days), F.date_add(t, window_days))
     return cls, inside
+
+
+def with_default_weather(df: DataFrame) -> DataFrame:
+    """Missing daily weather (no document, failed request) takes the fixed
+    default of each of the fifteen variables; ``weather_available`` says
+    whether a document was found."""
+    present = F.col(WEATHER_COLUMNS[0]).isNotNull()
+    filled = {f"weather_{v}": F.coalesce(F.col(f"weather_{v}"), F.lit(d)) for v, d in K.DAILY_WEATHER_DEFAULTS.items()}
+    return df.withColumn("weather_available", present).withColumns(filled)

@@ -1103,3 +1103,60 @@ def stream_tiles(spark, sf):
         "n_rows", X.rnd(F.col("sum_value") / F.col("n_values")).alias("mean_aqi"), X.rnd(F.col("max_aqi")).alias("max_aqi"),
         "latest_update",
     )
+
+
+# ---------------------------------------------------------------------------
+# Breakdown and display (O-J7, O-F16, O-F20), pairs (O-A20), sample (O-T4),
+# default weather (O-F29)
+# ---------------------------------------------------------------------------
+def _breakdown_sql() -> str:
+    parts = []
+    for p in K.AQI_BREAKPOINTS:
+        c = K.COLUMN_OF[p]
+        unit = O.q(K.POLLUTANT_UNITS.get(p, ""))
+        si = O.sub_index_for(p, f"CAST({c} AS DOUBLE)")
+        parts.append(
+            f"SELECT city, date, {O.q(p)} AS pollutant, {O.rnd(c)} AS concentration, {si} AS sub_index, {unit} AS unit, "
+            f"concat_ws(' ', CAST({O.round1_half_even(c)} AS VARCHAR), {unit}) AS display, {O.category(si)} AS category FROM drows"
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("pollutant_breakdown", O.final(O.daily_rows_ctes(), _breakdown_sql()))
+def pollutant_breakdown(spark, sf):
+    b = A.breakdown(Dy.daily_rows(spark, sf))
+    return b.select("city", "date", "pollutant", X.rnd(F.col("concentration")).alias("concentration"), "sub_index", "unit", "display", "category")
+
+
+@query("city_date_pairs", O.final((*O.BASE, O.VALID), "SELECT DISTINCT city, date FROM valid"))
+def city_date_pairs(spark, sf):
+    return _valid(spark, sf).select("city", "date").distinct()
+
+
+@query(
+    "sample_rows",
+    O.final(O.daily_rows_ctes(), f"SELECT city, date, {O.rnd('pm25')} AS pm25, aqi FROM drows ORDER BY city, date LIMIT 5"),
+)
+def sample_rows(spark, sf):
+    d = Dy.daily_rows(spark, sf).orderBy("city", "date").limit(5)
+    return d.select("city", "date", X.rnd(F.col("pm25")).alias("pm25"), "aqi")
+
+
+_NEXT = "nxt AS (SELECT DISTINCT city, CAST(date + INTERVAL 1 DAY AS DATE) AS date FROM valid)"
+
+
+@query(
+    "weather_with_defaults",
+    O.final(
+        (*_W, _NEXT),
+        "SELECT n.city, n.date, w.city IS NOT NULL AS weather_available, "
+        + ", ".join(f"{O.rnd(f'coalesce(w.{v}, {O.dbl(d)})')} AS weather_{v}" for v, d in K.DAILY_WEATHER_DEFAULTS.items())
+        + " FROM nxt n LEFT JOIN wdaily w ON n.city = w.city AND n.date = w.date",
+    ),
+)
+def weather_with_defaults(spark, sf):
+    """Next-day requests: days without a landed document take the defaults."""
+    req = _valid(spark, sf).select("city", F.date_add("date", 1).alias("date")).distinct()
+    wx = W.parse_daily(T.daily_weather_docs(spark, sf))
+    j = W.with_default_weather(req.join(wx, ["city", "date"], "left"))
+    return j.select("city", "date", "weather_available", *[X.rnd(F.col(c)).alias(c) for c in W.WEATHER_COLUMNS])

@@ -54,12 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/aqlens/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, derived: bool = False) -> DataFrame:
     """Hint a broadcast only after proving the row count is small.
 
     Above the bound the frame is returned unhinted and the planner (AQE) picks
-    a shuffle join.  Use this for dimensions read from files; frames built
-    from the constants module have a known size and use ``F.broadcast``.
+    a shuffle join.  A dimension read from Parquet is counted from footers;
+    a ``derived`` dimension (an aggregate of the data) is persisted first so
+    the count and the join share one computation.  Frames built from the
+    constants module have a known size and use ``F.broadcast`` directly.
     """
+    if derived:
+        df = df.persist()
     n = df.count()
     return F.broadcast(df) if n <= max_rows else df
