@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from aqlens import constants as K
 from aqlens.functions.exprs import lookup
-from aqlens.session import broadcast_if_bounded
+from aqlens.session import BROADCAST_MAX_ROWS, broadcast_if_bounded
 
 # TEST DATA MAPPING constants (shared with the SQL oracle).
 EVENT_POLLUTANT = {"click": "PM2.5", "view": "pm10", "purchase": "NO2", "signup": "SO2", "error": "OZONE"}
@@ -53,11 +53,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nation_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(n_nationkey, n_regionkey, city, state): 25 rows, one per nation."""
+    """(n_nationkey, n_regionkey, city, state): one row per nation.
+
+    Both inputs are counted from Parquet footers; the inner join on the
+    region key yields at most one row per nation, so when the nation count is
+    within the bound the result is hinted for broadcast (no second count)."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    small = nation.count() <= BROADCAST_MAX_ROWS
     named = F.array(*[F.lit(c) for c in TEST_CITIES])
-    return nation.join(broadcast_if_bounded(region), nation.n_regionkey == region.r_regionkey).select(
+    geo = nation.join(broadcast_if_bounded(region), nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey",
         "n_regionkey",
         F.when(F.col("n_nationkey") < NAMED_NATIONS, F.element_at(named, F.col("n_nationkey") + 1))
@@ -65,6 +70,7 @@ def nation_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("city"),
         F.col("r_name").alias("state"),
     )
+    return F.broadcast(geo) if small else geo
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +81,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     latitude, longitude (text).
     """
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    geo = broadcast_if_bounded(nation_geo(spark, sf_dir))
+    geo = nation_geo(spark, sf_dir)
     joined = ev.join(geo, F.pmod(ev.user_id, F.lit(NATION_COUNT)) == geo.n_nationkey)
     value_text = F.col("value").cast("string")
     return joined.select(
@@ -115,7 +121,7 @@ def yearly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    geo = broadcast_if_bounded(nation_geo(spark, sf_dir))
+    geo = nation_geo(spark, sf_dir)
     yr = F.year("o_orderdate")
     good = F.col("o_totalprice") <= ORDER_PRICE_CUT
     names = [f"{kind}_{y}" for y in ORDER_YEARS for kind in ("good", "bad")]
