@@ -148,3 +148,20 @@ def map_points(norm: DataFrame) -> DataFrame:
     return norm.select(
         "reading_id", "lat", "lon", "state", "city", "station", "pollutant_id", "value", F.coalesce("value", F.lit(MARKER_FILL)).alias("marker_value")
     ).dropna(subset=["lat", "lon"])
+
+
+# FIXED VALUES: AQI used when a table has no reading-value column at all.
+AQI_WITHOUT_VALUES = 100.0
+
+
+def aqi_proxy(df: DataFrame) -> DataFrame:
+    """``aqi``: the average reading (``avg_value``, else ``pollutant_avg``,
+    numeric), else the constant 100 when neither column exists; plus its
+    category.  The column choice is made from the schema on the driver."""
+    if "avg_value" in df.columns:
+        v = X.parse_float(F.col("avg_value"))
+    elif "pollutant_avg" in df.columns:
+        v = X.parse_float(F.col("pollutant_avg"))
+    else:
+        v = F.lit(AQI_WITHOUT_VALUES)
+    return df.withColumn("aqi", v).withColumn("aqi_category", X.aqi_category(F.col("aqi")))

@@ -57,7 +57,12 @@ def explode_daily(docs: DataFrame, payload: str = "payload", variables=FORECAST_
     the parallel arrays then ``inline``; adds ``pos`` (0-based)."""
     d = F.from_json(F.col(payload), DAILY_SCHEMA)
     keep = [c for c in docs.columns if c != payload]
-    zipped = F.arrays_zip(d["daily"]["time"].alias("time"), *[d["daily"][v].alias(v) for v in variables])
+    # A missing variable would null the whole zip: take it as empty, so the
+    # zip pads it with nulls instead.
+    zipped = F.arrays_zip(
+        F.coalesce(d["daily"]["time"], F.array().cast("array<string>")).alias("time"),
+        *[F.coalesce(d["daily"][v], F.array().cast("array<double>")).alias(v) for v in variables],
+    )
     return docs.select(*keep, F.posexplode_outer(zipped).alias("pos", "day")).select(*keep, "pos", "day.*")
 
 

@@ -1160,3 +1160,29 @@ def weather_with_defaults(spark, sf):
     wx = W.parse_daily(T.daily_weather_docs(spark, sf))
     j = W.with_default_weather(req.join(wx, ["city", "date"], "left"))
     return j.select("city", "date", "weather_available", *[X.rnd(F.col(c)).alias(c) for c in W.WEATHER_COLUMNS])
+
+
+PAGES_STATE = "MIDDLE EAST"
+
+
+@query(
+    "pages_state_filter",
+    O.final(
+        O.BASE,
+        f"SELECT reading_id, state, city, pollutant, {O.rnd('value')} AS value FROM norm WHERE state = {O.q(PAGES_STATE)}",
+        dates=(),
+    ),
+)
+def pages_state_filter(spark, sf):
+    """Pages landed per state key; the state filter prunes folders."""
+    path = scratch_path(spark, "pages-by-state")
+    Fs.write_pages(_readings(spark, sf), path, by_state=True)
+    n = R.normalise(Fs.read_pages(spark, path, state=PAGES_STATE))
+    return n.select("reading_id", "state", "city", "pollutant", X.rnd(F.col("value")).alias("value"))
+
+
+@query("batch_score_aqi")
+def batch_score_aqi(spark, sf):
+    """Single-target AQI model scoring every city-day."""
+    s = Tr.batch_score_aqi(spark, sf)
+    return s.select("city", "date", X.rnd(F.col("predicted_aqi")).alias("predicted_aqi"), "category")

@@ -106,13 +106,28 @@ def read_required(spark: SparkSession, path: str, fmt: str = "csv", **options) -
         raise
 
 
-def read_pages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def state_key(state: str) -> str:
+    """Folder key of a state: spaces become '_' (as the source's filter)."""
+    return state.replace(" ", "_")
+
+
+def read_pages(
+    spark: SparkSession, path: str, limit: int | None = None, state: str | None = None, city: str | None = None
+) -> DataFrame:
     """Landed reading pages ``{total, records: [...]}``: every file under
     ``path`` is one or more pages; records of all pages are concatenated (bag
     union, no dedupe) and optionally cut to ``limit`` records in a stable
-    order."""
+    order.  For pages landed by state (``state_key=`` folders) a state filter
+    prunes whole folders before any file is opened; a city filter applies to
+    the records."""
     pages = spark.read.schema(PAGE_SCHEMA).json(path)
+    if state is not None:
+        pages = pages.filter(F.col("state_key") == state_key(state))
     recs = pages.select(F.explode("records").alias("r")).select("r.*")
+    if state is not None:
+        recs = recs.filter(F.col("state") == state)
+    if city is not None:
+        recs = recs.filter(F.col("city") == city)
     if limit is not None:
         recs = recs.orderBy("reading_id").limit(limit)
     return recs
@@ -132,15 +147,21 @@ def load_readings(spark: SparkSession, pages_path: str | None, csv_path: str | N
     return empty_readings(spark)
 
 
-def write_pages(readings: DataFrame, path: str, page_size: int = 1000) -> None:
-    """Land readings as JSON pages of ``page_size`` records (by reading id).
+def write_pages(readings: DataFrame, path: str, page_size: int = 1000, by_state: bool = False) -> None:
+    """Land readings as JSON pages of ``page_size`` records (by reading id),
+    optionally in one folder per state key.
 
     A page groups at most ``page_size`` ids, so the grouped list is bounded."""
     total = readings.count()
     page = F.floor(F.col("reading_id") / F.lit(page_size))
     rec = F.struct(*[F.col(f.name) for f in RECORD_SCHEMA.fields])
-    pages = readings.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(rec)).alias("records"))
-    pages.select(F.lit(total).cast("long").alias("total"), "records").write.mode("overwrite").json(path)
+    keys = [page.alias("page")]
+    if by_state:
+        keys.append(F.regexp_replace(F.col("state"), " ", "_").alias("state_key"))
+    pages = readings.groupBy(*keys).agg(F.array_sort(F.collect_list(rec)).alias("records"))
+    out = pages.select(F.lit(total).cast("long").alias("total"), "records", *(["state_key"] if by_state else []))
+    w = out.write.mode("overwrite")
+    (w.partitionBy("state_key") if by_state else w).json(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, fmt: str = "parquet") -> None:

@@ -72,3 +72,17 @@ def test_pollutant_rows_end_to_end(spark, sf_small):
     rows = R.pollutant_rows(T.readings(spark, sf_small), method="fold")
     assert rows.count() > 0
     assert rows.filter(F.col("pm10") < F.col("pm25")).count() == 0
+
+
+def test_reading_time_and_proxy(spark):
+    from aqlens.operators import dashboard as D
+    from aqlens.operators import quality as Q
+
+    df = spark.createDataFrame([("05-03-2024 14:30:00", "12"), ("2024-03-05 14:30:00", "NA"), ("garbage", "x")], "t string, pollutant_avg string")
+    got = df.select(X.parse_reading_time(F.col("t")).alias("ts")).collect()
+    assert str(got[0].ts) == "2024-03-05 14:30:00" and str(got[1].ts) == "2024-03-05 14:30:00" and got[2].ts is None
+    p = D.aqi_proxy(df).collect()
+    assert [r.aqi for r in p] == [12.0, None, None] and p[0].aqi_category == "Good" and p[1].aqi_category is None
+    assert [r.aqi for r in D.aqi_proxy(df.drop("pollutant_avg")).collect()] == [100.0] * 3
+    assert Q.all_null(D.aqi_proxy(df).filter("aqi IS NULL"), ["aqi"]) == {"aqi": True}
+    assert D.select_available(df, ["x", "pollutant_avg", "t"]).columns == ["pollutant_avg", "t"]

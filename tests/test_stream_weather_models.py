@@ -91,3 +91,29 @@ def test_metric_formulas(spark):
     m = M.classification_metrics(c, "y", "p").first()
     # sklearn: f1 a=2/3 (w .5), b=2/3*... computed by hand: a: tp1 sup2 pred1 -> 2/3; b: tp1 sup1 pred3 -> .5; c: 0
     assert abs(m.accuracy - 0.5) < 1e-12 and abs(m.f1_weighted - (2 * (2 / 3) + 0.5 + 0) / 4) < 1e-12
+
+
+def test_current_weather_defaults(spark):
+    docs = spark.createDataFrame(
+        [("A", '{"current": {"temperature_2m": 31.5, "surface_pressure": 1001.0}, "daily": {"precipitation_sum": [4.0]}}'), ("B", "{}")],
+        "city string, payload string",
+    )
+    got = {r.city: r for r in W.current_weather(docs).collect()}
+    assert (got["A"].T, got["A"].RH, got["A"].RF, got["A"].BP) == (31.5, 65.0, 4.0, 1001.0)
+    assert (got["B"].T, got["B"].WS, got["B"].WD) == (25.0, 5.0, 180.0)
+
+
+def test_explode_daily_positions(spark):
+    doc = '{"daily": {"time": ["d1", "d2"], "temperature_2m_max": [1.0, 2.0]}}'
+    rows = W.explode_daily(spark.createDataFrame([("A", doc)], "city string, payload string")).collect()
+    assert [(r.pos, r.time, r.temperature_2m_max, r.precipitation_sum) for r in rows] == [(0, "d1", 1.0, None), (1, "d2", 2.0, None)]
+
+
+def test_pages_state_partition_pruning(spark, sf_small):
+    path = scratch_path(spark, "test-pages-state")
+    readings = T.readings(spark, sf_small)
+    Fs.write_pages(readings, path, page_size=100, by_state=True)
+    got = Fs.read_pages(spark, path, state="MIDDLE EAST")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(state_key" in plan and "MIDDLE_EAST" in plan
+    assert got.count() == readings.filter(F.col("state") == "MIDDLE EAST").count() > 0
