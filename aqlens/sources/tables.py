@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from aqlens import constants as K
 from aqlens.functions.exprs import lookup
-from aqlens.session import BROADCAST_MAX_ROWS, broadcast_if_bounded
+from aqlens.session import BROADCAST_MAX_BYTES, broadcast_if_bounded, plan_size_bytes
 
 # TEST DATA MAPPING constants (shared with the SQL oracle).
 EVENT_POLLUTANT = {"click": "PM2.5", "view": "pm10", "purchase": "NO2", "signup": "SO2", "error": "OZONE"}
@@ -55,12 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def nation_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(n_nationkey, n_regionkey, city, state): one row per nation.
 
-    Both inputs are counted from Parquet footers; the inner join on the
-    region key yields at most one row per nation, so when the nation count is
-    within the bound the result is hinted for broadcast (no second count)."""
+    Both inputs are sized from their scan statistics (no job); the inner
+    join on the region key yields at most one row per nation, so when the
+    nation scan is within the bound the result is hinted for broadcast."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    small = nation.count() <= BROADCAST_MAX_ROWS
+    size = plan_size_bytes(nation)
+    small = size is not None and size <= BROADCAST_MAX_BYTES
     named = F.array(*[F.lit(c) for c in TEST_CITIES])
     geo = nation.join(broadcast_if_bounded(region), nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey",
