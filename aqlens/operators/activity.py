@@ -25,7 +25,8 @@ def session_summary(log: DataFrame) -> DataFrame:
         F.min("timestamp").alias("start_time"),
         F.max("timestamp").alias("end_time"),
     )
-    dur = (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))) / 1e6
+    # Microsecond difference without any time-zone conversion.
+    dur = F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("end_time")) / 1e6
     return agg.withColumn("duration_seconds", dur)
 
 
