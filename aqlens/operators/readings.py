@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from aqlens import constants as K
 from aqlens.functions import exprs as X
 
-FOLD_CHUNK = 1 << 20
+FOLD_CHUNK = 1 << 21
 
 
 def normalise(readings: DataFrame, missing_as_zero: bool = False) -> DataFrame:
@@ -69,42 +69,52 @@ def first_value(df: DataFrame, keys: Sequence[str], order: str = "reading_id") -
     return df.groupBy(*keys, "pollutant").agg(F.min_by("value", order).alias("value"))
 
 
-def pair_fold(df: DataFrame, keys: Sequence[str], order: str = "reading_id", chunk: int = FOLD_CHUNK) -> DataFrame:
+def pair_fold(df: DataFrame, keys: Sequence[str], order: str = "reading_id", chunk: int = FOLD_CHUNK, levels: int = 3) -> DataFrame:
     """Ordered running pair mean ``acc = (acc + v) / 2`` seeded by the first
     value, per (keys, pollutant).
 
-    Closed form: with r the rank from the end (last = 1) and n the group
-    size, result = sum(v * 2^-r) + v_first * 2^-n.  The order is split into
-    fixed-width chunks of ``order`` so no task sorts more than one chunk of
-    one group, however hot the group is:
-
-    1. rank inside (group, chunk), sum v * 2^-r_local per chunk;
-    2. per group, count the rows in later chunks (a window over one row per
-       chunk) and scale each chunk sum by 2^-later;
-    3. add the seed correction.
+    A run x_1..x_m is summarised as (cnt = m, S = sum x_i * 2^-(m-i+1),
+    first); the fold result is S + first * 2^-cnt.  Summaries combine
+    associatively in order (A then B: cnt_A + cnt_B, S_A * 2^-cnt_B + S_B,
+    first_A), so a group is reduced bottom-up over ranges of the order key:
+    at each level the rows of one ``chunk``-wide key range are combined by a
+    window (rows after each one) and an aggregation, and the range number
+    becomes the next level's key.  With unique integer keys no window
+    partition ever holds more than ``chunk`` rows, however hot the group and
+    however sparse the keys; ``levels`` levels of width 2^21 cover any
+    non-negative 64-bit key, and a last step combines the few remaining
+    summaries per group.
     """
     g = [*keys, "pollutant"]
-    local_w = Window.partitionBy(*g, "_chunk").orderBy(F.col(order).desc())
-    per_chunk = (
-        df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
-        .withColumn("_r", F.row_number().over(local_w))
-        .groupBy(*g, "_chunk")
-        .agg(
-            F.count(F.lit(1)).alias("_cnt"),
-            F.sum(F.col("value") * F.pow(F.lit(2.0), -F.col("_r"))).alias("_s"),
-            F.min(order).alias("_o1"),
-            F.min_by("value", order).alias("_v1"),
-        )
-    )
-    later_w = Window.partitionBy(*g).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.withColumn("_later", F.coalesce(F.sum("_cnt").over(later_w), F.lit(0)))
-    return per_chunk.groupBy(*g).agg(
-        (
-            F.sum(F.col("_s") * F.pow(F.lit(2.0), -F.col("_later")))
-            + F.min_by("_v1", "_o1") * F.pow(F.lit(2.0), -F.sum("_cnt"))
-        ).alias("value")
+    shift = max(1, (chunk - 1).bit_length())
+    cur = df.select(
+        *g,
+        F.col(order).cast("long").alias("_k"),
+        F.lit(1).cast("long").alias("_cnt"),
+        (F.col("value") / 2).alias("_s"),
+        F.col(order).cast("long").alias("_fo"),
+        F.col("value").alias("_fv"),
     )
 
+    def combine_level(rows: DataFrame, bucket) -> DataFrame:
+        part = [*g, "_b"] if bucket is not None else g
+        rows = rows.withColumn("_b", bucket) if bucket is not None else rows
+        w = Window.partitionBy(*part).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("_later", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+        out = rows.groupBy(*part).agg(
+            F.sum("_cnt").alias("_cnt"),
+            F.sum(F.col("_s") * F.pow(F.lit(2.0), -F.col("_later"))).alias("_s"),
+            F.min("_fo").alias("_fo2"),
+            F.min_by("_fv", "_fo").alias("_fv"),
+        )
+        out = out.withColumnRenamed("_fo2", "_fo")
+        return out.withColumnRenamed("_b", "_k") if bucket is not None else out
+
+    for _ in range(levels):
+        cur = combine_level(cur, F.shiftright(F.col("_k"), shift))
+    final = combine_level(cur, None)
+    return final.select(*g, (F.col("_s") + F.col("_fv") * F.pow(F.lit(2.0), -F.col("_cnt"))).alias("value"))
+
 
 def combine(df: DataFrame, keys: Sequence[str], method: str = "mean", order: str = "reading_id") -> DataFrame:
     """One value per (keys, pollutant): ``mean`` (default), ``fold`` or ``first``."""

@@ -86,3 +86,12 @@ def test_reading_time_and_proxy(spark):
     assert [r.aqi for r in D.aqi_proxy(df.drop("pollutant_avg")).collect()] == [100.0] * 3
     assert Q.all_null(D.aqi_proxy(df).filter("aqi IS NULL"), ["aqi"]) == {"aqi": True}
     assert D.select_available(df, ["x", "pollutant_avg", "t"]).columns == ["pollutant_avg", "t"]
+
+
+def test_pair_fold_sparse_large_ids(spark):
+    # snowflake-like ids: one row per 2^21-wide range, so every level matters
+    vals = [float(i % 13) + 0.25 for i in range(300)]
+    rows = [("hot", "PM10", v, (1 << 60) + i * (1 << 40) + (i % 3)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "city string, pollutant string, value double, reading_id long")
+    got = R.pair_fold(df, ["city"]).first().value
+    assert abs(got - seq_fold(vals)) < 1e-9
