@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aqlens import constants as K
 from aqlens.functions import exprs as X
-from aqlens.session import broadcast_if_bounded
+from aqlens.session import broadcast_if_bounded, checkpoint_root
 
 # A distinct-value list is pulled to the driver only below this size.
 MAX_ONE_HOT_VALUES = 1000
@@ -35,10 +35,29 @@ def calendar(df: DataFrame, date: str = "date") -> DataFrame:
 def code_dimension(df: DataFrame, col: str) -> DataFrame:
     """Alphabetical code (0-based) of each distinct non-null value.
 
-    The distinct values are reduced first (partial aggregation), so the
-    ranking window sees one row per value, never the data itself."""
+    Distributed rank: the distinct values are range-partitioned and sorted
+    within each partition, so a value's code is the number of values in
+    earlier partitions plus its position in its own.  Positions come from
+    ``monotonically_increasing_id`` (partition id in the upper bits); only
+    one count per partition meets in a window.  The ranked values are
+    checkpointed to the shared folder first, so a recomputation after a lost
+    executor cannot draw different range bounds."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     values = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    return values.select("_v", (F.dense_rank().over(Window.orderBy("_v")) - 1).alias("_code"))
+    ranked = (
+        values.repartitionByRange(n, "_v").sortWithinPartitions("_v").withColumn("_mid", F.monotonically_increasing_id())
+    ).checkpoint()
+    ranked = ranked.select(
+        "_v",
+        F.shiftright("_mid", 33).alias("_pid"),
+        (F.col("_mid") - F.shiftleft(F.shiftright("_mid", 33), 33)).alias("_local"),
+    )
+    per_part = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return ranked.join(F.broadcast(offsets), "_pid").select("_v", (F.col("_off") + F.col("_local")).cast("int").alias("_code"))
 
 
 def with_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:

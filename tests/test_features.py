@@ -78,3 +78,13 @@ def test_align_fills_missing(spark):
     df = spark.createDataFrame([(1.0, None)], "a double, b double")
     r = Fe.align(df, ["b", "z", "a"]).first()
     assert (r.b, r.z, r.a) == (0.0, 0.0, 1.0)
+
+
+def test_code_dimension_distributed_rank(spark):
+    import string
+
+    rnd = random.Random(5)
+    vals = ["".join(rnd.choice(string.ascii_letters) for _ in range(rnd.randint(1, 5))) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "c string")
+    got = {r._v: r._code for r in Fe.code_dimension(df, "c").collect()}
+    assert got == {v: i for i, v in enumerate(sorted(set(vals), key=lambda x: x.encode()))}
