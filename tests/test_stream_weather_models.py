@@ -117,3 +117,12 @@ def test_pages_state_partition_pruning(spark, sf_small):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(state_key" in plan and "MIDDLE_EAST" in plan
     assert got.count() == readings.filter(F.col("state") == "MIDDLE EAST").count() > 0
+
+
+def test_forest_queries_deterministic(spark, sf_small):
+    import __spark_entry__ as E
+
+    q = E.queries()["forest_six_targets"]
+    a = sorted(tuple(r) for r in q(spark, sf_small).collect())
+    b = sorted(tuple(r) for r in q(spark, sf_small).collect())
+    assert a == b and [r[0] for r in a] == sorted([*[K.COLUMN_OF[p] for p in K.TARGET_POLLUTANTS], "Overall"])
