@@ -303,7 +303,7 @@ def _state(spark, sf):
     "city_good_bad",
     O.final(
         (O.GEO, YEARLY, YEARLY_M),
-        "SELECT city, sum(total_good_days) AS total_good_days, sum(total_bad_days) AS total_bad_days FROM ym2 GROUP BY city",
+        "SELECT city, CAST(sum(total_good_days) AS BIGINT) AS total_good_days, CAST(sum(total_bad_days) AS BIGINT) AS total_bad_days FROM ym2 GROUP BY city",
         dates=(),
     ),
 )
@@ -332,8 +332,8 @@ def row_percentage(spark, sf):
     "yearly_stats",
     O.final(
         (O.GEO, YEARLY, YEARLY_M),
-        f"""SELECT {O.rnd('avg(good_pct)')} AS mean_good_pct, sum(total_good_days) AS total_good_days,
-       sum(total_bad_days) AS total_bad_days FROM ym2""",
+        f"""SELECT {O.rnd('avg(good_pct)')} AS mean_good_pct, CAST(sum(total_good_days) AS BIGINT) AS total_good_days,
+       CAST(sum(total_bad_days) AS BIGINT) AS total_bad_days FROM ym2""",
         dates=(),
     ),
 )

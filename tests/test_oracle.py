@@ -47,6 +47,7 @@ def test_matches_oracle(spark, con, name):
     sc, sb = _bag(s)
     dc, db = _bag(d)
     assert sc == dc
+    assert {c: str(s[c].dtype) for c in s.columns} == {c: str(d[c].dtype) for c in s.columns}
     assert len(s) == len(d)
     assert sb == db
 
