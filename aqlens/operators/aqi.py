@@ -112,3 +112,18 @@ def breakdown(wide: DataFrame, keys: Sequence[str] = ("city", "date")) -> DataFr
             "display": F.concat_ws(" ", round1_half_even(F.col("concentration")).cast("string"), unit),
         }
     ).withColumn("category", X.aqi_category(F.col("sub_index")))
+
+
+def driving_wide(cols) -> "Column":
+    """Wide form of the driving pollutant: the pollutant with the highest
+    sub-index among ``cols`` ({name: concentration column}), ties to the
+    first in ``TIE_ORDER``; null when no sub-index exists."""
+    cands = [
+        F.when(
+            X.sub_index_for(p, c).isNotNull(),
+            F.struct(X.sub_index_for(p, c).alias("s"), F.lit(-TIE_ORDER.get(p, len(TIE_ORDER))).alias("o"), F.lit(p).alias("p")),
+        )
+        for p, c in cols.items()
+        if p in K.AQI_BREAKPOINTS
+    ]
+    return F.greatest(*cands)["p"]

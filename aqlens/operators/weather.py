@@ -37,18 +37,31 @@ DAILY_SCHEMA = T.StructType(
     ]
 )
 
+LANDED_SCHEMA_FIELDS = ["city", "date"]
+
 FORECAST_VARS = ["temperature_2m_max", "temperature_2m_min", "relative_humidity_2m_max", "wind_speed_10m_max", "precipitation_sum"]
 WEATHER_COLUMNS = [f"weather_{v}" for v in K.DAILY_WEATHER_VARS]
 
 
+def _daily(docs: DataFrame, payload: str):
+    """The ``daily`` struct of a document: a parsed struct column when the
+    documents were read with the landed schema, else parsed from JSON text."""
+    if "daily" in docs.columns:
+        return F.col("daily")
+    return F.from_json(F.col(payload), DAILY_SCHEMA)["daily"]
+
+
+def _kept(docs: DataFrame, payload: str) -> list[str]:
+    return [c for c in docs.columns if c not in (payload, "daily", "current")]
+
+
 def parse_daily(docs: DataFrame, payload: str = "payload") -> DataFrame:
     """Daily archive documents -> one row per request with ``weather_<var>``
     columns holding the first element of each array (null when absent).
     The ``time`` key is dropped rather than turned into a feature."""
-    d = F.from_json(F.col(payload), DAILY_SCHEMA)
-    keep = [c for c in docs.columns if c != payload]
+    d = _daily(docs, payload)
     return docs.select(
-        *keep, *[F.try_element_at(d["daily"][v], F.lit(1)).alias(f"weather_{v}") for v in K.DAILY_WEATHER_VARS]
+        *_kept(docs, payload), *[F.try_element_at(d[v], F.lit(1)).alias(f"weather_{v}") for v in K.DAILY_WEATHER_VARS]
     )
 
 
@@ -76,7 +89,7 @@ def match_forecast_day(requests: DataFrame, docs: DataFrame, keys=("city", "doc_
     or sort-merge by the runtime size), and the day is picked by array
     position, so no per-day explode is needed.
     """
-    d = F.from_json(F.col(payload), DAILY_SCHEMA)["daily"]
+    d = _daily(docs, payload)
     joined = requests.join(docs, list(keys), "left")
     hits = F.filter(F.transform(d["time"], lambda t, i: F.when(F.startswith(t, F.col("date_text")), i + 1)), lambda x: x.isNotNull())
     pos = F.try_element_at(hits, F.lit(1))

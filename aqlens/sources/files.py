@@ -179,3 +179,29 @@ def write_session_log(summary: DataFrame, path: str) -> None:
     """Session summaries as JSON, partitioned by the day the session ended."""
     out = summary.withColumn("date", F.to_date("end_time"))
     out.write.mode("overwrite").partitionBy("date").json(path)
+
+
+def landed_weather_schema(key: str = "date") -> T.StructType:
+    """Landed weather document: the request key (city and date, or city and
+    forecast key) next to the response's ``daily`` and ``current`` parts."""
+    from aqlens.operators.weather import DAILY_SCHEMA
+
+    return T.StructType(
+        [T.StructField("city", T.StringType()), T.StructField(key, T.StringType())] + list(DAILY_SCHEMA.fields)
+    )
+
+
+def write_weather_docs(docs: DataFrame, path: str, key: str = "date", payload: str = "payload") -> None:
+    """Land weather documents (city, key, JSON payload) as JSON lines."""
+    from aqlens.operators.weather import DAILY_SCHEMA
+
+    d = F.from_json(F.col(payload), DAILY_SCHEMA)
+    docs.select("city", F.col(key).cast("string").alias(key), d["daily"].alias("daily"), d["current"].alias("current")).write.mode(
+        "overwrite"
+    ).json(path)
+
+
+def read_weather_docs(spark: SparkSession, path: str, key: str = "date") -> DataFrame:
+    """Landed weather documents with their key parsed as a date."""
+    df = spark.read.schema(landed_weather_schema(key)).json(path)
+    return df.withColumn(key, F.col(key).try_cast("date"))
