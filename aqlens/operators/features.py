@@ -60,11 +60,18 @@ def code_dimension(df: DataFrame, col: str) -> DataFrame:
     return ranked.join(F.broadcast(offsets), "_pid").select("_v", (F.col("_off") + F.col("_local")).cast("int").alias("_code"))
 
 
+def attach_codes(df: DataFrame, codes: DataFrame, col: str, out: str | None = None, derived: bool = True) -> DataFrame:
+    """Join a code dimension (``_v``, ``_code``) onto ``col``; values missing
+    from it get -1.  The dimension is broadcast only after its size check."""
+    dim = broadcast_if_bounded(codes, derived=derived)
+    out = out or f"{col}_encoded"
+    return df.join(dim, F.col(col) == dim["_v"], "left").withColumn(out, F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
+
+
 def with_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:
     """Category codes joined back; missing values get -1."""
     for c in cols:
-        dim = broadcast_if_bounded(code_dimension(df, c), derived=True)
-        df = df.join(dim, F.col(c) == dim["_v"], "left").withColumn(f"{c}{suffix}", F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
+        df = attach_codes(df, code_dimension(df, c), c, f"{c}{suffix}")
     return df
 
 

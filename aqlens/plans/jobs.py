@@ -37,9 +37,7 @@ def offline_training(
     base = spark.read.parquet(f"{out_dir}/merged")  # lineage cut at the written table
     codes = Fe.code_dimension(base, "city")
     table = Fe.calendar(base)
-    table = table.join(F.broadcast(codes), F.col("city") == codes["_v"], "left").withColumn(
-        "city_encoded", F.coalesce("_code", F.lit(-1))
-    ).drop("_v", "_code")
+    table = Fe.attach_codes(table, codes, "city")
     table = Tr.six_target_table(spark, "", table)
     M.guard(table, Dy.TARGETS_SIX[0], Dy.FEATURES_SIX)
     fit = M.fit_targets(table, Dy.FEATURES_SIX, Dy.TARGETS_SIX, s)
@@ -91,9 +89,7 @@ def predict(spark: SparkSession, pages_path: str, forecast_path: str, model_dir:
     table = Fe.calendar(rows.join(six.select("city", "date", *W.WEATHER_COLUMNS), ["city", "date"]))
     codes = fit.tables.get("city_codes")
     if codes is not None:
-        table = table.join(F.broadcast(codes), F.col("city") == codes["_v"], "left").withColumn(
-            "city_encoded", F.coalesce("_code", F.lit(-1))
-        ).drop("_v", "_code")
+        table = Fe.attach_codes(table, codes, "city")
     keep = ["city", "date", "pm25", "pm10", "no2", "so2"]
     scored = M.score(fit, table.select(*[c for c in table.columns if c not in ("pm25", "pm10", "no2", "so2")], *[F.col(c).alias(f"in_{c}") for c in keep[2:]]), keep=["city", "date", *[f"in_{c}" for c in keep[2:]]])
     preds = {p: F.col(f"pred_{K.COLUMN_OF[p]}") for p in K.TARGET_POLLUTANTS}
