@@ -28,7 +28,12 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def deduplicated(records: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeated (station, pollutant, update time) within the watermark."""
+    """Drop repeated (station, pollutant, update time) within the watermark.
+
+    State for a key is kept until the watermark passes its event time plus
+    ``delay``, so it stays bounded.  A row arriving later than that is kept
+    (not dropped), it is only no longer compared with expired keys: no
+    unique reading is ever lost."""
     timed = records.withColumn("event_time", X.parse_reading_time(F.col("last_update")).cast("timestamp"))
     return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(DEDUPE_KEYS)
 

@@ -126,3 +126,25 @@ def test_forest_queries_deterministic(spark, sf_small):
     a = sorted(tuple(r) for r in q(spark, sf_small).collect())
     b = sorted(tuple(r) for r in q(spark, sf_small).collect())
     assert a == b and [r[0] for r in a] == sorted([*[K.COLUMN_OF[p] for p in K.TARGET_POLLUTANTS], "Overall"])
+
+
+def test_late_unique_row_is_kept(spark, tmp_path):
+    import json
+    import os
+    import time
+
+    land = tmp_path / "landing"
+    land.mkdir()
+
+    def rec(i, ts):
+        return {"reading_id": i, "state": "S", "city": "C", "station": f"s{i}", "last_update": ts, "pollutant_id": "NO2", "pollutant_avg": "1"}
+
+    (land / "a.json").write_text(json.dumps({"total": 3, "records": [rec(1, "10-01-2024 10:00:00")]}) + "\n")
+    time.sleep(1.1)
+    (land / "b.json").write_text(json.dumps({"total": 3, "records": [rec(2, "01-01-2024 10:00:00"), rec(1, "10-01-2024 10:00:00")]}) + "\n")
+    os.utime(land / "b.json")
+    root = scratch_path(spark, "test-late")
+    stream = Sx.deduplicated(Sx.page_stream(spark, str(land), files_per_trigger=1), "1 hour")
+    Sx.run_available(stream.select(*Sx.DEDUPE_KEYS, "event_time"), f"{root}/o", f"{root}/c")
+    got = sorted(r.station for r in spark.read.parquet(f"{root}/o").collect())
+    assert got == ["s1", "s2"]  # late s2 kept, repeated s1 dropped
