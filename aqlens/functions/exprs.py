@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from aqlens import constants as K
 
-ZERO_WIDTH = "[\\u200b\\ufeff]"
 MISSING_TEXT = ["", "NA", "N/A"]
 READING_TIME_FORMATS = ["dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 
@@ -33,8 +32,9 @@ def clean_name(name: str) -> str:
 
 
 def strip_text(c: Column) -> Column:
-    """trim + drop zero-width characters."""
-    return F.trim(F.regexp_replace(c, ZERO_WIDTH, ""))
+    """trim + drop zero-width characters (``translate`` deletes them by
+    character mapping, cheaper per row than a regular expression)."""
+    return F.trim(F.translate(c, "\u200b\ufeff", ""))
 
 
 def finite(c: Column) -> Column:
