@@ -224,3 +224,21 @@ def with_default_weather(df: DataFrame) -> DataFrame:
     present = F.col(WEATHER_COLUMNS[0]).isNotNull()
     filled = {f"weather_{v}": F.coalesce(F.col(f"weather_{v}"), F.lit(d)) for v, d in K.DAILY_WEATHER_DEFAULTS.items()}
     return df.withColumn("weather_available", present).withColumns(filled)
+
+
+def six_keys_for_dates(requests: DataFrame, forecast_docs: DataFrame, current_docs: DataFrame, today: str, keys=("city", "doc_key")) -> DataFrame:
+    """Six-key weather by date class: a request for ``today`` reads the
+    city's current-conditions document, any other date the forecast day
+    (``match_forecast_day``); no document means the defaults.  The two paths
+    are two equi-joins on disjoint request sets, united by name."""
+    is_today = F.col("date") == F.to_date(F.lit(today))
+    cur = current_weather(current_docs).select("city", *K.WEATHER_KEY_DEFAULTS)
+    today_rows = requests.filter(is_today).join(cur, "city", "left")
+    dflt = K.WEATHER_KEY_DEFAULTS
+    today_rows = today_rows.select(
+        *requests.columns,
+        *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in dflt.items()],
+        F.lit(False).alias("weather_matched"),
+    ).withColumn("source", F.lit("current"))
+    other = match_forecast_day(requests.filter(~is_today), forecast_docs, keys).withColumn("source", F.lit("forecast"))
+    return other.unionByName(today_rows)

@@ -1186,3 +1186,17 @@ def batch_score_aqi(spark, sf):
     """Single-target AQI model scoring every city-day."""
     s = Tr.batch_score_aqi(spark, sf)
     return s.select("city", "date", X.rnd(F.col("predicted_aqi")).alias("predicted_aqi"), "category")
+
+
+@query(
+    "weather_for_dates",
+    O.final(
+        (*_SIX, *O.current_ctes(TODAY)),
+        f"""SELECT city, date, source, {O.rnd('T')} AS T, {O.rnd('RH')} AS RH, {O.rnd('WS')} AS WS, {O.rnd('WD')} AS WD,
+       {O.rnd('RF')} AS RF, {O.rnd('BP')} AS BP, weather_matched FROM six_all""",
+    ),
+)
+def weather_for_dates(spark, sf):
+    """Today's requests read current conditions, other dates the forecast day."""
+    six = W.six_keys_for_dates(T.weather_requests(spark, sf), T.forecast_docs(spark, sf), T.current_docs(spark, sf, TODAY), TODAY)
+    return six.select("city", "date", "source", *[X.rnd(F.col(k)).alias(k) for k in K.WEATHER_KEY_DEFAULTS], "weather_matched")

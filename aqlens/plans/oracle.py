@@ -254,3 +254,20 @@ def linear(pm25: str) -> str:
 
 def split_bucket(key: str) -> str:
     return f"CAST(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) % 100 AS INTEGER)"
+
+
+def current_ctes(today: str) -> tuple[str, ...]:
+    d = K.WEATHER_KEY_DEFAULTS
+    cols = ", ".join(f"CAST({f} AS DOUBLE) AS {k}" for k, f in T.CURRENT_FORMULAS.items())
+    return (
+        f"""cstats AS (SELECT city, min(value) AS vmin, avg(value) AS vavg FROM valid
+  WHERE date = DATE '{today}' GROUP BY city)""",
+        f"cur AS (SELECT city, vmin, {cols} FROM cstats)",
+        f"""six_all AS (
+  SELECT city, date, T, RH, WS, WD, RF, BP, weather_matched, 'forecast' AS source FROM six WHERE date <> DATE '{today}'
+  UNION ALL
+  SELECT r.city, r.date, coalesce(c.temperature_2m, {dbl(d['T'])}), coalesce(c.relative_humidity_2m, {dbl(d['RH'])}),
+         coalesce(c.wind_speed_10m, {dbl(d['WS'])}), {dbl(d['WD'])}, coalesce(c.vmin, {dbl(d['RF'])}),
+         coalesce(c.surface_pressure, {dbl(d['BP'])}), false, 'current'
+  FROM (SELECT DISTINCT city, date FROM valid WHERE date = DATE '{today}') r LEFT JOIN cur c ON r.city = c.city)""",
+    )

@@ -214,3 +214,24 @@ def weather_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("date", "yyyy-MM-dd").alias("date_text"),
         F.to_date(F.date_trunc("week", F.date_add("date", REQUEST_SHIFT_DAYS))).alias("doc_key"),
     )
+
+
+# TEST DATA MAPPING: current conditions per city from one day's readings.
+CURRENT_FORMULAS = {
+    "temperature_2m": "15 + vavg / 50",
+    "relative_humidity_2m": "30 + vavg / 10",
+    "wind_speed_10m": "vavg / 20",
+    "surface_pressure": "1000 + vavg / 20",
+}
+
+
+def current_docs(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
+    """Landed current-conditions documents (city, payload) built from the
+    valid readings of ``day``; precipitation is the day's minimum."""
+    from aqlens.operators.readings import normalise, valid
+
+    v = valid(normalise(readings(spark, sf_dir))).filter(F.col("date") == F.to_date(F.lit(day)))
+    stats = v.groupBy("city").agg(F.min("value").alias("vmin"), F.avg("value").alias("vavg"))
+    current = F.struct(*[F.expr(f).cast("double").alias(k) for k, f in CURRENT_FORMULAS.items()])
+    daily = F.struct(F.array(F.col("vmin")).alias("precipitation_sum"))
+    return stats.select("city", F.to_json(F.struct(daily.alias("daily"), current.alias("current"))).alias("payload"))
