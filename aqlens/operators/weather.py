@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aqlens import constants as K
-from aqlens.functions import exprs as X
 
 DAILY_SCHEMA = T.StructType(
     [
