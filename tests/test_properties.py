@@ -51,3 +51,11 @@ def test_daily_rows_complete(spark, sf_small):
         cond = F.col(c).isNull() if cond is None else cond | F.col(c).isNull()
     assert d.count() > 0 and d.filter(cond).count() == 0
     assert d.filter(F.col("pm10") < F.col("pm25")).count() == 0
+
+
+def test_tiles_approx_close_to_exact(spark, sf_small):
+    n = R.normalise(T.readings(spark, sf_small))
+    exact, approx = D.tiles(n).first(), D.tiles(n, approx=True).first()
+    assert exact.n_rows == approx.n_rows
+    for c in ("n_stations", "n_states", "n_cities"):
+        assert abs(exact[c] - approx[c]) <= max(1, 0.1 * exact[c])
