@@ -126,6 +126,36 @@ def sub_index_for(pollutant: str, conc: Column) -> Column:
     return expr.otherwise(F.lit(K.TOP_BIN_AQI))
 
 
+def _dlit(x: float) -> str:
+    """Spark SQL double literal that parses to exactly ``float(x)``."""
+    return f"{float(x)!r}D"
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sub_index_sql(pollutant: str, conc: str) -> str:
+    """Spark SQL text of ``sub_index_for`` over the column named ``conc``."""
+    bins = K.AQI_BREAKPOINTS.get(pollutant)
+    if bins is None:
+        return "CAST(NULL AS INT)"
+    c = _ident(conc)
+    parts = [f"WHEN {c} IS NULL OR {c} <= 0 THEN CAST(NULL AS INT)"]
+    for lo, hi, alo, ahi in bins:
+        slope = (ahi - alo) / (hi - lo)
+        parts.append(f"WHEN {c} <= {_dlit(hi)} THEN CAST({_dlit(slope)} * ({c} - {_dlit(lo)}) + {_dlit(alo)} AS INT)")
+    return "CASE " + " ".join(parts) + f" ELSE {K.TOP_BIN_AQI} END"
+
+
+def sub_index_by_name(pollutant: str, conc: str) -> Column:
+    """``sub_index`` for column names, built as one SQL expression (one call
+    to the JVM instead of hundreds; the same Catalyst expression)."""
+    p = _ident(pollutant)
+    parts = " ".join(f"WHEN {p} = '{name}' THEN {sub_index_sql(name, conc)}" for name in K.AQI_BREAKPOINTS)
+    return F.expr(f"CASE {parts} END")
+
+
 def sub_index(pollutant: Column, conc: Column) -> Column:
     """Long form: sub-index by a pollutant column (generated CASE)."""
     expr = None
@@ -135,8 +165,13 @@ def sub_index(pollutant: Column, conc: Column) -> Column:
     return expr
 
 
-def overall_aqi_wide(cols: Mapping[str, Column]) -> Column:
-    """Wide form: max of the sub-indices of the given pollutants; none -> 50."""
+def overall_aqi_wide(cols: Mapping[str, Column | str]) -> Column:
+    """Wide form: max of the sub-indices of the given pollutants; none -> 50.
+    Values may be column names (one SQL expression) or Columns."""
+    if all(isinstance(c, str) for c in cols.values()):
+        subs = [sub_index_sql(p, c) for p, c in cols.items() if p in K.AQI_BREAKPOINTS]
+        inner = f"greatest({', '.join(subs)})" if len(subs) > 1 else subs[0]
+        return F.expr(f"coalesce({inner}, {K.AQI_WHEN_NO_POLLUTANT})")
     subs = [sub_index_for(p, c) for p, c in cols.items() if p in K.AQI_BREAKPOINTS]
     return F.coalesce(F.greatest(*subs), F.lit(K.AQI_WHEN_NO_POLLUTANT)) if len(subs) > 1 else F.coalesce(subs[0], F.lit(K.AQI_WHEN_NO_POLLUTANT))
 

@@ -29,7 +29,7 @@ def breakpoints_frame(spark: SparkSession) -> DataFrame:
 
 def with_sub_index(df: DataFrame, pollutant: str = "pollutant", conc: str = "value") -> DataFrame:
     """Adds ``sub_index`` (int) by a generated CASE: no join, stays in codegen."""
-    return df.withColumn("sub_index", X.sub_index(F.col(pollutant), F.col(conc)))
+    return df.withColumn("sub_index", X.sub_index_by_name(pollutant, conc))
 
 
 def with_sub_index_join(df: DataFrame, pollutant: str = "pollutant", conc: str = "value") -> DataFrame:
@@ -118,6 +118,13 @@ def driving_wide(cols) -> "Column":
     """Wide form of the driving pollutant: the pollutant with the highest
     sub-index among ``cols`` ({name: concentration column}), ties to the
     first in ``TIE_ORDER``; null when no sub-index exists."""
+    if all(isinstance(c, str) for c in cols.values()):
+        cands = []
+        for p, c in cols.items():
+            if p in K.AQI_BREAKPOINTS:
+                si = X.sub_index_sql(p, c)
+                cands.append(f"CASE WHEN ({si}) IS NOT NULL THEN named_struct('s', {si}, 'o', {-TIE_ORDER.get(p, len(TIE_ORDER))}, 'p', '{p}') END")
+        return F.expr(f"greatest({', '.join(cands)}).p")
     cands = [
         F.when(
             X.sub_index_for(p, c).isNotNull(),

@@ -25,7 +25,7 @@ TARGETS_SIX = [K.COLUMN_OF[p] for p in K.TARGET_POLLUTANTS]
 def daily_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(city, date, 12 pollutants completed and repaired, aqi)."""
     rows = R.pollutant_rows(T.readings(spark, sf_dir))
-    return rows.withColumn("aqi", X.overall_aqi_wide({p: F.col(c) for p, c in AQI_COLUMNS.items()}))
+    return rows.withColumn("aqi", X.overall_aqi_wide(dict(AQI_COLUMNS)))
 
 
 def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
