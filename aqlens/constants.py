@@ -261,3 +261,19 @@ TEST_FRACTION = 0.2
 # FIXED VALUES: activity-log event kinds.
 EVENT_KINDS = ["USER_ACTION", "API_CALL", "MODEL_RUN", "CALCULATION", "ERROR"]
 LAST_N_PREDICTIONS = 5
+
+# FIXED VALUES: reading text that means "no value".
+MISSING_TEXT = ["", "NA", "N/A"]
+
+# FIXED VALUES: "no filter" choice of the state/city selectors.
+ALL = "All"
+
+# FIXED VALUES: marker size for a reading without value; AQI of a table
+# without any reading-value column.
+MARKER_FILL = 10.0
+AQI_WITHOUT_VALUES = 100.0
+
+# FIXED VALUES: daily variables of a forecast document, and the
+# current-conditions variables.
+FORECAST_VARS = ["temperature_2m_max", "temperature_2m_min", "relative_humidity_2m_max", "wind_speed_10m_max", "precipitation_sum"]
+CURRENT_VARS = ["temperature_2m", "relative_humidity_2m", "wind_speed_10m", "surface_pressure"]

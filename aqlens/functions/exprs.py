@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aqlens import constants as K
 
-MISSING_TEXT = ["", "NA", "N/A"]
+MISSING_TEXT = K.MISSING_TEXT
 READING_TIME_FORMATS = ["dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 
 

@@ -11,12 +11,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aqlens import constants as K
 from aqlens.functions import exprs as X
 from aqlens.operators import aqi as A
 
-ALL = "All"
-# FIXED VALUES: marker size used when a reading has no value.
-MARKER_FILL = 10.0
+ALL = K.ALL
+MARKER_FILL = K.MARKER_FILL
 
 
 def columns_where(df: DataFrame, pred: Callable[[str], bool]) -> list[str]:
@@ -155,9 +155,6 @@ def map_points(norm: DataFrame) -> DataFrame:
     ).dropna(subset=["lat", "lon"])
 
 
-# FIXED VALUES: AQI used when a table has no reading-value column at all.
-AQI_WITHOUT_VALUES = 100.0
-
 
 def aqi_proxy(df: DataFrame) -> DataFrame:
     """``aqi``: the average reading (``avg_value``, else ``pollutant_avg``,
@@ -168,5 +165,5 @@ def aqi_proxy(df: DataFrame) -> DataFrame:
     elif "pollutant_avg" in df.columns:
         v = X.parse_float(F.col("pollutant_avg"))
     else:
-        v = F.lit(AQI_WITHOUT_VALUES)
+        v = F.lit(K.AQI_WITHOUT_VALUES)
     return df.withColumn("aqi", v).withColumn("aqi_category", X.aqi_category(F.col("aqi")))

@@ -127,20 +127,37 @@ def combine(df: DataFrame, keys: Sequence[str], method: str = "mean", order: str
     raise ValueError(f"unknown method {method!r}")
 
 
-def complete(combined: DataFrame, keys: Sequence[str], defaults: dict | None = None) -> DataFrame:
+CITY_DEFAULT_POLLUTANTS = ["PM2.5", "PM10", "NO2", "SO2"]
+
+
+def city_default(pollutant: str, city) -> "Column":
+    """The city-specific default of one of PM2.5/PM10/NO2/SO2 (unknown
+    cities take the fallback city's value)."""
+    i = CITY_DEFAULT_POLLUTANTS.index(pollutant)
+    fallback = K.CITY_DEFAULTS[K.CITY_DEFAULT_FALLBACK][i]
+    return X.lookup(city, {c: v[i] for c, v in K.CITY_DEFAULTS.items()}, default=fallback)
+
+
+def complete(
+    combined: DataFrame, keys: Sequence[str], defaults: dict | None = None, city_defaults: bool = False, city: str = "city"
+) -> DataFrame:
     """Wide row per entity with all twelve pollutants: the combined value
     when present and >= 0, else the default.  A fixed-list pivot is one
-    aggregation, no extra job to discover values."""
+    aggregation, no extra job to discover values.  ``city_defaults`` (off by
+    default) fills PM2.5, PM10, NO2 and SO2 from the city's own defaults."""
     defaults = defaults or K.UNIVERSAL_DEFAULTS
     wide = combined.groupBy(*keys).agg(
         *[F.max(F.when(F.col("pollutant") == p, F.col("value"))).alias(c) for p, c in K.POLLUTANTS]
     )
+
+    def fallback(p):
+        if city_defaults and p in CITY_DEFAULT_POLLUTANTS and city in keys:
+            return city_default(p, F.col(city))
+        return F.lit(float(defaults[p]))
+
     return wide.select(
         *keys,
-        *[
-            F.when(F.col(c).isNotNull() & (F.col(c) >= 0), F.col(c)).otherwise(F.lit(float(defaults[p]))).alias(c)
-            for p, c in K.POLLUTANTS
-        ],
+        *[F.when(F.col(c).isNotNull() & (F.col(c) >= 0), F.col(c)).otherwise(fallback(p)).alias(c) for p, c in K.POLLUTANTS],
     )
 
 
@@ -155,10 +172,11 @@ def pollutant_rows(
     keys: Sequence[str] = ("city", "date"),
     method: str = "mean",
     missing_as_zero: bool = False,
+    city_defaults: bool = False,
 ) -> DataFrame:
     """Clean live readings to one complete, repaired 12-pollutant row per entity."""
     v = valid(normalise(readings, missing_as_zero))
-    return pm_repair(complete(combine(v, list(keys), method), list(keys)))
+    return pm_repair(complete(combine(v, list(keys), method), list(keys), city_defaults=city_defaults))
 
 
 def pivot_wide(combined: DataFrame, keys: Sequence[str], pollutants: Sequence[str] = tuple(K.POLLUTANT_NAMES)) -> DataFrame:

@@ -22,23 +22,13 @@ DAILY_SCHEMA = T.StructType(
                 + [T.StructField(v, T.ArrayType(T.DoubleType())) for v in K.DAILY_WEATHER_VARS]
             ),
         ),
-        T.StructField(
-            "current",
-            T.StructType(
-                [
-                    T.StructField("temperature_2m", T.DoubleType()),
-                    T.StructField("relative_humidity_2m", T.DoubleType()),
-                    T.StructField("wind_speed_10m", T.DoubleType()),
-                    T.StructField("surface_pressure", T.DoubleType()),
-                ]
-            ),
-        ),
+        T.StructField("current", T.StructType([T.StructField(v, T.DoubleType()) for v in K.CURRENT_VARS])),
     ]
 )
 
 LANDED_SCHEMA_FIELDS = ["city", "date"]
 
-FORECAST_VARS = ["temperature_2m_max", "temperature_2m_min", "relative_humidity_2m_max", "wind_speed_10m_max", "precipitation_sum"]
+FORECAST_VARS = K.FORECAST_VARS
 WEATHER_COLUMNS = [f"weather_{v}" for v in K.DAILY_WEATHER_VARS]
 
 

@@ -1177,3 +1177,29 @@ def weather_for_dates(spark, sf):
     """Today's requests read current conditions, other dates the forecast day."""
     six = W.six_keys_for_dates(T.weather_requests(spark, sf), T.forecast_docs(spark, sf), T.current_docs(spark, sf, TODAY), TODAY)
     return six.select("city", "date", "source", *[X.rnd(F.col(k)).alias(k) for k in K.WEATHER_KEY_DEFAULTS], "weather_matched")
+
+
+def _city_default_sql(p: str) -> str:
+    i = R.CITY_DEFAULT_POLLUTANTS.index(p)
+    fb = K.CITY_DEFAULTS[K.CITY_DEFAULT_FALLBACK][i]
+    return O.case("city", {c: O.dbl(v[i]) for c, v in K.CITY_DEFAULTS.items()}, O.dbl(fb), raw_values=True)
+
+
+_CITY_WIDE = ",\n         ".join(
+    f"coalesce(max(CASE WHEN pollutant = {O.q(p)} AND value >= 0 THEN value END), "
+    f"{_city_default_sql(p) if p in R.CITY_DEFAULT_POLLUTANTS else O.dbl(K.UNIVERSAL_DEFAULTS[p])}) AS {c}"
+    for p, c in K.POLLUTANTS
+)
+
+
+@query(
+    "complete_city_defaults",
+    O.final(
+        (*O.BASE, O.VALID, O.CONC, f"cwide AS (SELECT city, date, {_CITY_WIDE} FROM conc GROUP BY city, date)"),
+        f"SELECT city, date, {_WIDE_COLS} FROM cwide",
+    ),
+)
+def complete_city_defaults(spark, sf):
+    """Completion with the city-specific defaults option switched on."""
+    w = R.complete(R.station_mean(_valid(spark, sf), ["city", "date"]), ["city", "date"], city_defaults=True)
+    return w.select("city", "date", *[X.rnd(F.col(c)).alias(c) for c in K.POLLUTANT_COLUMNS])

@@ -95,3 +95,14 @@ def test_pair_fold_sparse_large_ids(spark):
     df = spark.createDataFrame(rows, "city string, pollutant string, value double, reading_id long")
     got = R.pair_fold(df, ["city"]).first().value
     assert abs(got - seq_fold(vals)) < 1e-9
+
+
+def test_city_defaults_option(spark):
+    rows = [("Mumbai", "NO2", 10.0), ("Atlantis", "NO2", 10.0)]
+    c = spark.createDataFrame(rows, "city string, pollutant string, value double")
+    off = {r.city: r for r in R.complete(c, ["city"]).collect()}
+    on = {r.city: r for r in R.complete(c, ["city"], city_defaults=True).collect()}
+    assert off["Mumbai"].pm25 == K.UNIVERSAL_DEFAULTS["PM2.5"]
+    assert (on["Mumbai"].pm25, on["Mumbai"].pm10, on["Mumbai"].so2) == K.CITY_DEFAULTS["Mumbai"][:2] + (K.CITY_DEFAULTS["Mumbai"][3],)
+    assert on["Mumbai"].no2 == 10.0 and on["Mumbai"].co == K.UNIVERSAL_DEFAULTS["CO"]
+    assert on["Atlantis"].pm25 == K.CITY_DEFAULTS["Delhi"][0]
