@@ -60,12 +60,27 @@ def code_dimension(df: DataFrame, col: str) -> DataFrame:
     return ranked.join(F.broadcast(offsets), "_pid").select("_v", (F.col("_off") + F.col("_local")).cast("int").alias("_code"))
 
 
-def attach_codes(df: DataFrame, codes: DataFrame, col: str, out: str | None = None, derived: bool = True) -> DataFrame:
+def attach_codes(
+    df: DataFrame, codes: DataFrame, col: str, out: str | None = None, derived: bool = True, missing: int = -1
+) -> DataFrame:
     """Join a code dimension (``_v``, ``_code``) onto ``col``; values missing
-    from it get -1.  The dimension is broadcast only after its size check."""
+    from it get ``missing``.  The dimension is broadcast only after its size
+    check."""
     dim = broadcast_if_bounded(codes, derived=derived)
     out = out or f"{col}_encoded"
-    return df.join(dim, F.col(col) == dim["_v"], "left").withColumn(out, F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
+    return df.join(dim, F.col(col) == dim["_v"], "left").withColumn(out, F.coalesce("_code", F.lit(missing))).drop("_v", "_code")
+
+
+def default_code(codes: DataFrame, value: str, missing: int = -1) -> int:
+    """Code of one value in a code dimension (one tiny lookup), else ``missing``."""
+    row = codes.filter(F.col("_v") == value).select("_code").first()
+    return row["_code"] if row is not None else missing
+
+
+def attach_scoring_codes(df: DataFrame, codes: DataFrame, col: str = "city") -> DataFrame:
+    """Scoring-time codes from the training dimension; a city unseen in
+    training takes the default city's code (or -1 if that is unseen too)."""
+    return attach_codes(df, codes, col, missing=default_code(codes, K.DEFAULT_CITY))
 
 
 def with_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") -> DataFrame:

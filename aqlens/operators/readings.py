@@ -139,12 +139,19 @@ def city_default(pollutant: str, city) -> "Column":
 
 
 def complete(
-    combined: DataFrame, keys: Sequence[str], defaults: dict | None = None, city_defaults: bool = False, city: str = "city"
+    combined: DataFrame,
+    keys: Sequence[str],
+    defaults: dict | None = None,
+    city_defaults: bool = False,
+    city: str = "city",
+    zero_as_missing: bool = False,
 ) -> DataFrame:
     """Wide row per entity with all twelve pollutants: the combined value
     when present and >= 0, else the default.  A fixed-list pivot is one
     aggregation, no extra job to discover values.  ``city_defaults`` (off by
-    default) fills PM2.5, PM10, NO2 and SO2 from the city's own defaults."""
+    default) fills PM2.5, PM10, NO2 and SO2 from the city's own defaults;
+    ``zero_as_missing`` also replaces values equal to 0 (the stricter of the
+    two scoring paths)."""
     defaults = defaults or K.UNIVERSAL_DEFAULTS
     wide = combined.groupBy(*keys).agg(
         *[F.max(F.when(F.col("pollutant") == p, F.col("value"))).alias(c) for p, c in K.POLLUTANTS]
@@ -157,7 +164,12 @@ def complete(
 
     return wide.select(
         *keys,
-        *[F.when(F.col(c).isNotNull() & (F.col(c) >= 0), F.col(c)).otherwise(fallback(p)).alias(c) for p, c in K.POLLUTANTS],
+        *[
+            F.when(F.col(c).isNotNull() & ((F.col(c) > 0) if zero_as_missing else (F.col(c) >= 0)), F.col(c))
+            .otherwise(fallback(p))
+            .alias(c)
+            for p, c in K.POLLUTANTS
+        ],
     )
 
 
@@ -173,10 +185,12 @@ def pollutant_rows(
     method: str = "mean",
     missing_as_zero: bool = False,
     city_defaults: bool = False,
+    zero_as_missing: bool = False,
 ) -> DataFrame:
     """Clean live readings to one complete, repaired 12-pollutant row per entity."""
     v = valid(normalise(readings, missing_as_zero))
-    return pm_repair(complete(combine(v, list(keys), method), list(keys), city_defaults=city_defaults))
+    combined = combine(v, list(keys), method)
+    return pm_repair(complete(combined, list(keys), city_defaults=city_defaults, zero_as_missing=zero_as_missing))
 
 
 def pivot_wide(combined: DataFrame, keys: Sequence[str], pollutants: Sequence[str] = tuple(K.POLLUTANT_NAMES)) -> DataFrame:

@@ -89,7 +89,7 @@ def predict(spark: SparkSession, pages_path: str, forecast_path: str, model_dir:
     table = Fe.calendar(rows.join(six.select("city", "date", *W.WEATHER_COLUMNS), ["city", "date"]))
     codes = fit.tables.get("city_codes")
     if codes is not None:
-        table = Fe.attach_codes(table, codes, "city")
+        table = Fe.attach_scoring_codes(table, codes, "city")
     keep = ["city", "date", "pm25", "pm10", "no2", "so2"]
     scored = M.score(fit, table.select(*[c for c in table.columns if c not in ("pm25", "pm10", "no2", "so2")], *[F.col(c).alias(f"in_{c}") for c in keep[2:]]), keep=["city", "date", *[f"in_{c}" for c in keep[2:]]])
     preds = {p: f"pred_{K.COLUMN_OF[p]}" for p in K.TARGET_POLLUTANTS}

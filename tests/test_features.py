@@ -88,3 +88,13 @@ def test_code_dimension_distributed_rank(spark):
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "c string")
     got = {r._v: r._code for r in Fe.code_dimension(df, "c").collect()}
     assert got == {v: i for i, v in enumerate(sorted(set(vals), key=lambda x: x.encode()))}
+
+
+def test_scoring_codes_default_city(spark):
+    train = spark.createDataFrame([("Agra",), ("Delhi",), ("Pune",)], "city string")
+    codes = Fe.code_dimension(train, "city")
+    rows = spark.createDataFrame([("Pune",), ("Nowhere",)], "city string")
+    got = {r.city: r.city_encoded for r in Fe.attach_scoring_codes(rows, codes).collect()}
+    assert got == {"Pune": 2, "Nowhere": 1}  # unseen -> Delhi's code
+    only = Fe.code_dimension(spark.createDataFrame([("Agra",)], "city string"), "city")
+    assert Fe.attach_scoring_codes(rows, only).filter("city = 'Nowhere'").first().city_encoded == -1

@@ -106,3 +106,9 @@ def test_city_defaults_option(spark):
     assert (on["Mumbai"].pm25, on["Mumbai"].pm10, on["Mumbai"].so2) == K.CITY_DEFAULTS["Mumbai"][:2] + (K.CITY_DEFAULTS["Mumbai"][3],)
     assert on["Mumbai"].no2 == 10.0 and on["Mumbai"].co == K.UNIVERSAL_DEFAULTS["CO"]
     assert on["Atlantis"].pm25 == K.CITY_DEFAULTS["Delhi"][0]
+
+
+def test_zero_as_missing_option(spark):
+    c = spark.createDataFrame([("a", "NO2", 0.0)], "city string, pollutant string, value double")
+    assert R.complete(c, ["city"]).first().no2 == 0.0
+    assert R.complete(c, ["city"], zero_as_missing=True).first().no2 == K.UNIVERSAL_DEFAULTS["NO2"]
