@@ -194,6 +194,20 @@ def expected_range(pm25: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
+EXACT_DECIMAL = "decimal(38,10)"
+
+
+def exact_avg(c: Column | str) -> Column:
+    """Mean with an exact decimal sum (10 decimals), returned as double.
+
+    A double sum depends on the order rows meet in, which depends on the
+    partitioning; a decimal sum does not, so a mean that is exactly 39.0 (a
+    sub-index boundary) or a rounding tie comes out the same on every run,
+    cluster size and engine.  The sum buffer holds 28 integer digits."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.avg(col.cast(EXACT_DECIMAL)).cast("double")
+
+
 def hsum(cols: list[Column]) -> Column:
     """Horizontal sum, nulls counted as 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in cols])

@@ -60,7 +60,7 @@ def valid(df: DataFrame) -> DataFrame:
 
 def station_mean(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Plain mean per (keys, pollutant): what the averaging option promises."""
-    return df.groupBy(*keys, "pollutant").agg(F.avg("value").alias("value"))
+    return df.groupBy(*keys, "pollutant").agg(X.exact_avg("value").alias("value"))
 
 
 def first_value(df: DataFrame, keys: Sequence[str], order: str = "reading_id") -> DataFrame:

@@ -140,7 +140,7 @@ VALID = """valid AS (
   SELECT * FROM norm WHERE length(pollutant) > 0 AND value IS NOT NULL AND value >= 0)"""
 
 CONC = """conc AS (
-  SELECT city, date, pollutant, avg(value) AS value FROM valid GROUP BY city, date, pollutant)"""
+  SELECT city, date, pollutant, CAST(avg(CAST(value AS DECIMAL(38,10))) AS DOUBLE) AS value FROM valid GROUP BY city, date, pollutant)"""
 
 SUBS = f"""subs AS (
   SELECT city, date, pollutant, value, {sub_index('pollutant', 'value')} AS sub_index FROM conc)"""
@@ -207,7 +207,7 @@ def round1_half_even(x: str) -> str:
 
 def weather_ctes() -> tuple[str, ...]:
     stats = """wstats AS (
-  SELECT city, date, min(value) AS vmin, max(value) AS vmax, avg(value) AS vavg, count(*) AS n
+  SELECT city, date, min(value) AS vmin, max(value) AS vmax, CAST(avg(CAST(value AS DECIMAL(38,10))) AS DOUBLE) AS vavg, count(*) AS n
   FROM valid GROUP BY city, date)"""
     cols = ", ".join(f"CAST({f} AS DOUBLE) AS {k}" for k, f in T.WEATHER_FORMULAS.items())
     daily = f"wdaily AS (SELECT city, date, {cols} FROM wstats)"
@@ -260,7 +260,7 @@ def current_ctes(today: str) -> tuple[str, ...]:
     d = K.WEATHER_KEY_DEFAULTS
     cols = ", ".join(f"CAST({f} AS DOUBLE) AS {k}" for k, f in T.CURRENT_FORMULAS.items())
     return (
-        f"""cstats AS (SELECT city, min(value) AS vmin, avg(value) AS vavg FROM valid
+        f"""cstats AS (SELECT city, min(value) AS vmin, CAST(avg(CAST(value AS DECIMAL(38,10))) AS DOUBLE) AS vavg FROM valid
   WHERE date = DATE '{today}' GROUP BY city)""",
         f"cur AS (SELECT city, vmin, {cols} FROM cstats)",
         f"""six_all AS (

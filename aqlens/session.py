@@ -54,36 +54,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/aqlens/{name}-{uuid.uuid4().hex}"
 
 
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, derived: bool = False) -> DataFrame:
+    """Broadcast a dimension only behind a size check, with a shuffle join
+    beyond it.
 
+    * A dimension read from files is left unhinted: the planner sizes it from
+      the scan statistics and broadcasts it only below
+      ``spark.sql.autoBroadcastJoinThreshold``, else plans a sort-merge join.
+    * A ``derived`` dimension (an aggregate of the data, whose estimate is
+      not a bound) is persisted and counted, so the count and the join share
+      one computation, and hinted only when within ``max_rows``.
 
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a frame (bytes), as used for its own
-    broadcast decisions; no job runs.  None when unavailable."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else size.toString())
-    except Exception:  # noqa: BLE001 - e.g. a remote session without the JVM handle
-        return None
-
-
-def broadcast_if_bounded(
-    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, derived: bool = False, max_bytes: int = BROADCAST_MAX_BYTES
-) -> DataFrame:
-    """Hint a broadcast only after proving the frame is small.
-
-    Above the bound the frame is returned unhinted and the planner (AQE) picks
-    a shuffle join.  A dimension read from files is sized from the scan's
-    statistics (file sizes of the pruned columns, no job).  A ``derived``
-    dimension (an aggregate of the data, whose estimate is not a bound) is
-    persisted and counted, so the count and the join share one computation.
     Frames built from the constants module have a known size and use
     ``F.broadcast`` directly.
     """
     if not derived:
-        size = plan_size_bytes(df)
-        if size is not None:
-            return F.broadcast(df) if size <= max_bytes else df
+        return df
     df = df.persist()
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df

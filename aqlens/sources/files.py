@@ -56,13 +56,6 @@ def clean_header(df: DataFrame) -> DataFrame:
     return df.toDF(*[X.clean_name(c) for c in df.columns])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(p)) and len(fs.globStatus(p)) > 0
-
-
 def read_yearly_csv(spark: SparkSession, path: str) -> DataFrame:
     """Yearly good/bad day counts (wide); count columns are picked by the
     substrings 'Good Days' / 'Bad Days' and cast to int (bad text -> null)."""
@@ -95,13 +88,17 @@ def read_city_day_csv(spark: SparkSession, path: str, drop_incomplete: bool = Tr
     return df.dropna("any") if drop_incomplete else df
 
 
+def _missing(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e)
+
+
 def read_required(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
     """Read a table that must exist; a missing path raises FileNotFoundError
     with a message instead of an analysis error deep in a plan."""
     try:
         return spark.read.format(fmt).options(**options).load(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+        if _missing(e):
             raise FileNotFoundError(f"{path} not found: run the step that produces it first") from e
         raise
 
@@ -138,12 +135,23 @@ def empty_readings(spark: SparkSession) -> DataFrame:
 
 
 def load_readings(spark: SparkSession, pages_path: str | None, csv_path: str | None) -> DataFrame:
-    """Fallback chain: landed pages, else the CSV snapshot, else empty.  The
-    choice is made on the driver from the paths alone."""
-    if pages_path and _exists(spark, pages_path):
-        return read_pages(spark, pages_path)
-    if csv_path and _exists(spark, csv_path):
-        return read_readings_csv(spark, csv_path)
+    """Fallback chain: landed pages, else the CSV snapshot, else empty.  A
+    source counts as absent when its path does not exist or it holds no
+    record (``isEmpty`` reads at most one row)."""
+    if pages_path:
+        try:
+            pages = read_pages(spark, pages_path)
+            if not pages.isEmpty():
+                return pages
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
+    if csv_path:
+        try:
+            return read_readings_csv(spark, csv_path)
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
     return empty_readings(spark)
 
 

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aqlens import constants as K
-from aqlens.functions.exprs import lookup
-from aqlens.session import BROADCAST_MAX_BYTES, broadcast_if_bounded, plan_size_bytes
+from aqlens.functions.exprs import exact_avg, lookup
 
 # TEST DATA MAPPING constants (shared with the SQL oracle).
 EVENT_POLLUTANT = {"click": "PM2.5", "view": "pm10", "purchase": "NO2", "signup": "SO2", "error": "OZONE"}
@@ -55,15 +54,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def nation_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(n_nationkey, n_regionkey, city, state): one row per nation.
 
-    Both inputs are sized from their scan statistics (no job); the inner
-    join on the region key yields at most one row per nation, so when the
-    nation scan is within the bound the result is hinted for broadcast."""
+    Both inputs are small files; the planner broadcasts them by their scan
+    statistics (below the broadcast threshold), so no hint or job is needed."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    size = plan_size_bytes(nation)
-    small = size is not None and size <= BROADCAST_MAX_BYTES
     named = F.array(*[F.lit(c) for c in TEST_CITIES])
-    geo = nation.join(broadcast_if_bounded(region), nation.n_regionkey == region.r_regionkey).select(
+    return nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey",
         "n_regionkey",
         F.when(F.col("n_nationkey") < NAMED_NATIONS, F.element_at(named, F.col("n_nationkey") + 1))
@@ -71,7 +67,6 @@ def nation_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("city"),
         F.col("r_name").alias("state"),
     )
-    return F.broadcast(geo) if small else geo
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +167,7 @@ def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     v = valid(normalise(readings(spark, sf_dir)))
     stats = v.groupBy("city", "date").agg(
-        F.min("value").alias("vmin"), F.max("value").alias("vmax"), F.avg("value").alias("vavg"), F.count(F.lit(1)).alias("n")
+        F.min("value").alias("vmin"), F.max("value").alias("vmax"), exact_avg("value").alias("vavg"), F.count(F.lit(1)).alias("n")
     )
     return stats.select("city", "date", *[F.expr(f).cast("double").alias(k) for k, f in WEATHER_FORMULAS.items()])
 
@@ -231,7 +226,7 @@ def current_docs(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
     from aqlens.operators.readings import normalise, valid
 
     v = valid(normalise(readings(spark, sf_dir))).filter(F.col("date") == F.to_date(F.lit(day)))
-    stats = v.groupBy("city").agg(F.min("value").alias("vmin"), F.avg("value").alias("vavg"))
+    stats = v.groupBy("city").agg(F.min("value").alias("vmin"), exact_avg("value").alias("vavg"))
     current = F.struct(*[F.expr(f).cast("double").alias(k) for k, f in CURRENT_FORMULAS.items()])
     daily = F.struct(F.array(F.col("vmin")).alias("precipitation_sum"))
     return stats.select("city", F.to_json(F.struct(daily.alias("daily"), current.alias("current"))).alias("payload"))
