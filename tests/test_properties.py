@@ -59,3 +59,20 @@ def test_tiles_approx_close_to_exact(spark, sf_small):
     assert exact.n_rows == approx.n_rows
     for c in ("n_stations", "n_states", "n_cities"):
         assert abs(exact[c] - approx[c]) <= max(1, 0.1 * exact[c])
+
+
+def test_exact_mean_independent_of_partitioning(spark):
+    import random
+
+    from aqlens.functions import exprs as X
+
+    rnd = random.Random(9)
+    rows = [("g", round(rnd.uniform(0, 500), 2)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {
+        n: df.repartition(n).groupBy("k").agg(X.exact_avg("v").alias("m")).first().m
+        for n in (1, 7, 64)
+    }
+    assert len(set(got.values())) == 1
+    exact = sum(round(v * 100) for _, v in rows) / 100 / len(rows)
+    assert abs(got[1] - exact) < 1e-12
