@@ -39,7 +39,15 @@ def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scoring_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to score: completed pollutant rows with weather synthesised from
     the forecast six keys, and calendar features (codes come from the
-    training dimension at scoring time)."""
-    six = W.synthesise_daily(W.match_forecast_day(T.weather_requests(spark, sf_dir), T.forecast_docs(spark, sf_dir)))
+    training dimension at scoring time).  The weather requests are the rows'
+    own (city, date) keys, so the readings are scanned once."""
+    rows = daily_rows(spark, sf_dir)
+    requests = rows.select(
+        "city",
+        "date",
+        F.date_format("date", "yyyy-MM-dd").alias("date_text"),
+        F.to_date(F.date_trunc("week", F.date_add("date", T.REQUEST_SHIFT_DAYS))).alias("doc_key"),
+    )
+    six = W.synthesise_daily(W.match_forecast_day(requests, T.forecast_docs(spark, sf_dir)))
     six = six.select("city", "date", *W.WEATHER_COLUMNS)
-    return Fe.calendar(daily_rows(spark, sf_dir).join(six, ["city", "date"], "inner"))
+    return Fe.calendar(rows.join(six, ["city", "date"], "inner"))

@@ -148,3 +148,21 @@ def test_late_unique_row_is_kept(spark, tmp_path):
     Sx.run_available(stream.select(*Sx.DEDUPE_KEYS, "event_time"), f"{root}/o", f"{root}/c")
     got = sorted(r.station for r in spark.read.parquet(f"{root}/o").collect())
     assert got == ["s1", "s2"]  # late s2 kept, repeated s1 dropped
+
+
+def test_weather_for_dates_routes_by_date_class(spark):
+    fdoc = '{"daily": {"time": ["2024-01-15", "2024-01-16"], "temperature_2m_max": [30.0, 20.0], "temperature_2m_min": [10.0, 10.0]}}'
+    cdoc = '{"current": {"temperature_2m": 17.5, "surface_pressure": 999.0}, "daily": {"precipitation_sum": [2.0]}}'
+    forecast = spark.createDataFrame([("A", "w", fdoc)], "city string, doc_key string, payload string")
+    current = spark.createDataFrame([("A", cdoc)], "city string, payload string")
+    req = spark.createDataFrame(
+        [("A", "2024-01-15", "2024-01-15", "w"), ("A", "2024-01-16", "2024-01-16", "w"), ("B", "2024-01-15", "2024-01-15", "w")],
+        "city string, d string, date_text string, doc_key string",
+    ).withColumn("date", F.to_date("d")).drop("d")
+    got = {(r.city, r.date_text): r for r in W.six_keys_for_dates(req, forecast, current, "2024-01-15").collect()}
+    t = got[("A", "2024-01-15")]
+    assert (t.source, t.T, t.BP, t.RF) == ("current", 17.5, 999.0, 2.0)
+    f = got[("A", "2024-01-16")]
+    assert (f.source, f.T, f.weather_matched) == ("forecast", 15.0, True)
+    b = got[("B", "2024-01-15")]
+    assert (b.source, b.T, b.BP) == ("current", 25.0, 1013.0)
