@@ -77,6 +77,10 @@ def match_forecast_day(requests: DataFrame, docs: DataFrame, keys=("city", "doc_
     A request joins one document on its keys (equi-join; AQE picks broadcast
     or sort-merge by the runtime size), and the day is picked by array
     position, so no per-day explode is needed.
+
+    As in the application, ``RH`` is the day's *maximum* relative humidity
+    and ``WS`` the day's *maximum* wind speed (forecasts carry no means);
+    ``T`` is the mean of the day's maximum and minimum temperature.
     """
     d = _daily(docs, payload)
     joined = requests.join(docs, list(keys), "left")
