@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from aqlens.session import scratch_path
@@ -43,10 +45,8 @@ def remove(df: DataFrame) -> None:
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = FLUSH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about ``limit`` bytes of a binary column."""
-    import numpy as np
-
     col = batch.column(column)
-    sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes, dtype=np.int64)
     start, base = 0, 0
     while start < len(total):
