@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqlens.llm import bpe, exact, packing
+from aqlens.llm import bpe, exact, packing, simhash
 from aqlens.llm.common import table
 
 
@@ -42,10 +42,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and the components of those that differ
+    in at most 4 bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_simhash": op6_simhash,
 }
 
 # Queries that DuckDB can express; the others are tested against brute force.
