@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from aqlens.llm.common import slices
 
 # Stretches kept in each generation of a worker's memo.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 250_000
 MEMO_PIECE_CHARS = 64
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 500_000
 
 
 class _Pairs(dict):
