@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqlens.llm import bpe, exact, packing, quality, secrets, simhash
+from aqlens.llm import ann, bpe, exact, packing, quality, secrets, simhash
 from aqlens.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the training fold."""
     docs = table(spark, sf_dir, "documents")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_simhash": op6_simhash,
+    "op8_multi_index": op8_multi_index,
     "op9_quality": op9_quality,
 }
 
