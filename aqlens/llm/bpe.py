@@ -16,6 +16,7 @@ separately.  Nulls count as the empty text.  Empty texts have no ids.
 from __future__ import annotations
 
 import base64
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from aqlens.llm.common import slices
 
 # Stretches kept in each generation of a worker's memo.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 300_000
 MEMO_PIECE_CHARS = 64
+# Characters that are neither letters, numbers nor white space.
+SIGNS = string.punctuation
 MEMO_PAIRS = 500_000
 
 
@@ -157,8 +160,6 @@ class Vocabulary:
         word = text[1:] if text[:1] == " " else text
         if word.isalpha():  # one match of letters, with the space before it
             return self.encode_piece(text.encode("utf-8"))
-        if word[-1:] in (".", ",") and word[:-1].isalpha():
-            return self.encode_piece(text[:-1].encode("utf-8")) + self.encode_piece(text[-1:].encode())
         out: list[int] = []
         for piece in self.pattern.findall(text):
             out += self.encode_piece(piece.encode("utf-8"))
@@ -175,10 +176,15 @@ class _Memo(dict):
     old one, from which stretches met again are taken over.
     """
 
-    def __init__(self, vocabulary: Vocabulary, prefix: str):
-        self.vocabulary, self.prefix, self.old = vocabulary, prefix, {}
+    def __init__(self, vocabulary: Vocabulary, prefix: str, signs: dict[str, bytes] | None = None):
+        self.vocabulary, self.prefix, self.signs, self.old = vocabulary, prefix, signs, {}
 
     def __missing__(self, stretch: str) -> bytes:
+        # letters followed by signs are two matches: the word is kept once,
+        # whatever stands after it
+        word = stretch.rstrip(SIGNS)
+        if self.signs is not None and len(word) < len(stretch) and word.isalpha():
+            return self[word] + self.signs[stretch[len(word) :]]
         packed = self.old.get(stretch)
         if packed is None:
             packed = array("i", self.vocabulary.encode(self.prefix + stretch)).tobytes()
@@ -199,7 +205,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.first, self.spaced = _Memo(vocabulary, ""), _Memo(vocabulary, " ")
+        signs = _Memo(vocabulary, "")
+        self.first, self.spaced = _Memo(vocabulary, "", signs), _Memo(vocabulary, " ", signs)
 
     def packed(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
