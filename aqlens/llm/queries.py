@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqlens.llm import ann, bpe, exact, langid, packing, pii, quality, secrets, simhash
+from aqlens.llm import ann, bpe, exact, langid, packing, passages, pii, quality, secrets, simhash
 from aqlens.llm.common import table
 
 
@@ -87,6 +87,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that repeat an earlier document."""
+    return passages.mark_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_surrogates": op7_surrogates,
     "op8_multi_index": op8_multi_index,
     "op9_quality": op9_quality,
+    "op10_passages": op10_passages,
 }
 
 # Queries that DuckDB can express; the others are tested against brute force.
