@@ -31,7 +31,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = scratch_path(spark, name)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    # an empty table has no files to read the schema from
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(df: DataFrame) -> None:

@@ -169,21 +169,15 @@ def exact_dedup(
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     found = written(exact_dedup(df, id_col, text_col), "exact-result")
-    key = [F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")]
-    gone = found.filter("not kept").select(*key).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE_SQL, " "), 256)
-    marked = df.withColumn("__sha_of_row", sha)
-    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha_of_row") == F.col("__sha"))
-    out = marked.join(gone, same, "left_anti")
+    gone = found.filter("not kept").select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE_SQL, " ")
+    # the row as one column, so that its names can't clash
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"))
+    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
     # Rows that repeat id and text: the join removes them all, one comes back.
-    again = found.filter("kept").select(*key).join(
-        gone.withColumnsRenamed({"__id": "__i", "__sha": "__s"}),
-        F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__sha") == F.col("__s")),
-        "left_semi",
-    )
+    kept = found.filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    again = kept.join(gone, F.col("kept_id").eqNullSafe(F.col("gone_id")) & (F.col("kept_sha") == F.col("gone_sha")), "left_semi")
     if not again.isEmpty():
-        back = marked.join(again, same, "left_semi")
-        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-        back = back.groupBy(F.col(id_col).alias("__id"), F.col("__sha_of_row")).agg(F.min(row).alias("__row"))
-        out = out.drop("__sha_of_row").unionByName(back.select("__row.*"))
-    return out.drop("__sha_of_row")
+        back = rows.join(again, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+        out = out.unionByName(back.groupBy("id", "sha").agg(F.min("row").alias("row")))
+    return out.select("row.*")

@@ -239,12 +239,16 @@ def drop_near_duplicates(
     component has a document with one, else all of them stay."""
     found = written(near_duplicates(df, shingle, distance, id_col, text_col), "simhash-result")
     # without an id a row is known by its fingerprint alone
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), "fingerprint")
-    out = df.join(gone.filter("__id is not null").select("__id").distinct(), F.col(id_col) == F.col("__id"), "left_anti")
-    nameless = gone.filter("__id is null").distinct()
-    if nameless.isEmpty():
-        return out
-    keyed = fingerprints(df.filter(F.col(id_col).isNull()).select(F.col(text_col).alias("__text"), F.struct("*").alias("__row")), shingle, "__row", "__text")
-    hexed = keyed.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
-    back = hexed.join(nameless.select("fingerprint"), "fingerprint", "left_anti").select("id.*")
-    return out.filter(F.col(id_col).isNotNull()).unionByName(back)
+    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id"), "fingerprint")
+    # the row as one column, so that its names can't clash
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    named = gone.filter("gone_id is not null").select("gone_id").distinct()
+    out = rows.join(named, F.col("id") == F.col("gone_id"), "left_anti").select("row")
+    nameless = gone.filter("gone_id is null").select("fingerprint").distinct()
+    if not nameless.isEmpty():
+        keyed = fingerprints(rows.filter("id is null"), shingle, "row", "text")
+        keyed = keyed.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+        back = keyed.join(nameless, "fingerprint", "left_anti").select(F.col("id").alias("row"))
+        out = out.filter(F.col(f"row.`{id_col}`").isNotNull()).unionByName(back)
+    return out.select("row.*")
