@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from aqlens.session import scratch_path
 
@@ -35,6 +36,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """Broadcast a written table of at most ``most`` rows; a larger one is left
+    to a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a written table that nothing reads any more."""
     spark = df.sparkSession

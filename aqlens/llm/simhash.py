@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aqlens.llm.common import slices, written
+from aqlens.llm.common import sized, slices, written
 from aqlens.llm.graph import components
 
 BITS = 64
@@ -42,6 +42,8 @@ SHINGLE = 4
 CHAIN = 2
 SEED = 42
 BLOCK = 256
+# Keys of two or more fingerprints, up to which their table goes to all tasks.
+BROADCAST_KEYS = 1_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -191,7 +193,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chain: int = CHAIN, blo
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
     members = (
-        keyed.join(shared, ["tag", "masked"])
+        keyed.join(sized(shared, BROADCAST_KEYS), ["tag", "masked"])
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
