@@ -22,7 +22,6 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("city_day_csv")
     t.add_argument("weather_docs")
     t.add_argument("out_dir")
-    t.add_argument("--full", action="store_true", help="100 trees of depth 20 instead of the quick setting")
     d = sub.add_parser("dashboard")
     for a in ("yearly_csv", "state_csv", "pages", "out_dir"):
         d.add_argument(a)
@@ -32,11 +31,10 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
 
     from aqlens.plans import jobs
-    from aqlens.plans import models as M
 
     spark = SparkSession.builder.appName(f"aqlens-{args.job}").getOrCreate()
     if args.job == "train":
-        jobs.offline_training(spark, args.city_day_csv, args.weather_docs, args.out_dir, M.FULL if args.full else M.QUICK).show()
+        jobs.offline_training(spark, args.city_day_csv, args.weather_docs, args.out_dir).show()
     elif args.job == "dashboard":
         jobs.dashboard(spark, args.yearly_csv, args.state_csv, args.pages, args.out_dir)
     else:

@@ -228,6 +228,33 @@ CITY_COORDINATES = {
     "Shillong": (25.5788, 91.8933),
     "Thiruvananthapuram": (8.5241, 76.9366),
     "Visakhapatnam": (17.6868, 83.2185),
+    "Agra": (27.1767, 78.0081),
+    "Allahabad": (25.4358, 81.8463),
+    "Aurangabad": (19.8762, 75.3433),
+    "Dhanbad": (23.7957, 86.4304),
+    "Faridabad": (28.4089, 77.3178),
+    "Ghaziabad": (28.6692, 77.4538),
+    "Gwalior": (26.2183, 78.1828),
+    "Howrah": (22.5958, 88.2636),
+    "Indore": (22.7196, 75.8577),
+    "Jabalpur": (23.1815, 79.9864),
+    "Jodhpur": (26.2389, 73.0243),
+    "Kalyan-Dombivali": (19.2403, 73.1305),
+    "Kanpur": (26.4499, 80.3319),
+    "Kota": (25.2138, 75.8648),
+    "Ludhiana": (30.9010, 75.8573),
+    "Madurai": (9.9252, 78.1198),
+    "Meerut": (28.9845, 77.7064),
+    "Nagpur": (21.1458, 79.0882),
+    "Nashik": (19.9975, 73.7898),
+    "Navi Mumbai": (19.0330, 73.0297),
+    "Raipur": (21.2514, 81.6296),
+    "Ranchi": (23.3441, 85.3096),
+    "Srinagar": (34.0837, 74.7973),
+    "Vadodara": (22.3072, 73.1812),
+    "Varanasi": (25.3176, 82.9739),
+    "Vasai-Virar": (19.4912, 72.8054),
+    "Vijayawada": (16.5062, 80.6480),
 }
 DEFAULT_CITY = "Delhi"
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from aqlens import constants as K
 
 MISSING_TEXT = K.MISSING_TEXT
-READING_TIME_FORMATS = ["dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+# Day first, with one or two digits, '-' or '/', with or without a time; ISO.
+READING_TIME_FORMATS = ["d-M-yyyy H:m:s", "d-M-yyyy H:m", "d-M-yyyy", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d"]
 
 
 def lookup(key: Column, mapping: Mapping, default=None) -> Column:
@@ -57,7 +58,8 @@ def parse_float(c: Column, missing_as_zero: bool = False) -> Column:
 
 def parse_reading_time(c: Column) -> Column:
     """Day-first timestamp text to timestamp; bad text -> null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in READING_TIME_FORMATS])
+    t = F.translate(F.regexp_replace(strip_text(c), "(?<=[0-9])T(?=[0-9])", " "), "/", "-")
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(fmt)) for fmt in READING_TIME_FORMATS])
 
 
 def canonical_pollutant(raw: Column) -> Column:
@@ -195,6 +197,7 @@ def expected_range(pm25: Column) -> tuple[Column, Column]:
 
 
 EXACT_DECIMAL = "decimal(38,10)"
+EXACT_LIMIT = 1e15
 
 
 def exact_avg(c: Column | str) -> Column:
@@ -203,9 +206,12 @@ def exact_avg(c: Column | str) -> Column:
     A double sum depends on the order rows meet in, which depends on the
     partitioning; a decimal sum does not, so a mean that is exactly 39.0 (a
     sub-index boundary) or a rounding tie comes out the same on every run,
-    cluster size and engine.  The sum buffer holds 28 integer digits."""
+    cluster size and engine.  The sum holds 28 integer digits; a group with a
+    value beyond EXACT_LIMIT gets the mean of the doubles instead."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.avg(col.cast(EXACT_DECIMAL)).cast("double")
+    fits = F.abs(col) <= EXACT_LIMIT
+    exact = F.avg(F.when(fits, col.cast("double")).try_cast(EXACT_DECIMAL)).cast("double")
+    return F.when(F.max(F.abs(col)) <= EXACT_LIMIT, exact).otherwise(F.avg(col.cast("double")))
 
 
 def hsum(cols: list[Column]) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aqlens import constants as K
@@ -99,26 +99,35 @@ def tiles(norm: DataFrame, approx: bool = False) -> DataFrame:
     application counts them), distinct stations, states, cities, mean and max
     AQI (the reading value as proxy) and the latest update.
 
-    Exact distinct counts expand each row once per counted column before the
-    partial aggregation; ``approx`` uses HyperLogLog sketches instead (one
-    pass, fixed-size buffers, about 5 % relative error)."""
+    Exact distinct counts would expand each row once per counted column, so
+    the rows are first reduced to one per (state, city, station); ``approx``
+    uses HyperLogLog sketches instead (one pass, fixed-size buffers, about 5 %
+    relative error)."""
     distinct = F.approx_count_distinct if approx else F.count_distinct
-    return norm.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    places = norm.groupBy("state", "city", "station").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("value").alias("s"),
+        F.count("value").alias("n_values"),
+        F.max("value").alias("high"),
+        F.max("datetime").alias("last"),
+    )
+    return places.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         distinct("station").alias("n_stations"),
         distinct("state").alias("n_states"),
         distinct("city").alias("n_cities"),
-        F.avg("value").alias("mean_aqi"),
-        F.max("value").alias("max_aqi"),
-        F.max("datetime").alias("latest_update"),
+        F.try_divide(F.sum("s"), F.sum("n_values")).alias("mean_aqi"),
+        F.max("high").alias("max_aqi"),
+        F.max("last").alias("latest_update"),
     )
 
 
 def frequency(df: DataFrame, key: str = "pollutant_id") -> DataFrame:
     """Rows per value, with the share of all rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    # one row per distinct key reaches this window
-    return counts.withColumn("share_pct", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()))
+    # the total is one row, so it goes to every task
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).select(key, "n", (F.lit(100.0) * F.col("n") / F.col("_total")).alias("share_pct"))
 
 
 def latest(norm: DataFrame, n: int = 50, cols: Sequence[str] = ("state", "city", "station", "pollutant_id", "value", "last_update")) -> DataFrame:
@@ -129,14 +138,9 @@ def latest(norm: DataFrame, n: int = 50, cols: Sequence[str] = ("state", "city",
 
 def distinct_options(df: DataFrame, cols: Sequence[str] = ("state", "city")) -> DataFrame:
     """Sorted distinct non-blank values per column, as (kind, value)."""
-    parts = [
-        df.select(F.lit(c).alias("kind"), X.strip_text(F.col(c)).alias("value")).filter(F.length("value") > 0).distinct()
-        for c in cols
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("kind", "value")
+    combos = df.select(*[X.strip_text(F.col(c)).alias(c) for c in cols]).distinct()  # one scan
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in cols]))
+    return combos.select(each).filter(F.length("value") > 0).distinct().orderBy("kind", "value")
 
 
 def filter_state_city(df: DataFrame, state: str = ALL, city: str = ALL) -> DataFrame:
@@ -151,7 +155,7 @@ def filter_state_city(df: DataFrame, state: str = ALL, city: str = ALL) -> DataF
 def map_points(norm: DataFrame) -> DataFrame:
     """Rows with numeric coordinates, for a map."""
     return norm.select(
-        "reading_id", "lat", "lon", "state", "city", "station", "pollutant_id", "value", F.coalesce("value", F.lit(MARKER_FILL)).alias("marker_value")
+        *[c for c in ("reading_id",) if c in norm.columns], "lat", "lon", "state", "city", "station", "pollutant_id", "value", F.coalesce("value", F.lit(MARKER_FILL)).alias("marker_value")
     ).dropna(subset=["lat", "lon"])
 
 

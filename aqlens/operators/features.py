@@ -14,7 +14,6 @@ from aqlens.functions import exprs as X
 from aqlens.session import broadcast_if_bounded, checkpoint_root
 
 # A distinct-value list is pulled to the driver only below this size.
-MAX_ONE_HOT_VALUES = 1000
 MEDIAN_COLLECT_LIMIT = 50_000
 
 
@@ -90,19 +89,29 @@ def with_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") ->
     return df
 
 
-def distinct_values(df: DataFrame, col: str, limit: int = MAX_ONE_HOT_VALUES) -> list:
-    """Sorted distinct values of a low-cardinality column (size-checked)."""
-    vals = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(vals) > limit:
-        raise ValueError(f"{col} has more than {limit} distinct values; pass the value list explicitly")
-    return sorted(r[0] for r in vals)
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a category column.  Each becomes a column, so
+    the list is as long as the schema it makes."""
+    return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None, values: Sequence | None = None) -> DataFrame:
     """Boolean column per value (sorted); null input -> all false."""
     prefix = prefix or col
     values = list(values) if values is not None else distinct_values(df, col)
-    return df.withColumns({one_hot_name(prefix, v): F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for v in values})
+    names = one_hot_names(prefix, values)
+    return df.withColumns({n: F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for n, v in zip(names, values)})
+
+
+def one_hot_names(prefix: str, values: Sequence) -> list[str]:
+    """Column names of the values; a name that is taken gets a number."""
+    taken: dict[str, int] = {}
+    out = []
+    for v in values:
+        name = one_hot_name(prefix, v)
+        taken[name.lower()] = n = taken.get(name.lower(), 0) + 1
+        out.append(name if n == 1 else f"{name}__{n}")
+    return out
 
 
 def one_hot_name(prefix: str, value) -> str:

@@ -25,18 +25,21 @@ def normalise(readings: DataFrame, missing_as_zero: bool = False) -> DataFrame:
     Adds ``pollutant`` (canonical), ``value`` / ``value_min`` / ``value_max``
     (double), ``datetime`` (parsed day-first time), ``date``, ``hour``,
     ``day``, ``month``, ``lat`` and ``lon`` (double).  The average is taken
-    from ``avg_value`` when present, else ``pollutant_avg``.
+    from ``avg_value`` where the row has one, else from ``pollutant_avg``.
     """
     cols = set(readings.columns)
-    avg = "avg_value" if "avg_value" in cols else "pollutant_avg"
-    vmin = "min_value" if "min_value" in cols else "pollutant_min"
-    vmax = "max_value" if "max_value" in cols else "pollutant_max"
+
+    def number(*names: str, zero: bool = False):
+        """The first of the columns that the row has a value in."""
+        held = [F.col(n).cast("string") for n in names if n in cols]
+        return X.parse_float(F.coalesce(*held), zero) if held else F.lit(None).cast("double")
+
     out = readings.withColumns(
         {
             "pollutant": X.canonical_pollutant(F.col("pollutant_id")),
-            "value": X.parse_float(F.col(avg), missing_as_zero) if avg in cols else F.lit(None).cast("double"),
-            "value_min": X.parse_float(F.col(vmin)) if vmin in cols else F.lit(None).cast("double"),
-            "value_max": X.parse_float(F.col(vmax)) if vmax in cols else F.lit(None).cast("double"),
+            "value": number("avg_value", "pollutant_avg", zero=missing_as_zero),
+            "value_min": number("min_value", "pollutant_min"),
+            "value_max": number("max_value", "pollutant_max"),
             "datetime": X.parse_reading_time(F.col("last_update")),
         }
     )

@@ -41,13 +41,24 @@ def _daily(docs: DataFrame, payload: str):
 
 
 def _kept(docs: DataFrame, payload: str) -> list[str]:
-    return [c for c in docs.columns if c not in (payload, "daily", "current")]
+    return [c for c in docs.columns if c not in (payload, "daily", "current", "landed_at")]
+
+
+def newest(docs: DataFrame, keys) -> DataFrame:
+    """One document per key: the one landed last (where that is known), ties
+    by content.  Grouped by the keys that a join on them then reuses."""
+    own = [c for c in docs.columns if c not in keys]
+    order = [c for c in ("landed_at",) if c in own] + [c for c in own if c != "landed_at"]
+    best = docs.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_doc"))
+    return best.select(*keys, *[F.col(f"_doc.{c}").alias(c) for c in own])
 
 
 def parse_daily(docs: DataFrame, payload: str = "payload") -> DataFrame:
     """Daily archive documents -> one row per request with ``weather_<var>``
-    columns holding the first element of each array (null when absent).
+    columns holding the first element of each array (null when absent); of
+    documents for the same request the newest.
     The ``time`` key is dropped rather than turned into a feature."""
+    docs = newest(docs, _kept(docs, payload))
     d = _daily(docs, payload)
     return docs.select(
         *_kept(docs, payload), *[F.try_element_at(d[v], F.lit(1)).alias(f"weather_{v}") for v in K.DAILY_WEATHER_VARS]
@@ -82,6 +93,7 @@ def match_forecast_day(requests: DataFrame, docs: DataFrame, keys=("city", "doc_
     and ``WS`` the day's *maximum* wind speed (forecasts carry no means);
     ``T`` is the mean of the day's maximum and minimum temperature.
     """
+    docs = newest(docs, list(keys))
     d = _daily(docs, payload)
     joined = requests.join(docs, list(keys), "left")
     hits = F.filter(F.transform(d["time"], lambda t, i: F.when(F.startswith(t, F.col("date_text")), i + 1)), lambda x: x.isNotNull())
@@ -106,6 +118,16 @@ def match_forecast_day(requests: DataFrame, docs: DataFrame, keys=("city", "doc_
     return out
 
 
+def covering_days(docs: DataFrame, payload: str = "payload") -> DataFrame:
+    """(city, date, daily): for each date of a city the newest document that
+    covers it (a document holds at most some 16 days)."""
+    d = _daily(docs, payload)
+    landed = F.col("landed_at") if "landed_at" in docs.columns else F.lit(None).cast("timestamp")
+    days = docs.select("city", F.explode(d["time"]).alias("t"), landed.alias("landed_at"), d.alias("daily"))
+    days = days.withColumn("date", F.substring("t", 1, 10).try_cast("date")).drop("t").filter("date is not null")
+    return newest(days, ["city", "date"]).drop("landed_at")
+
+
 def current_weather(docs: DataFrame, payload: str = "payload") -> DataFrame:
     """Current-conditions documents -> six keys with defaults."""
     d = F.from_json(F.col(payload), DAILY_SCHEMA)

@@ -1056,8 +1056,7 @@ def stream_dedupe(spark, sf):
     readings = _readings(spark, sf)
     Fs.write_pages(readings, f"{root}/landing/copy1")
     Fs.write_pages(readings, f"{root}/landing/copy2")
-    stream = Sx.deduplicated(Sx.page_stream(spark, f"{root}/landing/*"))
-    Sx.run_available(stream.select(*Sx.DEDUPE_KEYS, "event_time"), f"{root}/out", f"{root}/checkpoint")
+    Sx.run_deduplicated(Sx.page_stream(spark, f"{root}/landing/*", files_per_trigger=16), f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").select(*Sx.DEDUPE_KEYS)
 
 
@@ -1065,19 +1064,21 @@ def stream_dedupe(spark, sf):
     "stream_tiles",
     O.final(
         O.BASE,
-        f"""SELECT count(*) AS n_rows, {O.rnd('avg(value)')} AS mean_aqi, {O.rnd('max(value)')} AS max_aqi,
-       {O.fmt_ts('max(datetime)')} AS latest_update FROM norm""",
+        f"""SELECT count(*) AS n_rows, count(DISTINCT station) AS n_stations, count(DISTINCT state) AS n_states,
+       count(DISTINCT city) AS n_cities, {O.rnd('avg(value)')} AS mean_aqi, {O.rnd('max(value)')} AS max_aqi,
+       {O.fmt_ts('max(datetime)')} AS latest_update
+FROM (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY station, pollutant_id, last_update ORDER BY reading_id) = 1)""",
         dates=(),
     ),
 )
 def stream_tiles(spark, sf):
-    """Dashboard tiles kept by a complete-mode streaming aggregation."""
+    """Dashboard tiles over the records that a stream has landed once each."""
     root = scratch_path(spark, "tiles")
     Fs.write_pages(_readings(spark, sf), f"{root}/landing")
-    Sx.run_tiles(Sx.tile_stream(Sx.page_stream(spark, f"{root}/landing")), f"{root}/out", f"{root}/checkpoint")
-    t = spark.read.parquet(f"{root}/out")
+    Sx.run_tiles(Sx.page_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/tiles", f"{root}/checkpoint")
+    t = Sx.latest_tiles(spark, f"{root}/tiles")
     return t.select(
-        "n_rows", X.rnd(F.col("sum_value") / F.col("n_values")).alias("mean_aqi"), X.rnd(F.col("max_aqi")).alias("max_aqi"),
+        "n_rows", "n_stations", "n_states", "n_cities", X.rnd(F.col("mean_aqi")).alias("mean_aqi"), X.rnd(F.col("max_aqi")).alias("max_aqi"),
         "latest_update",
     )
 

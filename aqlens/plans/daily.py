@@ -40,7 +40,7 @@ def scoring_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to score: completed pollutant rows with weather synthesised from
     the forecast six keys, and calendar features (codes come from the
     training dimension at scoring time).  The weather requests are the rows'
-    own (city, date) keys, so the readings are scanned once."""
+    own (city, date) keys."""
     rows = daily_rows(spark, sf_dir)
     requests = rows.select(
         "city",

@@ -20,11 +20,10 @@ from aqlens.plans import daily as Dy
 from aqlens.plans import models as M
 from aqlens.plans import training as Tr
 from aqlens.sources import files as Fs
-from aqlens.sources import tables as T
 
 
 def offline_training(
-    spark: SparkSession, city_day_path: str, weather_path: str, out_dir: str, s: M.ForestSettings = M.QUICK
+    spark: SparkSession, city_day_path: str, weather_path: str, out_dir: str, s: M.ForestSettings = M.FULL
 ) -> DataFrame:
     """City-day CSV (incomplete rows dropped) joined with the landed daily
     weather on (city, date), written as Parquet partitioned by year; the
@@ -52,7 +51,9 @@ def dashboard(spark: SparkSession, yearly_csv: str, state_csv: str, pages_path:
     written as Parquet under ``out_dir``; returns the written tables."""
     yearly = D.yearly_metrics(Fs.read_yearly_csv(spark, yearly_csv), lambda c: "Good Days" in c, lambda c: "Bad Days" in c)
     state = D.state_metrics(Fs.read_state_csv(spark, state_csv))
-    norm = R.normalise(Fs.read_pages(spark, pages_path))
+    # the pages are parsed once; the tables read what was written
+    Fs.write_table(R.normalise(Fs.read_pages(spark, pages_path, number=True)), f"{out_dir}/readings")
+    norm = spark.read.parquet(f"{out_dir}/readings")
     city_col = "City Name" if "City Name" in yearly.columns else "city"
     tables = {
         "city_good_bad": D.city_totals(yearly, city_col),
@@ -72,29 +73,30 @@ def dashboard(spark: SparkSession, yearly_csv: str, state_csv: str, pages_path:
 
 def predict(spark: SparkSession, pages_path: str, forecast_path: str, model_dir: str, out_path: str) -> DataFrame:
     """Batch prediction: landed readings -> one completed pollutant row per
-    (city, date) -> the forecast day's six keys -> synthesised weather
+    (city, date) -> the six keys of the day, from the newest forecast that
+    covers it (``weather_matched`` says whether there is one) -> synthesised weather
     features -> saved six-target forest -> sub-indices, AQI, category,
     driving pollutant and plausibility, written as Parquet."""
     fit = M.load_models(spark, model_dir)
     if fit is None:
         raise M.TrainingError("weather AQI model is not available")
-    rows = R.pollutant_rows(Fs.read_pages(spark, pages_path))
+    rows = R.pollutant_rows(Fs.read_pages(spark, pages_path, number=True))
     requests = rows.select(
         "city",
         "date",
         F.date_format("date", "yyyy-MM-dd").alias("date_text"),
-        F.to_date(F.date_trunc("week", F.date_add("date", T.REQUEST_SHIFT_DAYS))).alias("doc_key"),
     )
-    six = W.synthesise_daily(W.match_forecast_day(requests, Fs.read_weather_docs(spark, forecast_path, "doc_key")))
-    table = Fe.calendar(rows.join(six.select("city", "date", *W.WEATHER_COLUMNS), ["city", "date"]))
+    docs = W.covering_days(Fs.read_weather_docs(spark, forecast_path, "doc_key"))
+    six = W.synthesise_daily(W.match_forecast_day(requests, docs, keys=("city", "date")))
+    table = Fe.calendar(rows.join(six.select("city", "date", "weather_matched", *W.WEATHER_COLUMNS), ["city", "date"]))
     codes = fit.tables.get("city_codes")
     if codes is not None:
         table = Fe.attach_scoring_codes(table, codes, "city")
     keep = ["city", "date", "pm25", "pm10", "no2", "so2"]
-    scored = M.score(fit, table.select(*[c for c in table.columns if c not in ("pm25", "pm10", "no2", "so2")], *[F.col(c).alias(f"in_{c}") for c in keep[2:]]), keep=["city", "date", *[f"in_{c}" for c in keep[2:]]])
+    scored = M.score(fit, table.select(*[c for c in table.columns if c not in ("pm25", "pm10", "no2", "so2")], *[F.col(c).alias(f"in_{c}") for c in keep[2:]]), keep=["city", "date", "weather_matched", *[f"in_{c}" for c in keep[2:]]])
     preds = {p: f"pred_{K.COLUMN_OF[p]}" for p in K.TARGET_POLLUTANTS}
     out = scored.select(
-        "city", "date", *[F.col(f"pred_{K.COLUMN_OF[p]}") for p in K.TARGET_POLLUTANTS],
+        "city", "date", "weather_matched", *[F.col(f"pred_{K.COLUMN_OF[p]}") for p in K.TARGET_POLLUTANTS],
         X.overall_aqi_wide(preds).alias("predicted_aqi"),
         A.driving_wide(preds).alias("driving_pollutant"),
         *[F.col(f"in_{c}").alias(c) for c in keep[2:]],

@@ -8,7 +8,7 @@ string table, so no inference pass runs over large inputs.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,10 @@ READING_FIELDS = [
     "pollutant_max",
     "pollutant_avg",
 ]
+# The live feed names the values differently.
+LIVE_FIELDS = ["min_value", "max_value", "avg_value"]
 RECORD_SCHEMA = T.StructType(
-    [T.StructField("reading_id", T.LongType())] + [T.StructField(f, T.StringType()) for f in READING_FIELDS]
+    [T.StructField("reading_id", T.LongType())] + [T.StructField(f, T.StringType()) for f in READING_FIELDS + LIVE_FIELDS]
 )
 PAGE_SCHEMA = T.StructType(
     [T.StructField("total", T.LongType()), T.StructField("records", T.ArrayType(RECORD_SCHEMA))]
@@ -51,6 +53,15 @@ CITY_DAY_SCHEMA = T.StructType(
 )
 
 
+ARRIVAL = ["_arrival_path", "_arrival_block", "_arrival_row"]
+
+
+def arrival() -> list[Column]:
+    """Place of a row among the files of a source: path, block, row of the scan."""
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return [c.alias(n) for n, c in zip(ARRIVAL, place)]
+
+
 def clean_header(df: DataFrame) -> DataFrame:
     """Strip blanks and zero-width characters from every column name."""
     return df.toDF(*[X.clean_name(c) for c in df.columns])
@@ -70,9 +81,14 @@ def read_state_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_readings_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A snapshot of live readings (all text), header cleaned."""
-    df = clean_header(spark.read.option("header", True).option("inferSchema", False).csv(path))
-    return df
+    """A snapshot of live readings (all text), header cleaned, numbered in
+    file order (``reading_id``) where the snapshot has no such column."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    df = raw.select("*", *arrival())
+    df = clean_header(df)
+    if "reading_id" not in df.columns:
+        df = df.orderBy(*ARRIVAL).withColumn("reading_id", F.monotonically_increasing_id())
+    return df.drop(*ARRIVAL)
 
 
 def read_city_day_csv(spark: SparkSession, path: str, drop_incomplete: bool = True) -> DataFrame:
@@ -109,18 +125,32 @@ def state_key(state: str) -> str:
 
 
 def read_pages(
-    spark: SparkSession, path: str, limit: int | None = None, state: str | None = None, city: str | None = None
+    spark: SparkSession,
+    path: str,
+    limit: int | None = None,
+    state: str | None = None,
+    city: str | None = None,
+    number: bool = False,
 ) -> DataFrame:
     """Landed reading pages ``{total, records: [...]}``: every file under
     ``path`` is one or more pages; records of all pages are concatenated (bag
     union, no dedupe) and optionally cut to ``limit`` records in a stable
     order.  For pages landed by state (``state_key=`` folders) a state filter
-    prunes whole folders before any file is opened; a city filter applies to
-    the records."""
+    prunes whole folders before any file is opened, otherwise it applies to
+    the records, as a city filter does.
+
+    Live records carry no arrival id: with ``number`` those without one are
+    numbered by file path and position, which the order-dependent operators
+    and the cut to ``limit`` need."""
     pages = spark.read.schema(PAGE_SCHEMA).json(path)
-    if state is not None:
+    if state is not None and "state_key" in pages.columns:
         pages = pages.filter(F.col("state_key") == state_key(state))
-    recs = pages.select(F.explode("records").alias("r")).select("r.*")
+    if number:
+        placed = pages.select("records", *arrival()).orderBy(*ARRIVAL)
+        recs = placed.select(F.explode("records").alias("r"), F.monotonically_increasing_id().alias("_n"))
+        recs = recs.withColumn("r", F.col("r").withField("reading_id", F.coalesce("r.reading_id", "_n"))).select("r.*")
+    else:
+        recs = pages.select(F.explode("records").alias("r")).select("r.*")
     if state is not None:
         recs = recs.filter(F.col("state") == state)
     if city is not None:
@@ -140,7 +170,7 @@ def load_readings(spark: SparkSession, pages_path: str | None, csv_path: str | N
     record (``isEmpty`` reads at most one row)."""
     if pages_path:
         try:
-            pages = read_pages(spark, pages_path)
+            pages = read_pages(spark, pages_path, number=True)
             if not pages.isEmpty():
                 return pages
         except AnalysisException as e:
@@ -162,7 +192,7 @@ def write_pages(readings: DataFrame, path: str, page_size: int = 1000, by_state:
     A page groups at most ``page_size`` ids, so the grouped list is bounded."""
     total = readings.count()
     page = F.floor(F.col("reading_id") / F.lit(page_size))
-    rec = F.struct(*[F.col(f.name) for f in RECORD_SCHEMA.fields])
+    rec = F.struct(*[F.col(f.name) for f in RECORD_SCHEMA.fields if f.name in readings.columns])
     keys = [page.alias("page")]
     if by_state:
         keys.append(F.regexp_replace(F.col("state"), " ", "_").alias("state_key"))
@@ -210,6 +240,8 @@ def write_weather_docs(docs: DataFrame, path: str, key: str = "date", payload: s
 
 
 def read_weather_docs(spark: SparkSession, path: str, key: str = "date") -> DataFrame:
-    """Landed weather documents with their key parsed as a date."""
+    """Landed weather documents with their key parsed as a date and the time
+    their file landed."""
     df = spark.read.schema(landed_weather_schema(key)).json(path)
+    df = df.withColumn("landed_at", F.col("_metadata.file_modification_time"))
     return df.withColumn(key, F.col(key).try_cast("date"))

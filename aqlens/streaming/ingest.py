@@ -1,18 +1,22 @@
 """Incremental ingest of landed reading pages with Structured Streaming.
 
 New page files are picked up by a file stream source with an explicit
-schema; records are exploded, their time parsed (a real ``timestamp`` so a
-watermark can use it) and duplicates of (station, pollutant, update time)
-are dropped within the watermark.  Output goes to Parquet with a checkpoint
-in the shared folder, so a restarted or failed run resumes exactly once.
+schema; records are exploded, their time parsed, and of each (station,
+pollutant, update time) the first record is kept.  Each micro-batch is
+compared with what has landed on the same dates, so a record is recognised
+however late it comes and no unique one is lost.  A batch that is run again
+after a failure finds its own rows landed and adds none twice.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aqlens.functions import exprs as X
+from aqlens.operators import dashboard as D
+from aqlens.operators import readings as R
 from aqlens.sources.files import PAGE_SCHEMA
 
 DEDUPE_KEYS = ["station", "pollutant_id", "last_update"]
@@ -27,44 +31,62 @@ def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return pages.select(F.explode("records").alias("r")).select("r.*")
 
 
-def deduplicated(records: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeated (station, pollutant, update time) within the watermark.
+def timed(records: DataFrame) -> DataFrame:
+    """Records with their parsed update time (null where it is bad)."""
+    return records.withColumn("event_time", X.parse_reading_time(F.col("last_update")).cast("timestamp"))
 
-    State for a key is kept until the watermark passes its event time plus
-    ``delay``, so it stays bounded.  A row arriving later than that is kept
-    (not dropped), it is only no longer compared with expired keys: no
-    unique reading is ever lost."""
-    timed = records.withColumn("event_time", X.parse_reading_time(F.col("last_update")).cast("timestamp"))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(DEDUPE_KEYS)
 
+def landed(spark: SparkSession, sink: str) -> DataFrame | None:
+    """What a sink holds; None before its first write."""
+    try:
+        return spark.read.parquet(sink)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
-def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available now, then stop (one or more batches)."""
-    q = df.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode(mode)
+
+def land_new(batch: DataFrame, sink: str) -> None:
+    """Append the records of a batch whose key has not landed, partitioned by
+    date; records with a bad time share the null date.  Of a batch's repeats
+    the one that arrived first stays."""
+    order = [c for c in ("reading_id",) if c in batch.columns] + [c for c in batch.columns if c != "reading_id"]
+    fresh = batch.groupBy(*DEDUPE_KEYS).agg(F.min(F.struct(*order)).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in batch.columns])
+    fresh = fresh.withColumn("date", F.to_date("event_time"))
+    known = landed(batch.sparkSession, sink)
+    if known is not None:
+        keys = [*DEDUPE_KEYS, "date"]  # the date prunes the landed folders
+        known = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        fresh = fresh.join(known, same, "left_anti")
+    fresh.write.mode("append").partitionBy("date").parquet(sink)
+
+
+def run_deduplicated(records: DataFrame, sink: str, checkpoint: str) -> None:
+    """Process everything available now, in one or more micro-batches."""
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        land_new(batch, sink)
+
+    q = timed(records).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     q.trigger(availableNow=True).start().awaitTermination()
 
 
-def tile_stream(records: DataFrame) -> DataFrame:
-    """Running tiles over the stream (complete mode): rows, mean and max of
-    the reading value and the latest update."""
-    v = records.withColumns(
-        {"value": X.parse_float(F.col("pollutant_avg")), "event_time": X.parse_reading_time(F.col("last_update"))}
-    )
-    return v.groupBy().agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum("value").alias("sum_value"),
-        F.count("value").alias("n_values"),
-        F.max("value").alias("max_aqi"),
-        F.max("event_time").alias("latest_update"),
-    )
+def run_tiles(records: DataFrame, sink: str, tiles: str, checkpoint: str) -> None:
+    """Land new records in ``sink`` and write the dashboard tiles over all that
+    has landed.  Each batch writes a folder of its own, so a failure leaves the
+    last complete tiles in place."""
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        land_new(batch, sink)
+        rows = landed(batch.sparkSession, sink)
+        if rows is not None:
+            D.tiles(R.normalise(rows.drop("date", "event_time"))).write.mode("overwrite").parquet(f"{tiles}/batch={batch_id}")
 
-def run_tiles(df: DataFrame, sink: str, checkpoint: str) -> None:
-    """Complete-mode tiles, each batch's single row overwriting the sink."""
+    q = timed(records).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    q.trigger(availableNow=True).start().awaitTermination()
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
 
-    df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+def latest_tiles(spark: SparkSession, tiles: str) -> DataFrame:
+    """The tiles of the last batch that finished."""
+    return spark.read.parquet(tiles).orderBy(F.desc("batch")).limit(1).drop("batch")

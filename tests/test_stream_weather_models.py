@@ -18,8 +18,7 @@ def test_stream_equals_batch(spark, sf_small):
     Fs.write_pages(readings, f"{root}/landing/a", page_size=200)
     Fs.write_pages(readings, f"{root}/landing/b", page_size=200)
     # one file per micro-batch: duplicates arrive in later batches
-    stream = Sx.deduplicated(Sx.page_stream(spark, f"{root}/landing/*", files_per_trigger=1))
-    Sx.run_available(stream.select(*Sx.DEDUPE_KEYS, "event_time"), f"{root}/out", f"{root}/ckpt")
+    Sx.run_deduplicated(Sx.page_stream(spark, f"{root}/landing/*", files_per_trigger=1), f"{root}/out", f"{root}/ckpt")
     got = spark.read.parquet(f"{root}/out").select(*Sx.DEDUPE_KEYS)
     want = readings.select(*Sx.DEDUPE_KEYS).distinct()
     assert got.count() == want.count()
@@ -144,10 +143,57 @@ def test_late_unique_row_is_kept(spark, tmp_path):
     (land / "b.json").write_text(json.dumps({"total": 3, "records": [rec(2, "01-01-2024 10:00:00"), rec(1, "10-01-2024 10:00:00")]}) + "\n")
     os.utime(land / "b.json")
     root = scratch_path(spark, "test-late")
-    stream = Sx.deduplicated(Sx.page_stream(spark, str(land), files_per_trigger=1), "1 hour")
-    Sx.run_available(stream.select(*Sx.DEDUPE_KEYS, "event_time"), f"{root}/o", f"{root}/c")
+    # a third file in a run of its own: days late, a bad time, and repeats of both
+    for name in ("first", "second"):
+        if name == "second":
+            late = [rec(3, "05-01-2024 10:00:00"), rec(4, "no time"), rec(4, "no time"), rec(2, "01-01-2024 10:00:00")]
+            (land / "c.json").write_text(json.dumps({"total": 4, "records": late}) + "\n")
+            (land / "d.json").write_text(json.dumps({"total": 1, "records": late[1:2]}) + "\n")
+        Sx.run_deduplicated(Sx.page_stream(spark, str(land), files_per_trigger=1), f"{root}/o", f"{root}/c")
     got = sorted(r.station for r in spark.read.parquet(f"{root}/o").collect())
-    assert got == ["s1", "s2"]  # late s2 kept, repeated s1 dropped
+    assert got == ["s1", "s2", "s3", "s4"]
+
+
+def test_tiles_count_repeated_pages_once(spark, tmp_path):
+    import json
+
+    land = tmp_path / "tiles"
+    land.mkdir()
+    recs = [
+        {"state": "S", "city": c, "station": f"s{i}", "last_update": "10-01-2024 10:00:00", "pollutant_id": "NO2", "avg_value": str(10 * i)}
+        for i, c in ((1, "A"), (2, "B"), (3, "B"))
+    ]
+    for name in ("a", "b"):
+        (land / f"{name}.json").write_text(json.dumps({"total": 3, "records": recs}) + "\n")
+    root = scratch_path(spark, "test-tiles")
+    stream = Sx.page_stream(spark, str(land), files_per_trigger=1)
+    Sx.run_tiles(stream, f"{root}/o", f"{root}/t", f"{root}/c")
+    t = Sx.latest_tiles(spark, f"{root}/t").first()
+    assert (t.n_rows, t.n_states, t.n_cities, t.n_stations, t.mean_aqi, t.max_aqi) == (3, 1, 2, 3, 20.0, 30.0)
+
+
+def test_newest_document_counts(spark):
+    import datetime
+
+    doc = '{"daily": {"time": ["2024-01-01"], "temperature_2m_max": [%s], "temperature_2m_min": [%s]}}'
+    rows = [("A", "w1", doc % (30.0, 10.0), datetime.datetime(2024, 1, 1)), ("A", "w1", doc % (50.0, 50.0), datetime.datetime(2024, 1, 2))]
+    docs = spark.createDataFrame(rows, "city string, doc_key string, payload string, landed_at timestamp")
+    req = spark.createDataFrame([("A", "2024-01-01", "w1")], "city string, date_text string, doc_key string")
+    assert [r.T for r in W.match_forecast_day(req, docs).collect()] == [50.0]
+
+
+def test_covering_document_of_any_weekday(spark):
+    import datetime
+
+    days = [datetime.date(2024, 1, 1) + datetime.timedelta(d) for d in range(14)]
+    doc = lambda own: '{"daily": {"time": %s, "temperature_2m_max": %s, "temperature_2m_min": %s}}' % (
+        str([str(d) for d in own]).replace("'", '"'), [float(d.day) for d in own], [float(d.day) for d in own],
+    )
+    docs = spark.createDataFrame([("A", doc(days[:7])), ("A", doc(days[7:]))], "city string, payload string")
+    req = spark.createDataFrame([("A", d, str(d)) for d in days] + [("A", datetime.date(2024, 3, 1), "2024-03-01")], "city string, date date, date_text string")
+    got = {r.date: (r.T, r.weather_matched) for r in W.match_forecast_day(req, W.covering_days(docs), keys=("city", "date")).collect()}
+    assert all(got[d] == (float(d.day), True) for d in days)
+    assert got[datetime.date(2024, 3, 1)] == (K.WEATHER_KEY_DEFAULTS["T"], False)
 
 
 def test_weather_for_dates_routes_by_date_class(spark):
