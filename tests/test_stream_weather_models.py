@@ -118,12 +118,12 @@ def test_pages_state_partition_pruning(spark, sf_small):
     assert got.count() == readings.filter(F.col("state") == "MIDDLE EAST").count() > 0
 
 
-def test_forest_queries_deterministic(spark, sf_small):
-    import __spark_entry__ as E
+def test_forests_are_deterministic(spark, sf_small):
+    from aqlens.plans import training as Tr
 
-    q = E.queries()["forest_six_targets"]
-    a = sorted(tuple(r) for r in q(spark, sf_small).collect())
-    b = sorted(tuple(r) for r in q(spark, sf_small).collect())
+    few = M.ForestSettings(trees=8, depth=6)  # only the repetition is tested here
+    fit = [Tr.with_overall(Tr.six_target_forest(spark, sf_small, few).metrics) for _ in range(2)]
+    a, b = (sorted(tuple(r) for r in f.collect()) for f in fit)
     assert a == b and [r[0] for r in a] == sorted([*[K.COLUMN_OF[p] for p in K.TARGET_POLLUTANTS], "Overall"])
 
 
