@@ -18,6 +18,7 @@ read.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,6 +36,10 @@ END_ID = 1
 # Words kept in each generation of a worker's memo.
 MEMO_WORDS = 600_000
 MEMO_WORD_BYTES = 64
+# Characters that are neither letters, numbers nor white space.
+SIGNS = string.punctuation.encode()
+# Letters before this one are letters in every version of Unicode in use.
+OLD_LETTERS = "\u0530"
 
 
 class _Words(dict):
@@ -51,24 +56,41 @@ class _Words(dict):
             self.old = dict(self)
             self.clear()
             missing = words
-        new, passing = [], {}
-        for w in missing:
-            packed = self.old.get(w)
-            if packed is None:
-                new.append(w)
-            elif len(self) < MEMO_WORDS:
+        passing: dict[bytes, bytes] = {}
+
+        def keep(w: bytes, packed: bytes) -> None:
+            if len(w) <= MEMO_WORD_BYTES and len(self) < MEMO_WORDS:
                 self[w] = packed
             else:
                 passing[w] = packed
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+
+        # letters followed by signs are two matches of the tokenizer's pattern:
+        # the word is encoded once, whatever stands after it
+        parted, new = {}, set()
+        for w in missing:
+            packed = self.old.get(w)
+            if packed is not None:
+                keep(w, packed)
+                continue
+            word = w.rstrip(SIGNS)
+            letters = word.decode("utf-8") if len(word) < len(w) else ""
+            # in lower case too: a capital I with a dot becomes a letter and a mark
+            if letters.isalpha() and letters.lower().isalpha() and max(letters) < OLD_LETTERS:
+                parted[w] = (word, w[len(word) :])
+                new.update(parted[w])
+            else:
+                new.add(w)
+        for w in [w for w in new if w in self.old]:
+            keep(w, self.old[w])
+        rest = [w for w in new if w not in self and w not in passing]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
             for w, e in zip(part, found):
-                packed = array("I", e.ids).tobytes()
-                if len(w) <= MEMO_WORD_BYTES and len(self) < MEMO_WORDS:
-                    self[w] = packed
-                else:
-                    passing[w] = packed
+                keep(w, array("I", e.ids).tobytes())
+        known = lambda w: passing[w] if w in passing else self[w]
+        for w, (word, signs) in parted.items():
+            keep(w, known(word) + known(signs))
         return passing
 
 
@@ -118,7 +140,8 @@ def pieces(
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
-                texts = [b.split() if b else [] for b in part.column(1).to_pylist()]
+                # the tokenizer lower-cases, so ASCII letters may be so before
+                texts = [b.lower().split() if b else [] for b in part.column(1).to_pylist()]
                 passing = words.learn(set().union(*texts))
                 get = words.__getitem__
                 if passing:
