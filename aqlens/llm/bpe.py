@@ -32,6 +32,8 @@ MEMO_PIECES = 300_000
 MEMO_PIECE_CHARS = 64
 # Characters that are neither letters, numbers nor white space.
 SIGNS = string.punctuation
+# Letters before this one are letters in every version of Unicode in use.
+OLD_LETTERS = "\u0530"
 MEMO_PAIRS = 500_000
 
 
@@ -158,7 +160,7 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         """Ids of a text: each match of the pattern separately."""
         word = text[1:] if text[:1] == " " else text
-        if word.isalpha():  # one match of letters, with the space before it
+        if word.isalpha() and max(word) < OLD_LETTERS:  # one match of letters, with the space before it
             return self.encode_piece(text.encode("utf-8"))
         out: list[int] = []
         for piece in self.pattern.findall(text):
@@ -183,7 +185,7 @@ class _Memo(dict):
         # letters followed by signs are two matches: the word is kept once,
         # whatever stands after it
         word = stretch.rstrip(SIGNS)
-        if self.signs is not None and len(word) < len(stretch) and word.isalpha():
+        if self.signs is not None and len(word) < len(stretch) and word.isalpha() and max(word) < OLD_LETTERS:
             return self[word] + self.signs[stretch[len(word) :]]
         packed = self.old.get(stretch)
         if packed is None:
