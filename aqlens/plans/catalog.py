@@ -1025,6 +1025,80 @@ def union_pages(spark, sf):
     return n.select("reading_id", "state", "city", "station", "pollutant", X.rnd(F.col("value")).alias("value"))
 
 
+def _land_live(spark, sf, path: str) -> None:
+    """Pages in the live feed's own shape: no arrival id, half of the records
+    with the other value names, padded ids, four time layouts."""
+    r = _readings(spark, sf)
+    odd = F.pmod("reading_id", F.lit(2)) == 1
+    t = F.to_timestamp("last_update", T.READING_TS_FORMAT)
+    layouts = [T.READING_TS_FORMAT, "d/M/yyyy H:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+    when = F.col("last_update")
+    for k, layout in enumerate(layouts):
+        when = F.when(F.pmod("reading_id", F.lit(len(layouts))) == k, F.date_format(t, layout)).otherwise(when)
+    live = {f"{n}_value": F.when(odd, F.col(f"pollutant_{n}")) for n in ("min", "max", "avg")}
+    own = {f"pollutant_{n}": F.when(~odd, F.col(f"pollutant_{n}")) for n in ("min", "max", "avg")}
+    padded = F.concat(F.lit(" \u200b"), "pollutant_id", F.lit("\ufeff "))
+    r = r.withColumn("last_update", when).withColumns({**live, **own, "pollutant_id": padded})
+    Fs.write_pages(r, path, with_ids=False)
+
+
+def _live(spark, sf) -> DataFrame:
+    path = scratch_path(spark, "live")
+    _land_live(spark, sf, path)
+    return R.normalise(Fs.read_pages(spark, path, number=True))
+
+
+@query(
+    "live_feed",
+    O.final(
+        O.BASE,
+        f"""SELECT state, city, station, pollutant, date, {O.rnd('value')} AS value, {O.rnd('value_min')} AS value_min,
+       {O.rnd('value_max')} AS value_max FROM norm""",
+    ),
+)
+def live_feed(spark, sf):
+    """Readings landed as the live feed sends them lose no value."""
+    n = _live(spark, sf)
+    return n.select("state", "city", "station", "pollutant", "date", *[X.rnd(F.col(c)).alias(c) for c in ("value", "value_min", "value_max")])
+
+
+@query(
+    "live_feed_combined",
+    O.final(
+        (*O.BASE, O.VALID),
+        f"""SELECT city, date, pollutant, {O.rnd('arg_min(value, reading_id)')} AS first_value,
+       {O.rnd('sum(value * pow(2.0, -r)) + arg_min(value, reading_id) * pow(2.0, -count(*))')} AS folded
+FROM (SELECT *, row_number() OVER (PARTITION BY city, date, pollutant ORDER BY reading_id DESC) AS r FROM valid)
+GROUP BY city, date, pollutant""",
+    ),
+)
+def live_feed_combined(spark, sf):
+    """First value and ordered pair fold of live pages, by their arrival."""
+    rows = R.valid(_live(spark, sf))
+    rows = rows.select("reading_id", "city", "date", "pollutant", "value")
+    keys = ["city", "date", "pollutant"]
+    first = R.first_value(rows, keys[:2]).select(*keys, X.rnd(F.col("value")).alias("first_value"))
+    return first.join(R.pair_fold(rows, keys[:2]).select(*keys, X.rnd(F.col("value")).alias("folded")), keys)
+
+
+@query(
+    "csv_map_points",
+    O.final(
+        O.BASE,
+        f"""SELECT lat, lon, state, city, station, pollutant_id, {O.rnd('value')} AS value,
+       {O.rnd('coalesce(value, 10.0)')} AS marker_value
+FROM norm WHERE lat IS NOT NULL AND lon IS NOT NULL""",
+        dates=(),
+    ),
+)
+def csv_map_points(spark, sf):
+    """Map points of the CSV fallback: no pages, a snapshot without ids."""
+    path = scratch_path(spark, "snapshot")
+    Fs.write_table(_readings(spark, sf).drop("reading_id"), f"{path}/csv", fmt="csv")
+    m = D.map_points(R.normalise(Fs.load_readings(spark, f"{path}/none", f"{path}/csv"))).drop("reading_id")
+    return m.withColumns({"value": X.rnd(F.col("value")), "marker_value": X.rnd(F.col("marker_value"))})
+
+
 @query(
     "city_day_csv",
     O.final(

@@ -185,18 +185,24 @@ def load_readings(spark: SparkSession, pages_path: str | None, csv_path: str | N
     return empty_readings(spark)
 
 
-def write_pages(readings: DataFrame, path: str, page_size: int = 1000, by_state: bool = False) -> None:
+def write_pages(
+    readings: DataFrame, path: str, page_size: int = 1000, by_state: bool = False, with_ids: bool = True
+) -> None:
     """Land readings as JSON pages of ``page_size`` records (by reading id),
-    optionally in one folder per state key.
+    optionally in one folder per state key.  Files and the pages within them
+    follow the reading id; without ``with_ids`` the records, like those of the
+    live feed, carry none.
 
     A page groups at most ``page_size`` ids, so the grouped list is bounded."""
     total = readings.count()
     page = F.floor(F.col("reading_id") / F.lit(page_size))
-    rec = F.struct(*[F.col(f.name) for f in RECORD_SCHEMA.fields if f.name in readings.columns])
+    names = [f.name for f in RECORD_SCHEMA.fields if f.name in readings.columns and (with_ids or f.name != "reading_id")]
+    rec = F.struct("reading_id", F.struct(*names).alias("rec"))
     keys = [page.alias("page")]
     if by_state:
         keys.append(F.regexp_replace(F.col("state"), " ", "_").alias("state_key"))
     pages = readings.groupBy(*keys).agg(F.array_sort(F.collect_list(rec)).alias("records"))
+    pages = pages.withColumn("records", F.col("records.rec")).orderBy("page")
     out = pages.select(F.lit(total).cast("long").alias("total"), "records", *(["state_key"] if by_state else []))
     w = out.write.mode("overwrite")
     (w.partitionBy("state_key") if by_state else w).json(path)
