@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aqlens.llm.common import remove, slices, written
+from aqlens.llm.common import remove, sized, slices, written
 
 MEAN_BITS = 10  # a chunk holds about 2^10 bytes beyond the least
 LEAST, MOST = 256, 8192
 ID_BYTES = 16
 WIDEST = 64
+# Dropped rows up to which their keys go to all tasks, so that texts stay put.
+BROADCAST_ROWS = 500_000
 SPACE = re.compile(rb"[\x09-\x0d][\x20\x09-\x0d]*|\x20[\x20\x09-\x0d]+")
 SPACE_SQL = r"[\x20\x09-\x0D]+"
 
@@ -169,13 +171,14 @@ def exact_dedup(
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     found = written(exact_dedup(df, id_col, text_col), "exact-result")
-    gone = found.filter("not kept").select(F.col(id_col).alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    gone = found.filter("not kept").select(F.col(id_col).alias("gone_id"), F.unhex("text_sha256").alias("gone_sha"))
+    gone = sized(written(gone.distinct(), "exact-gone"), BROADCAST_ROWS)
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE_SQL, " ")
     # the row as one column, so that its names can't clash
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"))
     out = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
     # Rows that repeat id and text: the join removes them all, one comes back.
-    kept = found.filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    kept = found.filter("kept").select(F.col(id_col).alias("kept_id"), F.unhex("text_sha256").alias("kept_sha"))
     again = kept.join(gone, F.col("kept_id").eqNullSafe(F.col("gone_id")) & (F.col("kept_sha") == F.col("gone_sha")), "left_semi")
     if not again.isEmpty():
         back = rows.join(again, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")

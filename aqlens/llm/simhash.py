@@ -246,6 +246,7 @@ def drop_near_duplicates(
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     named = gone.filter("gone_id is not null").select("gone_id").distinct()
+    named = sized(written(named, "simhash-gone"), BROADCAST_KEYS)
     out = rows.join(named, F.col("id") == F.col("gone_id"), "left_anti").select("row")
     nameless = gone.filter("gone_id is null").select("fingerprint").distinct()
     if not nameless.isEmpty():
