@@ -172,6 +172,65 @@ def test_passages(spark, odd_docs, no_docs, clash):
     assert passages.mark_passages(no_docs).collect() == []
 
 
+def edited(passage, kind, at):
+    new = {"insert": ["new", passage[at]], "delete": [], "change": ["new"]}[kind]
+    return passage[:at] + new + passage[at + 1 :]
+
+
+def near_pair(size, kind, seed):
+    """Tokens of a text with an edited passage, and of an earlier one with it as it was."""
+    passage = words(size, 3 * seed)
+    late = words(60, 3 * seed + 1) + edited(passage, kind, size // 2) + words(60, 3 * seed + 2)
+    early = words(40, 3 * seed + 10**6) + passage + words(70, 3 * seed + 2 * 10**6)
+    return [passages.tokens(" ".join(w).encode()) for w in (late, early)]
+
+
+def common_places(a, b):
+    there = {}
+    for sig, c, _, _ in zip(*passages.signatures(b)):
+        there.setdefault(sig, c)
+    return [(c, there[sig], lo, hi) for sig, c, lo, hi in zip(*(x.tolist() for x in passages.signatures(a))) if sig in there]
+
+
+def brute_spans(a, b, places):
+    least, reach = passages.LEAST, int(passages.LEAST / passages.SIMILARITY)
+    covered = set()
+    for c, other, lo, hi in places:
+        near = b[max(0, other - reach) : other + reach + 1].tolist()
+        for s in range(max(lo, c - least + 1), min(c, hi - least + 1) + 1):
+            x = set(a[s : s + least].tolist())
+            for p in range(len(near)):
+                y: set = set()
+                for t in near[p:]:
+                    y.add(t)
+                    if len(x & y) >= passages.SIMILARITY * len(x | y):
+                        covered.update(range(s, s + least))
+    return covered
+
+
+@pytest.mark.parametrize("kind", ["insert", "delete", "change"])
+def test_every_window_of_a_place_is_verified(kind):
+    shared = found = 0
+    for seed in range(150):
+        a, b = near_pair(52, kind, seed)
+        places = common_places(a, b)
+        got = passages.similar_spans(a, b, places)
+        shared, found = shared + bool(places), found + bool(got)
+        if seed < 2 or not got:  # places that lie mostly beside the passage verify nothing
+            assert brute_spans(a, b, places) <= {i for s, e in got for i in range(s, e)}
+    assert shared > 100 and found >= 0.9 * shared
+
+
+def test_repeated_tokens_count_once():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        x, y = (rng.integers(0, 9, n).astype(np.uint64) for n in (14, 25))
+        got = passages._resembling(x, y, 8, 0.8).tolist()
+        runs = [set(y[p:q].tolist()) for p in range(25) for q in range(p + 1, 26)]
+        sets = [set(x[s : s + 8].tolist()) for s in range(7)]
+        assert got == [any(len(u & r) >= 0.8 * len(u | r) for r in runs) for u in sets]
+
+
 def test_exact_oracle_at_small_scale(spark, sf_small):
     from aqlens.llm import queries
 
