@@ -231,6 +231,45 @@ def test_repeated_tokens_count_once():
         assert got == [any(len(u & r) >= 0.8 * len(u | r) for r in runs) for u in sets]
 
 
+def marked(spark, docs):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    return {r["doc_id"]: (list(r["first_ids"]), r["spans"]) for r in passages.mark_passages(df).collect()}
+
+
+def test_an_earlier_part_hides_no_exact_repeat(spark):
+    """40 of 50 words in an earlier document share signatures but are too short."""
+    docs, owner = {}, {}
+    for k in range(120):
+        passage = words(50, 7 * k)
+        at = 3 * k
+        docs[at] = words(30, 7 * k + 1) + passage[5:45] + words(30, 7 * k + 2)
+        docs[at + 1] = words(30, 7 * k + 3) + passage + words(30, 7 * k + 4)
+        docs[at + 2] = words(45, 7 * k + 5) + passage + words(20, 7 * k + 6)
+        owner[at + 2] = at + 1
+    got = marked(spark, docs)
+    for i, (first_ids, spans) in got.items():
+        assert first_ids == ([owner[i]] if i in owner else []), i
+        if i in owner:
+            start, end, _ = map(int, spans.split(":"))
+            assert start <= 45 and end >= 95
+
+
+def test_every_place_of_the_first_document_is_compared():
+    """The passage stands after a part of it in the same document."""
+    lost = 0
+    for k in range(100):
+        passage = words(52, 9 * k)
+        b = passages.tokens(" ".join(passage[4:44] + words(80, 9 * k + 1) + passage + words(9, 9 * k + 2)).encode())
+        a = passages.tokens(" ".join(words(30, 9 * k + 3) + edited(passage, "change", 26) + words(30, 9 * k + 4)).encode())
+        there = passages._places_by_signature(b, passages.LEAST, passages.SIMILARITY, passages.HASHES)
+        mine = list(zip(*(x.tolist() for x in passages.signatures(a))))
+        every = [(c, o, lo, hi) for sig, c, lo, hi in mine for o in there.get(int(np.uint64(sig).view(np.int64)), ())]
+        one = common_places(a, b)
+        assert set(one) <= set(every)
+        lost += bool(passages.similar_spans(a, b, every)) and not passages.similar_spans(a, b, one)
+    assert lost > 0  # what the first place alone would miss
+
+
 def test_exact_oracle_at_small_scale(spark, sf_small):
     from aqlens.llm import queries
 
