@@ -270,6 +270,26 @@ def test_every_place_of_the_first_document_is_compared():
     assert lost > 0  # what the first place alone would miss
 
 
+def test_spans_of_signatures_are_overlaps_of_compact_windows():
+    token = passages.tokens(" ".join(words(400, 5)).encode())
+    least = passages.LEAST
+    own = [passages._mix(token, 2 + k) for k in (0, 1)]
+    minima = [passages.window_minima(v) for v in own]
+    trees = [passages.compact_windows(v, m) for v, m in zip(own, minima)]
+    _, c, lo, hi = (x.tolist() for x in passages.signatures(token, hashes=2))
+    for at, l, h in zip(c, lo, hi):
+        x, y = minima[0][l], minima[1][l]
+        assert x == at
+        left, right = (f(trees[0][x][k], trees[1][y][k]) for k, f in enumerate((max, min)))
+        assert (l, h) == (max(left, max(x, y) - least + 1), min(right, min(x, y) + least - 1))
+
+
+@pytest.mark.parametrize("kind", ["insert", "delete", "change"])
+def test_recall_of_near_passages_at_the_production_setting(kind):
+    found = sum(bool(passages.similar_spans(a, b, common_places(a, b))) for a, b in (near_pair(50, kind, seed) for seed in range(200)))
+    assert found >= 0.985 * 200
+
+
 def test_exact_oracle_at_small_scale(spark, sf_small):
     from aqlens.llm import queries
 
