@@ -248,6 +248,16 @@ def drop_near_duplicates(
     named = gone.filter("gone_id is not null").select("gone_id").distinct()
     named = sized(written(named, "simhash-gone"), BROADCAST_KEYS)
     out = rows.join(named, F.col("id") == F.col("gone_id"), "left_anti").select("row")
+    # an id of rows that go and of rows that stay names them with the fingerprint
+    stays = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("both_id"))
+    both = written(stays.join(named, F.col("both_id") == F.col("gone_id"), "left_semi").distinct(), "simhash-both")
+    if not both.isEmpty():
+        few = sized(both, BROADCAST_KEYS)
+        mixed = rows.join(few, F.col("id") == F.col("both_id"), "left_semi").select(F.struct("row", "id").alias("known"), "text")
+        keyed = fingerprints(mixed, shingle, "known", "text").withColumn("own", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+        going = gone.join(few, F.col("gone_id") == F.col("both_id"), "left_semi").distinct()
+        same = (F.col("id.id") == F.col("gone_id")) & (F.col("own") == F.col("fingerprint"))
+        out = out.unionByName(keyed.join(going, same, "left_anti").select(F.col("id.row").alias("row")))
     nameless = gone.filter("gone_id is null").select("fingerprint").distinct()
     if not nameless.isEmpty():
         keyed = fingerprints(rows.filter("id is null"), shingle, "row", "text")

@@ -115,6 +115,13 @@ def test_near_duplicates(odd_docs, odd_rows, clash):
     assert {r["doc_id"] for r in kept.collect()} - {None} == {x for x in least.values() if x is not None}
 
 
+def test_rows_that_share_an_id_go_one_by_one(spark, clash):
+    near, far = " ".join(words(80, 1)), " ".join(words(80, 2))
+    rows = [(1, near), (2, near), (2, far), (3, far), (4, near)]
+    kept = simhash.drop_near_duplicates(clash(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, near), (2, far)])
+
+
 def test_near_duplicates_empty(no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
     assert simhash.drop_near_duplicates(no_docs).collect() == []
