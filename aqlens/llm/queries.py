@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqlens.llm import ann, bpe, exact, langid, packing, passages, pii, quality, secrets, simhash
+from aqlens.llm import ann, bpe, exact, infill, langid, packing, passages, pii, quality, secrets, simhash
 from aqlens.llm.common import table
 
 
@@ -92,6 +92,20 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.mark_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in the middle, and rebuilt."""
+    out = infill.transform(table(spark, sf_dir, "documents"), seed=1, plain_share=10, spm_share=20)
+    return infill.restore(out).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -103,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index": op8_multi_index,
     "op9_quality": op9_quality,
     "op10_passages": op10_passages,
+    "op11_infill": op11_infill,
 }
 
 # Queries that DuckDB can express; the others are tested against brute force.
@@ -117,5 +132,35 @@ SELECT doc_id,
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept,
        sha256(t) AS text_sha256
 FROM d
+""",
+    "op11_infill": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), c AS (
+  SELECT doc_id, t, n,
+         ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1,
+         ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm'
+              ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT doc_id, t, n, form, least(c1, c2) AS a, greatest(c1, c2) AS b,
+         substr(t, 1, least(c1, c2)) AS pre,
+         substr(t, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS mid,
+         substr(t, greatest(c1, c2) + 1) AS suf
+  FROM c
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
 """,
 }
