@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqlens.llm import ann, bpe, exact, infill, langid, packing, passages, pii, quality, secrets, simhash
+from aqlens.llm import ann, bpe, exact, hosts, infill, langid, packing, passages, pii, quality, secrets, simhash
 from aqlens.llm.common import table
 
 
@@ -106,6 +106,13 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and host verdict of every document."""
+    return hosts.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -118,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_passages": op10_passages,
     "op11_infill": op11_infill,
+    "op12_host_rules": op12_host_rules,
 }
 
 # Queries that DuckDB can express; the others are tested against brute force.
@@ -155,12 +163,64 @@ WITH d AS (
   FROM c
 )
 SELECT doc_id, n, form,
-       CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
-       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       CAST(CASE WHEN form <> 'plain' THEN a END AS DOUBLE) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN b - a END AS DOUBLE) AS middle_chars,
        sha256(CASE form WHEN 'plain' THEN t
                         WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
                         ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
        sha256(t) AS restored_sha256
 FROM p
+""",
+    "op12_host_rules": """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM d
+), grams AS (
+  SELECT rid, u.i AS i, array_to_string(ws[u.i:u.i + 4], ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) AS u(i)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p.k) AS n FROM twice, unnest(range(i, i + 5)) AS p(k) GROUP BY rid
+), f AS (
+  SELECT w.rid, doc_id, source, len(ws) AS n_words,
+         length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered ON w.rid = covered.rid
+), tests AS (
+  SELECT source, unnest(['few_words', 'repeats', 'symbols', 'dup_lines', 'word_length']) AS rule,
+         unnest([n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > n_words,
+                 100 * n_dup_lines > 30 * n_lines,
+                 word_chars < 3 * n_words OR word_chars > 10 * n_words]) AS failed
+  FROM f WHERE source IS NOT NULL
+), h AS (
+  SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS k
+  FROM tests GROUP BY source, rule
+), s AS (
+  SELECT rule, CAST(count(*) AS DOUBLE) AS hosts, sum(n) AS n, sum(n * n) AS nn, sum(k) AS k, sum(k * k / n) AS kk
+  FROM h GROUP BY rule
+), v AS (
+  SELECT rule, n, k / n AS mean,
+         CASE WHEN hosts > 1 AND n > hosts THEN (kk - k * k / n) / (hosts - 1) END AS between_hosts,
+         CASE WHEN hosts > 1 AND n > hosts THEN (k - kk) / (n - hosts) END AS within_hosts,
+         CASE WHEN hosts > 1 THEN (n - nn / n) / (hosts - 1) END AS size
+  FROM s
+), r AS (
+  SELECT rule, n, mean,
+         coalesce((between_hosts - within_hosts) / nullif(between_hosts + (size - 1) * within_hosts, 0), 0) AS rho
+  FROM v
+), prior AS (
+  SELECT rule, mean, greatest(1, least(CASE WHEN rho > 0 THEN (1 - rho) / rho ELSE n END, n)) AS strength FROM r
+), bad AS (
+  SELECT DISTINCT source FROM h JOIN prior USING (rule) WHERE (k + mean * strength) / (h.n + strength) > 0.5
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.source IS NULL AS kept
+FROM f LEFT JOIN bad ON f.source = bad.source
 """,
 }
