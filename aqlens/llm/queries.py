@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aqlens.llm import ann, bpe, exact, hosts, infill, langid, packing, passages, pii, quality, secrets, simhash
+from aqlens.llm import ann, bpe, exact, hosts, infill, langid, packing, passages, pii, quality, secrets, simhash, trie
 from aqlens.llm.common import table
 
 
@@ -113,6 +113,12 @@ def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the conversations, rebuilt so that families share beginnings."""
+    turned, convs = trie.with_shared_heads(trie.turns(table(spark, sf_dir, "conversations")), family=20, most=4)
+    return trie.prefix_trie(turned, convs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_passages": op10_passages,
     "op11_infill": op11_infill,
     "op12_host_rules": op12_host_rules,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # Queries that DuckDB can express; the others are tested against brute force.
@@ -222,5 +229,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.source IS NULL AS kept
 FROM f LEFT JOIN bad ON f.source = bad.source
+""",
+    "op13_prefix_trie": """
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+           lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+         ), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM o)
+), r AS (
+  SELECT convs.c, 0 AS own, o.pos, o.role, o.text FROM convs JOIN o ON o.c = convs.c - convs.c % 20 AND o.pos <= convs.h
+  UNION ALL
+  SELECT convs.c, 1, o.pos, o.role, o.text FROM convs JOIN o ON o.c = convs.c AND o.pos > convs.h
+), p AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS depth,
+         array_agg(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY own, pos) AS path
+  FROM r
+  UNION ALL
+  SELECT c, '', '', 0, [] FROM convs
+), ends AS (
+  SELECT path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM (SELECT c, max_by(path, depth) AS path FROM p GROUP BY c) GROUP BY path
+), n AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, max(text) AS text FROM p GROUP BY path, depth
+), w AS (
+  SELECT n.*, (n_convs - 1) * len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS own,
+         (SELECT count(*) FROM n AS x WHERE x.depth = n.depth + 1 AND x.path[1:n.depth] = n.path) AS n_children
+  FROM n
+), s AS (
+  SELECT v.path, count(*) FILTER (u.n_children = 0) AS n_leaves, sum(u.own) AS saved
+  FROM w AS v JOIN w AS u ON u.depth >= v.depth AND u.path[1:v.depth] = v.path GROUP BY v.path
+)
+SELECT w.conv_id, w.depth, CAST(up.conv_id AS DOUBLE) AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM w JOIN s ON s.path = w.path
+LEFT JOIN w AS up ON up.depth = w.depth - 1 AND up.path = w.path[1:w.depth - 1]
+LEFT JOIN ends ON ends.path = w.path
 """,
 }
