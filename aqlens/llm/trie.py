@@ -75,6 +75,8 @@ def turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
         F.unhex(F.sha2(F.concat(F.length(role_).cast("string"), F.lit(":"), role_, text_), 256)).alias("digest"),
         F.regexp_count(text_, F.lit(WORDS)).cast("long").alias("words"),
     )
+    # the bounds of the ranges are sampled from the digests, not from the texts
+    rows = written(rows, "trie-digests")
     order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = rows.select("conv", "digest", "words", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
