@@ -57,6 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/aqlens/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared scratch folder and read it back: what
+    follows survives lost executors without computing ``df`` again, and nothing
+    stays in memory."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    # an empty table has no files to read the schema from
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, derived: bool = False) -> DataFrame:
     """Broadcast a dimension only behind a size check, with a shuffle join
     beyond it.
@@ -65,13 +75,13 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, deri
       the scan statistics and broadcasts it only below
       ``spark.sql.autoBroadcastJoinThreshold``, else plans a sort-merge join.
     * A ``derived`` dimension (an aggregate of the data, whose estimate is
-      not a bound) is persisted and counted, so the count and the join share
-      one computation, and hinted only when within ``max_rows``.
+      not a bound) is written to the shared folder and counted there, and
+      hinted only when within ``max_rows``.
 
     Frames built from the constants module have a known size and use
     ``F.broadcast`` directly.
     """
     if not derived:
         return df
-    df = df.persist()
+    df = written(df, "dimension")
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -8,33 +8,15 @@ string table, so no inference pass runs over large inputs.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aqlens import constants as K
 from aqlens.functions import exprs as X
+from aqlens.sources import pages as P
+from aqlens.sources.pages import READING_FIELDS, RECORD_SCHEMA
 
-READING_FIELDS = [
-    "state",
-    "city",
-    "station",
-    "last_update",
-    "latitude",
-    "longitude",
-    "pollutant_id",
-    "pollutant_min",
-    "pollutant_max",
-    "pollutant_avg",
-]
-# The live feed names the values differently.
-LIVE_FIELDS = ["min_value", "max_value", "avg_value"]
-RECORD_SCHEMA = T.StructType(
-    [T.StructField("reading_id", T.LongType())] + [T.StructField(f, T.StringType()) for f in READING_FIELDS + LIVE_FIELDS]
-)
-PAGE_SCHEMA = T.StructType(
-    [T.StructField("total", T.LongType()), T.StructField("records", T.ArrayType(RECORD_SCHEMA))]
-)
 READING_CSV_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in READING_FIELDS])
 
 STATE_SCHEMA = T.StructType(
@@ -53,15 +35,6 @@ CITY_DAY_SCHEMA = T.StructType(
 )
 
 
-ARRIVAL = ["_arrival_path", "_arrival_block", "_arrival_row"]
-
-
-def arrival() -> list[Column]:
-    """Place of a row among the files of a source: path, block, row of the scan."""
-    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return [c.alias(n) for n, c in zip(ARRIVAL, place)]
-
-
 def clean_header(df: DataFrame) -> DataFrame:
     """Strip blanks and zero-width characters from every column name."""
     return df.toDF(*[X.clean_name(c) for c in df.columns])
@@ -83,12 +56,11 @@ def read_state_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_readings_csv(spark: SparkSession, path: str) -> DataFrame:
     """A snapshot of live readings (all text), header cleaned, numbered in
     file order (``reading_id``) where the snapshot has no such column."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    df = raw.select("*", *arrival())
-    df = clean_header(df)
-    if "reading_id" not in df.columns:
-        df = df.orderBy(*ARRIVAL).withColumn("reading_id", F.monotonically_increasing_id())
-    return df.drop(*ARRIVAL)
+    df = clean_header(spark.read.option("header", True).option("inferSchema", False).csv(path))
+    if "reading_id" in df.columns:
+        return df
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")]
+    return P.numbered(df.select("*", *place), "reading_id", ["_path", "_block"], "snapshot").drop("_path", "_block")
 
 
 def read_city_day_csv(spark: SparkSession, path: str, drop_incomplete: bool = True) -> DataFrame:
@@ -124,6 +96,15 @@ def state_key(state: str) -> str:
     return state.replace(" ", "_")
 
 
+def page_lines(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
+    """Lines of landed page files; for pages landed by state (``state_key=``
+    folders) a state filter prunes whole folders before any file is opened."""
+    lines = P.read_lines(spark.read, path)
+    if state is not None and "state_key" in lines.columns:
+        lines = lines.filter(F.col("state_key") == state_key(state))
+    return lines
+
+
 def read_pages(
     spark: SparkSession,
     path: str,
@@ -132,25 +113,21 @@ def read_pages(
     city: str | None = None,
     number: bool = False,
 ) -> DataFrame:
-    """Landed reading pages ``{total, records: [...]}``: every file under
-    ``path`` is one or more pages; records of all pages are concatenated (bag
-    union, no dedupe) and optionally cut to ``limit`` records in a stable
-    order.  For pages landed by state (``state_key=`` folders) a state filter
-    prunes whole folders before any file is opened, otherwise it applies to
-    the records, as a city filter does.
+    """Landed reading pages ``{total, records: [...]}`` in any JSON layout (one
+    a line, printed over lines, arrays; see ``aqlens.sources.pages``): records
+    of all pages are concatenated (bag union, no dedupe) and optionally cut to
+    ``limit`` records in a stable order.  What can't be read is listed by
+    ``read_page_rejects``.
 
     Live records carry no arrival id: with ``number`` those without one are
-    numbered by file path and position, which the order-dependent operators
-    and the cut to ``limit`` need."""
-    pages = spark.read.schema(PAGE_SCHEMA).json(path)
-    if state is not None and "state_key" in pages.columns:
-        pages = pages.filter(F.col("state_key") == state_key(state))
+    numbered by file path and position (pages printed over lines behind the
+    others of their file), which the order-dependent operators and the cut to
+    ``limit`` need."""
+    rows = P.records(page_lines(spark, path, state))
     if number:
-        placed = pages.select("records", *arrival()).orderBy(*ARRIVAL)
-        recs = placed.select(F.explode("records").alias("r"), F.monotonically_increasing_id().alias("_n"))
-        recs = recs.withColumn("r", F.col("r").withField("reading_id", F.coalesce("r.reading_id", "_n"))).select("r.*")
-    else:
-        recs = pages.select(F.explode("records").alias("r")).select("r.*")
+        rows = P.numbered(rows, "_number", ["path", "block", "kind"], "pages")
+        rows = rows.withColumn("r", F.col("r").withField("reading_id", F.coalesce("r.reading_id", "_number")))
+    recs = rows.select("r.*")
     if state is not None:
         recs = recs.filter(F.col("state") == state)
     if city is not None:
@@ -160,6 +137,12 @@ def read_pages(
     return recs
 
 
+def read_page_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, reason, text) of what the files of ``path`` hold that
+    isn't a readable page."""
+    return P.rejects(page_lines(spark, path))
+
+
 def empty_readings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RECORD_SCHEMA)
 

@@ -1,34 +1,45 @@
 """Incremental ingest of landed reading pages with Structured Streaming.
 
-New page files are picked up by a file stream source with an explicit
-schema; records are exploded, their time parsed, and of each (station,
-pollutant, update time) the first record is kept.  Each micro-batch is
-compared with what has landed on the same dates, so a record is recognised
-however late it comes and no unique one is lost.  A batch that is run again
-after a failure finds its own rows landed and adds none twice.
+New page files are picked up by a file stream source, read as lines and parsed
+as in batch (any JSON layout, with a list of rejects); of each (station,
+pollutant, update time) the first record is kept.  A micro-batch is compared
+with what has landed on the dates that it holds, and only their folders are
+read, so a record is recognised however late it comes while the cost of a batch
+follows its own rows.  A batch that is run again after a failure finds its own
+rows landed and adds none twice.
+
+Dashboard tiles are kept as partial states by date: counts, sums, maxima and
+sketches, next to the distinct places of the date.  A batch states again only
+the dates that it touched; the tiles merge the newest state of every date.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aqlens.functions import exprs as X
-from aqlens.operators import dashboard as D
 from aqlens.operators import readings as R
-from aqlens.sources.files import PAGE_SCHEMA
+from aqlens.sources import pages as P
 
 DEDUPE_KEYS = ["station", "pollutant_id", "last_update"]
+# Dates of a batch that are named one by one in the filter on the sink; a batch
+# of more is compared with all that lies between its first and last.
+MAX_DATES = 400
+PLACE = ["state", "city", "station"]
+# Superseded states of this many last batches stay, for readers still at them.
+KEEP_BATCHES = 8
 
 
 def page_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming records of the pages landing under ``path``."""
-    r = spark.readStream.schema(PAGE_SCHEMA)
+    """Lines of the page files landing under ``path``."""
+    reader = spark.readStream
     if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    pages = r.json(path)
-    return pages.select(F.explode("records").alias("r")).select("r.*")
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return P.read_lines(reader, path)
 
 
 def timed(records: DataFrame) -> DataFrame:
@@ -46,47 +57,159 @@ def landed(spark: SparkSession, sink: str) -> DataFrame | None:
         return None
 
 
-def land_new(batch: DataFrame, sink: str) -> None:
+def on_dates(dates: list) -> Column:
+    """Filter on the date folders of a sink for the given dates (null among
+    them is the folder of bad times)."""
+    known = sorted(d for d in dates if d is not None)
+    same = F.col("date").isin(*known) if len(known) <= MAX_DATES else F.col("date").between(known[0], known[-1])
+    return (same | F.col("date").isNull()) if None in dates else same
+
+
+def batch_dates(batch: DataFrame) -> list:
+    """The dates of a batch; of more than MAX_DATES the first and last, and
+    enough between them to say so."""
+    dates = [r[0] for r in batch.select("date").distinct().limit(MAX_DATES + 2).collect()]
+    if len(dates) > MAX_DATES + 1:
+        ends = batch.agg(F.min("date"), F.max("date"), F.count_if(F.col("date").isNull())).first()
+        dates = [*dates, ends[0], ends[1], *([None] if ends[2] else [])]
+    return dates
+
+
+def unseen(batch: DataFrame, known: DataFrame | None, dates: list) -> DataFrame:
+    """Rows of ``batch`` whose key hasn't landed: an anti join with the keys in
+    the folders of the batch's dates."""
+    if known is None:
+        return batch
+    keys = [*DEDUPE_KEYS, "date"]
+    known = known.filter(on_dates(dates)).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    return batch.join(known, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
+
+
+def land_new(batch: DataFrame, sink: str) -> list:
     """Append the records of a batch whose key has not landed, partitioned by
     date; records with a bad time share the null date.  Of a batch's repeats
-    the one that arrived first stays."""
+    the one that arrived first stays.  Returns the dates of the batch."""
     order = [c for c in ("reading_id",) if c in batch.columns] + [c for c in batch.columns if c != "reading_id"]
     fresh = batch.groupBy(*DEDUPE_KEYS).agg(F.min(F.struct(*order)).alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in batch.columns])
-    fresh = fresh.withColumn("date", F.to_date("event_time"))
-    known = landed(batch.sparkSession, sink)
-    if known is not None:
-        keys = [*DEDUPE_KEYS, "date"]  # the date prunes the landed folders
-        known = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        fresh = fresh.join(known, same, "left_anti")
-    fresh.write.mode("append").partitionBy("date").parquet(sink)
+    fresh = fresh.withColumn("date", F.to_date("event_time")).persist()
+    try:
+        dates = batch_dates(fresh)
+        if dates:
+            unseen(fresh, landed(batch.sparkSession, sink), dates).write.mode("append").partitionBy("date").parquet(sink)
+        return dates
+    finally:
+        fresh.unpersist()
 
 
-def run_deduplicated(records: DataFrame, sink: str, checkpoint: str) -> None:
-    """Process everything available now, in one or more micro-batches."""
+def _run(lines: DataFrame, sink: str, checkpoint: str, rejects: str | None, then: Callable[[SparkSession, list, int], None]) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            dates = land_new(timed(P.records(batch).select("r.*")), sink)
+            if rejects:
+                # a batch that runs again replaces its own list
+                P.rejects(batch).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+            then(batch.sparkSession, dates, batch_id)
+        finally:
+            batch.unpersist()
+
+    q = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    q.trigger(availableNow=True).start().awaitTermination()
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        land_new(batch, sink)
 
-    q = timed(records).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    q.trigger(availableNow=True).start().awaitTermination()
+def run_deduplicated(lines: DataFrame, sink: str, checkpoint: str, rejects: str | None = None) -> None:
+    """Land everything available now, in one or more micro-batches; what can't
+    be read goes to the folder ``rejects``."""
+    _run(lines, sink, checkpoint, rejects, lambda spark, dates, batch_id: None)
 
 
-def run_tiles(records: DataFrame, sink: str, tiles: str, checkpoint: str) -> None:
-    """Land new records in ``sink`` and write the dashboard tiles over all that
-    has landed.  Each batch writes a folder of its own, so a failure leaves the
-    last complete tiles in place."""
+def run_tiles(lines: DataFrame, sink: str, tiles: str, checkpoint: str, rejects: str | None = None) -> None:
+    """Land new records in ``sink`` and keep the states of the dashboard tiles
+    below ``tiles``."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        land_new(batch, sink)
-        rows = landed(batch.sparkSession, sink)
-        if rows is not None:
-            D.tiles(R.normalise(rows.drop("date", "event_time"))).write.mode("overwrite").parquet(f"{tiles}/batch={batch_id}")
+    def update(spark: SparkSession, dates: list, batch_id: int) -> None:
+        if dates:
+            state_dates(spark, sink, tiles, dates, batch_id)
+            drop_superseded(spark, tiles)
 
-    q = timed(records).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    q.trigger(availableNow=True).start().awaitTermination()
+    _run(lines, sink, checkpoint, rejects, update)
 
 
-def latest_tiles(spark: SparkSession, tiles: str) -> DataFrame:
-    """The tiles of the last batch that finished."""
-    return spark.read.parquet(tiles).orderBy(F.desc("batch")).limit(1).drop("batch")
+def state_dates(spark: SparkSession, sink: str, tiles: str, dates: list, batch_id: int) -> None:
+    """State the given dates anew from what has landed on them.  The places
+    come first: a date counts once its state is there, and then they are."""
+    rows = landed(spark, sink)
+    if rows is None:
+        return
+    norm = R.normalise(rows.filter(on_dates(dates)).withColumn("_date", F.col("date")).drop("date", "event_time"))
+    places = norm.groupBy("_date", *PLACE).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("value").alias("s"),
+        F.count("value").alias("n_values"),
+        F.max("value").alias("high"),
+        F.max("datetime").alias("last"),
+    )
+    places = places.withColumnRenamed("_date", "date").persist()
+    try:
+        places.select("date", *PLACE).write.mode("overwrite").parquet(f"{tiles}/places/batch={batch_id}")
+        sketches = [F.hll_sketch_agg(F.coalesce(F.col(c), F.lit("")), F.lit(12)).alias(f"sketch_{c}") for c in PLACE]
+        days = places.groupBy("date").agg(
+            F.sum("n").alias("n"),
+            F.sum("s").alias("s"),
+            F.sum("n_values").alias("n_values"),
+            F.max("high").alias("high"),
+            F.max("last").alias("last"),
+            *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in PLACE],
+            *sketches,
+        )
+        days.write.mode("overwrite").parquet(f"{tiles}/days/batch={batch_id}")
+    finally:
+        places.unpersist()
+
+
+def _newest(spark: SparkSession, tiles: str) -> DataFrame:
+    """The newest state of every date: one short row a date."""
+    return spark.read.parquet(f"{tiles}/days").groupBy("date").agg(F.max("batch").alias("newest"))
+
+
+def _of_newest(spark: SparkSession, tiles: str, part: str) -> DataFrame:
+    newest = _newest(spark, tiles).withColumnRenamed("date", "_date")
+    rows = spark.read.parquet(f"{tiles}/{part}")
+    return rows.join(newest, F.col("date").eqNullSafe(F.col("_date")) & (F.col("batch") == F.col("newest")), "left_semi")
+
+
+def latest_tiles(spark: SparkSession, tiles: str, approx: bool = False) -> DataFrame:
+    """The tiles over all that has landed, merged from the states of the dates.
+    Distinct counts are exact, from the places of each date, or with ``approx``
+    from the sketches alone (about 1.6 % standard error)."""
+    days = _of_newest(spark, tiles, "days")
+    sums = [
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.try_divide(F.sum("s"), F.sum("n_values")).alias("mean_aqi"),
+        F.max("high").alias("max_aqi"),
+        F.max("last").alias("latest_update"),
+    ]
+    names = {"station": "n_stations", "state": "n_states", "city": "n_cities"}
+    if approx:
+        # the sketches hold nulls as the empty text
+        seen = [F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{c}")) - F.max((F.col(f"null_{c}") > 0).cast("long")) for c in names]
+        out = days.agg(*sums, *[F.coalesce(e, F.lit(0)).alias(n) for e, n in zip(seen, names.values())])
+    else:
+        places = _of_newest(spark, tiles, "places").select(*PLACE).distinct()
+        counts = places.agg(*[F.count_distinct(c).alias(n) for c, n in names.items()])
+        out = days.agg(*sums).crossJoin(F.broadcast(counts))  # one row each
+    return out.select("n_rows", *names.values(), "mean_aqi", "max_aqi", "latest_update")
+
+
+def drop_superseded(spark: SparkSession, tiles: str) -> None:
+    """Delete the folders of batches whose dates were all stated again since,
+    but for the last KEEP_BATCHES."""
+    states = spark.read.parquet(f"{tiles}/days").select("date", "batch").distinct()
+    newest = states.groupBy("date").agg(F.max("batch").alias("batch")).select("batch").distinct()
+    last = states.agg(F.max("batch")).first()[0]
+    old = states.select("batch").distinct().filter(F.col("batch") <= last - KEEP_BATCHES)
+    conf = spark._jsc.hadoopConfiguration()
+    for row in old.join(newest, "batch", "left_anti").collect():  # one row a folder
+        for part in ("days", "places"):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{tiles}/{part}/batch={row[0]}")
+            folder.getFileSystem(conf).delete(folder, True)
