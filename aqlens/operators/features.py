@@ -6,15 +6,20 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aqlens import constants as K
 from aqlens.functions import exprs as X
-from aqlens.session import broadcast_if_bounded, checkpoint_root
+from aqlens.operators.ordering import rank
+from aqlens.operators.selection import medians
+from aqlens.session import broadcast_if_bounded
 
-# A distinct-value list is pulled to the driver only below this size.
-MEDIAN_COLLECT_LIMIT = 50_000
+# Most values that are spread to a column each.
+ONE_HOT_COLUMNS = 2_000
+# Code of a value that a code dimension doesn't hold, where -1 isn't allowed.
+UNKNOWN_CODE = (1 << 31) - 1
 
 
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
@@ -32,31 +37,10 @@ def calendar(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def code_dimension(df: DataFrame, col: str) -> DataFrame:
-    """Alphabetical code (0-based) of each distinct non-null value.
-
-    Distributed rank: the distinct values are range-partitioned and sorted
-    within each partition, so a value's code is the number of values in
-    earlier partitions plus its position in its own.  Positions come from
-    ``monotonically_increasing_id`` (partition id in the upper bits); only
-    one count per partition meets in a window.  The ranked values are
-    checkpointed to the shared folder first, so a recomputation after a lost
-    executor cannot draw different range bounds."""
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Alphabetical code (0-based) of each distinct non-null value: a
+    distributed rank of the distinct values (see ``aqlens.operators.ordering``)."""
     values = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    ranked = (
-        values.repartitionByRange(n, "_v").sortWithinPartitions("_v").withColumn("_mid", F.monotonically_increasing_id())
-    ).checkpoint()
-    ranked = ranked.select(
-        "_v",
-        F.shiftright("_mid", 33).alias("_pid"),
-        (F.col("_mid") - F.shiftleft(F.shiftright("_mid", 33), 33)).alias("_local"),
-    )
-    per_part = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return ranked.join(F.broadcast(offsets), "_pid").select("_v", (F.col("_off") + F.col("_local")).cast("int").alias("_code"))
+    return rank(values, "_v", "_code", "codes").withColumn("_code", F.col("_code").cast("int"))
 
 
 def attach_codes(
@@ -90,9 +74,13 @@ def with_codes(df: DataFrame, cols: Sequence[str], suffix: str = "_encoded") ->
 
 
 def distinct_values(df: DataFrame, col: str) -> list:
-    """Sorted distinct values of a category column.  Each becomes a column, so
-    the list is as long as the schema it makes."""
-    return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
+    """Sorted distinct values of a category column, each to become a column.
+    More than ONE_HOT_COLUMNS are refused: no schema holds them, one vector
+    (``one_hot_vector``) does."""
+    found = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(ONE_HOT_COLUMNS + 1).collect()
+    if len(found) > ONE_HOT_COLUMNS:
+        raise ValueError(f"{col} has more than {ONE_HOT_COLUMNS} values: use one_hot_vector")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, col: str, prefix: str | None = None, values: Sequence | None = None) -> DataFrame:
@@ -103,6 +91,22 @@ def one_hot(df: DataFrame, col: str, prefix: str | None = None, values: Sequence
     return df.withColumns({n: F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for n, v in zip(names, values)})
 
 
+def one_hot_encoder(codes: DataFrame, col: str, out: str) -> OneHotEncoderModel:
+    """Encoder of the codes in column ``col`` into a sparse vector ``out`` with
+    one place per value of the code dimension; any other code gives zeros."""
+    encoder = OneHotEncoder(inputCols=[col], outputCols=[out], handleInvalid="keep", dropLast=True)
+    return encoder.fit(codes.agg(F.coalesce(F.max("_code"), F.lit(0)).cast("double").alias(col)))
+
+
+def one_hot_vector(df: DataFrame, col: str, out: str, codes: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``out``: one sparse vector of a category, its places in the
+    alphabetical order of the values; null and unknown values are all zeros.
+    The values stay in a distributed code table, whatever their number."""
+    codes = code_dimension(df, col) if codes is None else codes
+    coded = attach_codes(df, codes, col, "_place", missing=UNKNOWN_CODE)
+    return one_hot_encoder(codes, "_place", out).transform(coded).drop("_place")
+
+
 def one_hot_names(prefix: str, values: Sequence) -> list[str]:
     """Column names of the values; a name that is taken gets a number."""
     taken: dict[str, int] = {}
@@ -120,95 +124,12 @@ def one_hot_name(prefix: str, value) -> str:
     return f"{prefix}_" + re.sub(r"[^0-9A-Za-z_]", "_", str(value))
 
 
-def _kth(df: DataFrame, col: str, k: int, limit: int) -> float:
-    """Exact k-th smallest (0-based) non-null value of ``col``.
-
-    The candidate range (lo, hi] is narrowed by distributed passes: approximate
-    quantiles of the values still in range propose cut points, one
-    aggregation counts the values at or below each cut, and the range shrinks
-    to the cut interval holding rank k.  Once the range holds at most
-    ``limit`` values they are fetched and indexed.  Every pass scans in
-    parallel; the driver only ever sees ``limit`` values."""
-    c = F.col(col)
-    lo = hi = None
-    below = 0
-    while True:
-        cond = c.isNotNull()
-        if lo is not None:
-            cond = cond & (c > F.lit(lo))
-        if hi is not None:
-            cond = cond & (c <= F.lit(hi))
-        sub = df.filter(cond).select(c.alias("_x"))
-        stats = sub.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx")).first()
-        if stats["mn"] == stats["mx"]:
-            return stats["mn"]
-        if stats["n"] <= limit:
-            vals = sorted(r[0] for r in sub.collect())
-            return vals[k - below]
-        cuts = sub.agg(F.percentile_approx("_x", [i / 64 for i in range(1, 64)], 10000).alias("q")).first()["q"]
-        cuts = sorted(set(cuts))
-        counts = sub.agg(*[F.count_if(F.col("_x") <= F.lit(q)).alias(f"c{i}") for i, q in enumerate(cuts)]).first()
-        new_lo, new_hi, new_below = lo, hi, below
-        for i, q in enumerate(cuts):
-            if below + counts[f"c{i}"] > k:
-                new_hi = q
-                break
-            new_lo, new_below = q, below + counts[f"c{i}"]
-        if (new_lo, new_hi) == (lo, hi):  # heavy ties: peel off the smallest value
-            mn = stats["mn"]
-            n_eq = sub.filter(F.col("_x") <= F.lit(mn)).count()
-            if below + n_eq > k:
-                return mn
-            new_lo, new_below = mn, below + n_eq
-        lo, hi, below = new_lo, new_hi, new_below
-
-
-def exact_median(df: DataFrame, col: str, limit: int = MEDIAN_COLLECT_LIMIT) -> float | None:
-    """Exact median (mean of the two middle values for an even count), as
-    pandas and Spark's ``median`` give, without holding all values in one
-    aggregation buffer."""
-    n = df.filter(F.col(col).isNotNull()).count()
-    if n == 0:
-        return None
-    a = _kth(df, col, (n - 1) // 2, limit)
-    b = a if n % 2 else _kth(df, col, n // 2, limit)
-    return (a + b) / 2
-
-
-def exact_medians(df: DataFrame, cols: Sequence[str], limit: int = MEDIAN_COLLECT_LIMIT) -> dict:
-    """Exact medians of several columns.  The projected columns are persisted
-    for the search passes; when the whole projection has at most ``limit``
-    rows it is fetched once, else each column is narrowed by ``_kth``."""
-    proj = df.select(*cols).persist()
-    try:
-        row = proj.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in cols]).first()
-        if row["_rows"] <= limit:
-            data = proj.collect()
-            out = {}
-            for c in cols:
-                vals = sorted(r[c] for r in data if r[c] is not None)
-                n = len(vals)
-                out[c] = None if n == 0 else (vals[(n - 1) // 2] + vals[n // 2]) / 2
-            return out
-        out = {}
-        for c in cols:
-            n = row[c]
-            if n == 0:
-                out[c] = None
-                continue
-            a = _kth(proj, c, (n - 1) // 2, limit)
-            b = a if n % 2 else _kth(proj, c, n // 2, limit)
-            out[c] = (a + b) / 2
-        return out
-    finally:
-        proj.unpersist()
-
-
-def median_impute(df: DataFrame, cols: Sequence[str], exact: bool = True, limit: int = MEDIAN_COLLECT_LIMIT) -> DataFrame:
-    """Fill nulls with the column median (exact by default, else
-    ``percentile_approx``).  All-null columns stay null."""
+def median_impute(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
+    """Fill nulls with the column median (exact by default, by radix selection
+    over all columns at once; else ``percentile_approx``).  All-null columns
+    stay null."""
     if exact:
-        med = exact_medians(df, cols, limit)
+        med = medians(df, cols)
     else:
         row = df.agg(*[F.percentile_approx(c, 0.5, 10000).alias(c) for c in cols]).first()
         med = {c: row[c] for c in cols}

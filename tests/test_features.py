@@ -3,27 +3,52 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from aqlens.operators import features as Fe
+from aqlens.operators import selection as Se
 from aqlens.operators import weather as W
 
 
-def test_exact_median_narrowing(spark):
+def test_medians_by_radix_selection(spark):
     rnd = random.Random(3)
-    vals = [float(rnd.randint(0, 50)) for _ in range(997)] + [rnd.uniform(0, 1000) for _ in range(1500)]
-    df = spark.createDataFrame([(v,) for v in vals] + [(None,)] * 5, "x double")
-    # tiny limit forces several distributed narrowing passes
-    assert Fe.exact_median(df, "x", limit=20) == statistics.median(vals)
-    even = vals[:-1]
-    df2 = spark.createDataFrame([(v,) for v in even], "x double")
-    assert Fe.exact_medians(df2, ["x"], limit=15)["x"] == statistics.median(even)
-
-
-def test_exact_median_heavy_ties(spark):
-    vals = [5.0] * 500 + [1.0] * 10 + [9.0] * 10
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
-    assert Fe.exact_median(df, "x", limit=5) == 5.0
+    vals = [float(rnd.randint(0, 50)) for _ in range(997)] + [rnd.uniform(-1000, 1000) for _ in range(1500)]
+    wild = [rnd.choice([1, -1]) * 10.0 ** rnd.randint(-300, 300) for _ in range(len(vals))]
+    ties = [5.0] * 1500 + [1.0] * 500 + [9.0] * 497
+    rows = list(zip(vals, wild, ties)) + [(None, None, None)] * 5
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    got = Se.medians(df, ["x", "y", "z"])
+    assert got == {"x": statistics.median(vals), "y": statistics.median(wild), "z": 5.0}
+    even = spark.createDataFrame([(v,) for v in vals[:-1]], "x double")
+    assert Se.medians(even, ["x"])["x"] == statistics.median(vals[:-1])
+
+
+def test_medians_of_edges(spark):
+    assert Se.medians(spark.createDataFrame([(None, 2.0)], "a double, b double"), ["a", "b"]) == {"a": None, "b": 2.0}
+    assert Se.medians(spark.createDataFrame([], "a double"), ["a"]) == {"a": None}
+    odd = [float("-inf"), -0.0, 0.0, 5e-324, -5e-324, 1.7e308, float("inf")]
+    keys = spark.createDataFrame([(v,) for v in odd], "x double").select("x", Se.order_key(F.col("x")).alias("k")).orderBy("k").collect()
+    assert [r.x for r in keys] == sorted(odd) and [Se.value_of(r.k) for r in keys] == [r.x for r in keys]
+    # integers are typed as doubles; a column name needs no quoting
+    assert Se.medians(spark.createDataFrame([(3,), (1,), (2,)], "a long"), ["a"]) == {"a": 2.0}
+
+
+def test_medians_take_few_passes_and_collect_no_rows(spark, monkeypatch):
+    seen = []
+    real = type(spark.range(1)).collect
+
+    def collect(df):
+        rows = real(df)
+        seen.append(len(rows))
+        return rows
+
+    df = spark.range(200_000).select((F.hash("id") / 7.0).alias("x"), (F.col("id") % 1000 * 1.0).alias("y"))
+    want = df.selectExpr("median(x)", "median(y)").first()
+    monkeypatch.setattr(type(spark.range(1)), "collect", collect)
+    got = Se.medians(df, ["x", "y"])
+    assert (got["x"], got["y"]) == tuple(want)
+    assert len(seen) <= 8 and max(seen) <= 2 * 2 * 256
 
 
 def test_median_impute_matches_pandas(spark):
@@ -98,3 +123,23 @@ def test_scoring_codes_default_city(spark):
     assert got == {"Pune": 2, "Nowhere": 1}  # unseen -> Delhi's code
     only = Fe.code_dimension(spark.createDataFrame([("Agra",)], "city string"), "city")
     assert Fe.attach_scoring_codes(rows, only).filter("city = 'Nowhere'").first().city_encoded == -1
+
+
+def test_one_hot_vector_of_many_ids(spark):
+    df = spark.range(250_000).select("id", F.when(F.col("id") % 5 != 0, F.format_string("id%06d", F.pmod(F.col("id"), F.lit(100_000)))).alias("p"))
+    out = Fe.one_hot_vector(df, "p", "v")
+    ids = [f"id{i:06d}" for i in range(100_000) if i % 5]
+    for r in out.filter("id in (1, 2, 99999, 100001, 5)").collect():
+        assert r.v.size == len(ids)
+        assert list(r.v.indices) == ([ids.index(r.p)] if r.p else []) and set(r.v.values) <= {1.0}
+    assert out.count() == 250_000
+    # a dimension of the training data: unknown values are zeros
+    codes = Fe.code_dimension(spark.createDataFrame([("a",), ("c",)], "p string"), "p")
+    rows = Fe.one_hot_vector(spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "p string"), "p", "v", codes).collect()
+    assert {r.p: r.v.toArray().tolist() for r in rows} == {"a": [1, 0], "b": [0, 0], "c": [0, 1], None: [0, 0]}
+
+
+def test_too_many_one_hot_columns_are_refused(spark):
+    many = spark.range(Fe.ONE_HOT_COLUMNS + 1).select(F.col("id").cast("string").alias("p"))
+    with pytest.raises(ValueError, match="one_hot_vector"):
+        Fe.distinct_values(many, "p")
