@@ -282,6 +282,7 @@ OTHER_POLLUTANTS = ["NO", "NOx", "NH3", "Benzene", "Toluene", "Xylene"]
 FOREST_TREES = 100
 FOREST_DEPTH = 20
 FOREST_MIN_LEAF = 2
+FOREST_MIN_SPLIT = 5
 SPLIT_SEED = 42
 TEST_FRACTION = 0.2
 

@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 from aqlens import constants as K
 
 MISSING_TEXT = K.MISSING_TEXT
-# Day first, with one or two digits, '-' or '/', with or without a time; ISO.
-READING_TIME_FORMATS = ["d-M-yyyy H:m:s", "d-M-yyyy H:m", "d-M-yyyy", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d"]
+# The feed's own layout is tried first; the grammar reads all others.
+FEED_TIME_FORMAT = "d-M-yyyy H:m:s"
+# day, month and year (or year, month, day); then time, half of the day and zone
+TIME_GRAMMAR = (
+    r"^([0-9]{1,2}|[0-9]{4})(?:[-/. ]|, ?)+([0-9]{1,2}|[A-Za-z]{3,9})(?:[-/. ]|, ?)+([0-9]{4}|[0-9]{1,2})"
+    r"(?:[T ,]+([0-9]{1,2})[:.]([0-9]{2})(?:[:.]([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]*)?)?"
+    r" ?(?:([AaPp])\.?[Mm]\.?)? ?([Zz]|UTC|GMT|[+-][0-9]{2}:?[0-9]{2})?)?$"
+)
+MONTHS = "january february march april may june july august september october november december".split()
+# Two-digit years below this belong to the 2000s.
+CENTURY_CUT = 69
 
 
 def lookup(key: Column, mapping: Mapping, default=None) -> Column:
@@ -57,9 +66,36 @@ def parse_float(c: Column, missing_as_zero: bool = False) -> Column:
 
 
 def parse_reading_time(c: Column) -> Column:
-    """Day-first timestamp text to timestamp; bad text -> null."""
-    t = F.translate(F.regexp_replace(strip_text(c), "(?<=[0-9])T(?=[0-9])", " "), "/", "-")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(fmt)) for fmt in READING_TIME_FORMATS])
+    """Day-first timestamp text to timestamp; bad text -> null.
+
+    Beside the feed's own layout: '-', '/', '.' or blanks between day, month
+    and year, month names, two-digit years, ISO order, a time with or without
+    seconds, fractions, AM/PM, and a zone (Z, UTC, GMT, +hh:mm).  Without a zone
+    a time is one of the session's zone; a zone fixes the instant."""
+    t = F.trim(F.regexp_replace(strip_text(c), r"\s+", " "))
+    return F.coalesce(F.try_to_timestamp(F.translate(t, "/", "-"), F.lit(FEED_TIME_FORMAT)), _time_by_grammar(t))
+
+
+def _time_by_grammar(t: Column) -> Column:
+    part = lambda k: F.nullif(F.regexp_extract(t, TIME_GRAMMAR, k), F.lit(""))
+    number = lambda k: part(k).try_cast("int")
+    year_first = F.length(part(1)) == 4
+    year, year_text = F.when(year_first, number(1)).otherwise(number(3)), F.when(year_first, part(1)).otherwise(part(3))
+    year = F.when(F.length(year_text) == 4, year).when(
+        F.length(year_text) == 2, year + F.when(year < CENTURY_CUT, F.lit(2000)).otherwise(F.lit(1900))
+    )
+    names = {name: k for k, m in enumerate(MONTHS, 1) for name in {m, m[:3], *(["sept"] if m == "september" else [])}}
+    month = F.coalesce(number(2), lookup(F.lower(part(2)), names))
+    day = F.when(year_first, number(3)).otherwise(number(1))
+    half = F.lower(part(8))
+    hour = F.when(half.isNull(), F.coalesce(number(4), F.lit(0))).when(
+        number(4).between(1, 12), number(4) % 12 + F.when(half == "p", F.lit(12)).otherwise(F.lit(0))
+    )
+    second = F.concat(F.coalesce(part(6), F.lit("0")), F.lit("."), F.coalesce(part(7), F.lit("0"))).try_cast("decimal(16,6)")
+    zone = F.upper(part(9))
+    zone = F.when(zone == "Z", F.lit("UTC")).otherwise(F.regexp_replace(zone, r"^([+-][0-9]{2}):?([0-9]{2})$", r"$1:$2"))
+    parts = (year, month, day, hour, F.coalesce(number(5), F.lit(0)), second)
+    return F.when(zone.isNull(), F.try_make_timestamp(*parts)).otherwise(F.try_make_timestamp(*parts, zone))
 
 
 def canonical_pollutant(raw: Column) -> Column:
