@@ -1146,10 +1146,11 @@ FROM (SELECT * FROM norm QUALIFY row_number() OVER (PARTITION BY station, pollut
     ),
 )
 def stream_tiles(spark, sf):
-    """Dashboard tiles over the records that a stream has landed once each."""
+    """Dashboard tiles over the records that a stream of several triggers has
+    landed once each, merged from the states of the dates."""
     root = scratch_path(spark, "tiles")
-    Fs.write_pages(_readings(spark, sf), f"{root}/landing")
-    Sx.run_tiles(Sx.page_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/tiles", f"{root}/checkpoint")
+    Fs.write_pages(_readings(spark, sf), f"{root}/landing", by_state=True)
+    Sx.run_tiles(Sx.page_stream(spark, f"{root}/landing", files_per_trigger=2), f"{root}/out", f"{root}/tiles", f"{root}/checkpoint")
     t = Sx.latest_tiles(spark, f"{root}/tiles")
     return t.select(
         "n_rows", "n_stations", "n_states", "n_cities", X.rnd(F.col("mean_aqi")).alias("mean_aqi"), X.rnd(F.col("max_aqi")).alias("max_aqi"),
