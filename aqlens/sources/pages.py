@@ -50,6 +50,7 @@ _TEXT_PAGES = T.ArrayType(T.StructType([T.StructField("records", T.ArrayType(_TE
 DOCUMENT_BYTES = 64 << 20
 RECORDS_KEY = r'"records"\s*:'
 NO_CONTENT = ["", "[", "]", ","]
+FINEST_CUT = r"\n(?=[{\[])"
 
 
 def read_lines(reader, path: str) -> DataFrame:
@@ -79,10 +80,20 @@ def _parsed(texts: DataFrame, cut: str) -> DataFrame:
             .when(F.size(held(pages)) < F.regexp_count(text, F.lit(RECORDS_KEY)), "not read to the end")
         )
 
+    def tried(parts: Column) -> Column:
+        each = F.transform(parts, lambda p: F.struct(p.alias("text"), read(p).alias("pages")))
+        return F.filter(each, lambda p: ~F.trim(p["text"]).isin(*NO_CONTENT))
+
     out = texts.withColumn("first", read(F.col("text")))
     out = out.withColumn("parts", F.when(reason(F.col("text"), F.col("first")).isNotNull(), F.split("text", cut)))
-    tried = F.transform("parts", lambda p: F.struct(p.alias("text"), read(p).alias("pages")))
-    out = out.withColumn("tried", F.filter(tried, lambda p: ~F.trim(p["text"]).isin(*NO_CONTENT)))
+    out = out.withColumn("tried", tried(F.col("parts")))
+    # a part that broke off may have taken the next page along: cut it finer
+    # where that brings a page to light
+    finer = lambda p: F.when(p["pages"].isNull(), tried(F.split(p["text"], FINEST_CUT)))
+    better = lambda f: F.exists(f, lambda q: F.size(held(q["pages"])) > 0)
+    each = F.transform("tried", lambda p: F.struct(p.alias("p"), finer(p).alias("f")))
+    chosen = F.transform(each, lambda x: F.when(better(x["f"]), x["f"]).otherwise(F.array(x["p"])))
+    out = out.withColumn("tried", F.flatten(chosen))
     told = F.transform("tried", lambda p: F.struct(reason(p["text"], p["pages"]).alias("reason"), p["text"].alias("text")))
     none = F.array().cast("array<struct<reason:string,text:string>>")
     found = F.when(F.col("parts").isNull(), held(F.col("first"))).otherwise(
