@@ -18,13 +18,14 @@ read.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import string
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +37,6 @@ END_ID = 1
 # Words kept in each generation of a worker's memo.
 MEMO_WORDS = 600_000
 MEMO_WORD_BYTES = 64
-# Characters that are neither letters, numbers nor white space.
-SIGNS = string.punctuation.encode()
-# Letters before this one are letters in every version of Unicode in use.
-OLD_LETTERS = "\u0530"
 
 
 class _Words(dict):
@@ -48,49 +45,73 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.old = tokenizer, {}
+        # special strings are found in the text as it is, before it is lower-cased
+        added = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = {s: array("I", [i]).tobytes() for s, i in added.items()}
+        self.pattern = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
+        tokenizer.encode_special_tokens = True  # what is lower-cased to one is none
+
+    def packed(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of every text (binary; null is empty).
+
+        Words are made distinct by Arrow, so Python meets each word of the batch
+        once; the ids of all words are then gathered at one go."""
+        texts = texts.fill_null(b"")
+        odd = {}
+        if self.pattern is not None:
+            for k in np.flatnonzero(pc.match_substring(texts, b"<").to_numpy(zero_copy_only=False)).tolist():
+                text = texts[k].as_py()
+                if self.pattern.search(text):
+                    odd[k] = self._with_special(text)
+        # the tokenizer lower-cases, so ASCII letters may be so before
+        lowered = pc.ascii_lower(texts.cast(pa.string(), safe=False))
+        lists = pc.ascii_split_whitespace(lowered)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        passing = self.learn(set(distinct))
+        ids = [passing[w] if w in passing else self[w] for w in distinct]
+        lengths = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
+        starts = np.cumsum(lengths) - lengths
+        values = np.frombuffer(b"".join(ids), np.uint32)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        counts = lengths[which]
+        ends = np.cumsum(counts)
+        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - counts), counts)
+        flat = values[places].tobytes()
+        words = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bounds = 4 * np.concatenate(([0], ends))[words]
+        out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for k, own in odd.items():
+            out[k] = own
+        return out
+
+    def _with_special(self, text: bytes) -> bytes:
+        """Ids of a text that holds special strings: those of the parts between."""
+        parts = [self.special.get(part) or part.lower().split() for part in self.pattern.split(text)]
+        passing = self.learn({w for part in parts if isinstance(part, list) for w in part})
+        known = lambda w: passing[w] if w in passing else self[w]
+        return b"".join(part if isinstance(part, bytes) else b"".join(map(known, part)) for part in parts)
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Make sure that all words are known; those too long to keep are returned."""
-        missing = words - self.keys()
+        missing = list(words - self.keys())
         if len(self) + len(missing) > MEMO_WORDS:
             self.old = dict(self)
             self.clear()
-            missing = words
+            missing = list(words)
         passing: dict[bytes, bytes] = {}
-
-        def keep(w: bytes, packed: bytes) -> None:
-            if len(w) <= MEMO_WORD_BYTES and len(self) < MEMO_WORDS:
-                self[w] = packed
+        new = []
+        for w, packed in zip(missing, map(self.old.get, missing)):
+            if packed is None:
+                new.append(w)
             else:
-                passing[w] = packed
-
-        # letters followed by signs are two matches of the tokenizer's pattern:
-        # the word is encoded once, whatever stands after it
-        parted, new = {}, set()
-        for w in missing:
-            packed = self.old.get(w)
-            if packed is not None:
-                keep(w, packed)
-                continue
-            word = w.rstrip(SIGNS)
-            letters = word.decode("utf-8") if len(word) < len(w) else ""
-            # in lower case too: a capital I with a dot becomes a letter and a mark
-            if letters.isalpha() and letters.lower().isalpha() and max(letters) < OLD_LETTERS:
-                parted[w] = (word, w[len(word) :])
-                new.update(parted[w])
-            else:
-                new.add(w)
-        for w in [w for w in new if w in self.old]:
-            keep(w, self.old[w])
-        rest = [w for w in new if w not in self and w not in passing]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
+                self[w] = packed
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             for w, e in zip(part, found):
-                keep(w, array("I", e.ids).tobytes())
-        known = lambda w: passing[w] if w in passing else self[w]
-        for w, (word, signs) in parted.items():
-            keep(w, known(word) + known(signs))
+                keep = self if len(w) <= MEMO_WORD_BYTES and len(self) < MEMO_WORDS else passing
+                keep[w] = array("I", e.ids).tobytes()
         return passing
 
 
@@ -103,9 +124,7 @@ def _words(shared) -> _Words:
     key = hash(shared.value)
     if key not in _LOADED:
         _LOADED.clear()
-        tokenizer = Tokenizer.from_str(shared.value)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _LOADED[key] = _Words(tokenizer)
+        _LOADED[key] = _Words(Tokenizer.from_str(shared.value))
     return _LOADED[key]
 
 
@@ -121,7 +140,8 @@ def pieces(
     """Tokenise whole texts and cut those longer than the capacity.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in order.  Rows: id, piece, start, length,
+    text are those of its words in order; the tokenizer's special strings in a
+    text are their own ids, as the library has it.  Rows: id, piece, start, length,
     ids_crc32, part and rank (the piece's number among those of its length in
     its task); ``with_ids`` adds the ids (binary, little-endian 32-bit).
     """
@@ -139,16 +159,10 @@ def pieces(
         number = context.partitionId() if context else 0
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                # the tokenizer lower-cases, so ASCII letters may be so before
-                texts = [b.lower().split() if b else [] for b in part.column(1).to_pylist()]
-                passing = words.learn(set().union(*texts))
-                get = words.__getitem__
-                if passing:
-                    get = lambda w, more=passing: more[w] if w in more else words[w]
+            for part in slices(batch, 1, 8 << 20):
                 owner, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-                for k, text in enumerate(texts):
-                    packed = b"".join(map(get, text)) + end
+                for k, packed in enumerate(words.packed(part.column(1))):
+                    packed += end
                     for p, at in enumerate(range(0, len(packed), 4 * capacity)):
                         cut = packed[at : at + 4 * capacity]
                         n = len(cut) // 4

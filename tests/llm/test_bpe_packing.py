@@ -95,3 +95,26 @@ def test_fullest_is_the_best_sum():
         chosen = packing.fullest(supply, room)
         assert sum(k * c for k, c in chosen) == max(sums)
         assert all(c <= dict(supply)[k] for k, c in chosen)
+
+
+def test_special_strings_as_the_library_has_them(spark):
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "word", "Wörd", " ", "\n", "<", "İ", "don't", "!!", "日本"]
+    rng = np.random.default_rng(3)
+    rows = [(i, "".join(rng.choice(bits, rng.integers(0, 12)))) for i in range(400)] + [(400, None), (401, "a<|endoftext|>b")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("word_bpe_49k.json"))
+    got = sorted((str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out.collect())
+    assert got == _expected_pieces(rows, packing.CAPACITY)
+
+
+def test_packed_ids_of_odd_batches():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    words, plain = packing._Words(Tokenizer.from_file(path)), Tokenizer.from_file(path)
+    texts = [None, "", " ", "  lead", "trail \t", "a\x0bb\x0cc\x1cd", "x" * 300, "é" * 50 + " É", None, "A B a b"]
+    for part in (texts, texts[:1], [], texts[3:7]):
+        binary = pa.array([t.encode() if t is not None else None for t in part], pa.binary())
+        want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, np.uint32).tobytes() for t in part]
+        assert words.packed(binary) == want
+        assert words.packed(pa.concat_arrays([pa.array([b"zero"], pa.binary()), binary]).slice(1)) == want
