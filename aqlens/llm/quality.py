@@ -240,6 +240,7 @@ def keep_good(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     no row is shuffled."""
     names = df.columns
     schema = df.schema
+    scored = "_" * (1 + max(map(len, names), default=0))  # no column is named so
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,5 +248,5 @@ def keep_good(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
                 good = _scores(net, part.column(len(names))) >= THRESHOLD
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names).filter(pa.array(good))
 
-    whole = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").cast("binary").alias("__bytes"))
+    whole = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").cast("binary").alias(scored))
     return whole.mapInArrow(run, schema)

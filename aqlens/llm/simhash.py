@@ -187,7 +187,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chain: int = CHAIN, blo
     keys = chain_keys(distance, chain)
     signed = [mask - (1 << 64) if mask >> 63 else mask for _, mask in keys]
     masked = F.array(*[F.col("fp").bitwiseAND(F.lit(mask).cast("long")) for mask in signed])
-    keyed = distinct.select("fp", F.posexplode(masked).alias("tag", "masked"))
+    # few small files hold the fingerprints: deal them out before each makes its keys
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(tasks, "fp").select("fp", F.posexplode(masked).alias("tag", "masked"))
     shared = keyed.groupBy("tag", "masked").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(shared, "simhash-keys")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
