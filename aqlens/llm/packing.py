@@ -76,7 +76,10 @@ class _Words(dict):
         which = coded.indices.to_numpy(zero_copy_only=False)
         counts = lengths[which]
         ends = np.cumsum(counts)
-        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - counts), counts)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+        places = np.repeat((starts[which] - (ends - counts)).astype(kind), counts)
+        places += np.arange(total, dtype=kind)
         flat = values[places].tobytes()
         words = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         bounds = 4 * np.concatenate(([0], ends))[words]
