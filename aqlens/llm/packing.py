@@ -22,6 +22,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +35,32 @@ from aqlens.llm.common import slices, written
 
 CAPACITY = 4096
 END_ID = 1
-# Words kept in each generation of a worker's memo.
-MEMO_WORDS = 600_000
+# Words kept in a worker's memo.
+MEMO_WORDS = 1_000_000
 MEMO_WORD_BYTES = 64
 
 
-class _Words(dict):
-    """Packed ids of a word, worked out when first met; two generations, as
-    large as MEMO_WORDS each."""
+class _Words:
+    """Ids of words, worked out when first met.
+
+    What is known is held in Arrow and numpy arrays, a few dozen bytes a word:
+    the words, and where the ids of each begin in one array.  Beyond MEMO_WORDS
+    it begins anew with the words at hand."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer = tokenizer
         # special strings are found in the text as it is, before it is lower-cased
         added = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
         self.special = {s: array("I", [i]).tobytes() for s, i in added.items()}
         self.pattern = re.compile(b"(" + b"|".join(map(re.escape, sorted(added, key=len, reverse=True))) + b")") if added else None
         tokenizer.encode_special_tokens = True  # what is lower-cased to one is none
+        self.known = pa.array([], pa.binary())
+        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def packed(self, texts: pa.Array) -> list[bytes]:
         """Packed ids of every text (binary; null is empty).
 
-        Words are made distinct by Arrow, so Python meets each word of the batch
+        Words are made distinct by Arrow, so each word of the batch is looked up
         once; the ids of all words are then gathered at one go."""
         texts = texts.fill_null(b"")
         odd = {}
@@ -62,60 +68,73 @@ class _Words(dict):
             for k in np.flatnonzero(pc.match_substring(texts, b"<").to_numpy(zero_copy_only=False)).tolist():
                 text = texts[k].as_py()
                 if self.pattern.search(text):
-                    odd[k] = self._with_special(text)
+                    odd[k] = [self.special.get(part) or part.lower().split() for part in self.pattern.split(text)]
         # the tokenizer lower-cases, so ASCII letters may be so before
         lowered = pc.ascii_lower(texts.cast(pa.string(), safe=False))
         lists = pc.ascii_split_whitespace(lowered)
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        passing = self.learn(set(distinct))
-        ids = [passing[w] if w in passing else self[w] for w in distinct]
-        lengths = np.fromiter((len(i) // 4 for i in ids), np.int64, len(ids))
-        starts = np.cumsum(lengths) - lengths
-        values = np.frombuffer(b"".join(ids), np.uint32)
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        counts = lengths[which]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
-        places = np.repeat((starts[which] - (ends - counts)).astype(kind), counts)
-        places += np.arange(total, dtype=kind)
-        flat = values[places].tobytes()
+        flat, ends = self.gathered(lists.flatten().cast(pa.binary()))
         words = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        bounds = 4 * np.concatenate(([0], ends))[words]
+        bounds = ends[words]
         out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for k, own in odd.items():
-            out[k] = own
+        if odd:
+            parts = [part for own in odd.values() for part in own if isinstance(part, list)]
+            flat, ends = self.gathered(pa.array([w for part in parts for w in part], pa.binary()))
+            bounds = ends[np.cumsum([0] + [len(part) for part in parts])].tolist()
+            between = iter([flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])])
+            for k, own in odd.items():
+                out[k] = b"".join(part if isinstance(part, bytes) else next(between) for part in own)
         return out
 
-    def _with_special(self, text: bytes) -> bytes:
-        """Ids of a text that holds special strings: those of the parts between."""
-        parts = [self.special.get(part) or part.lower().split() for part in self.pattern.split(text)]
-        passing = self.learn({w for part in parts if isinstance(part, list) for w in part})
-        known = lambda w: passing[w] if w in passing else self[w]
-        return b"".join(part if isinstance(part, bytes) else b"".join(map(known, part)) for part in parts)
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Make sure that all words are known; those too long to keep are returned."""
-        missing = list(words - self.keys())
-        if len(self) + len(missing) > MEMO_WORDS:
-            self.old = dict(self)
-            self.clear()
-            missing = list(words)
-        passing: dict[bytes, bytes] = {}
-        new = []
-        for w, packed in zip(missing, map(self.old.get, missing)):
-            if packed is None:
-                new.append(w)
-            else:
-                self[w] = packed
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                keep = self if len(w) <= MEMO_WORD_BYTES and len(self) < MEMO_WORDS else passing
-                keep[w] = array("I", e.ids).tobytes()
-        return passing
+    def gathered(self, words: pa.Array) -> tuple[bytes, np.ndarray]:
+        """Packed ids of all words in a row, and the byte at which each word's
+        ids begin, with the end of the last."""
+        coded = words.dictionary_encode()
+        ids, starts, lengths = self.looked_up(coded.dictionary)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        counts = lengths[which]
+        ends = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        total = int(ends[-1])
+        kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        places = np.repeat((starts[which] - ends[:-1]).astype(kind), counts)
+        places += np.arange(total, dtype=kind)
+        return ids[places].tobytes(), 4 * ends
+
+    def looked_up(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and where in it those of each word begin and how
+        many they are; words that were not known are so from here on."""
+        at = pc.index_in(distinct, value_set=self.known)
+        missing = pc.is_null(at)
+        new = distinct.filter(missing)
+        found = []
+        for begin in range(0, len(new), 8192):
+            part = [w.decode() for w in new.slice(begin, 8192).to_pylist()]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int32, len(found))
+        more = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+        ids = np.concatenate((self.ids, more))
+        new_starts = len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts
+        starts, lengths = np.concatenate((self.starts, new_starts)), np.concatenate((self.lengths, counts))
+        place = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[missing.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        self.keep(new, ids, new_starts, counts, distinct, starts[place], lengths[place])
+        return ids, starts[place], lengths[place]
+
+    def keep(self, new, ids, new_starts, counts, distinct, all_starts, all_lengths) -> None:
+        """Add the new words; beyond the bound begin anew with the words at hand."""
+        if len(self.known) + len(new) > MEMO_WORDS:
+            self.known, self.ids = pa.array([], pa.binary()), np.empty(0, np.uint32)
+            self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int32)
+            new, new_starts, counts = distinct.slice(0, MEMO_WORDS), all_starts[:MEMO_WORDS], all_lengths[:MEMO_WORDS]
+        short = pc.less_equal(pc.binary_length(new), MEMO_WORD_BYTES)
+        new, few = new.filter(short), short.to_numpy(zero_copy_only=False)
+        new_starts, counts = new_starts[few], counts[few]
+        ends = np.cumsum(counts, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        own = ids[np.repeat(new_starts - (ends - counts), counts) + np.arange(total)]
+        self.starts = np.concatenate((self.starts, len(self.ids) + ends - counts))
+        self.lengths = np.concatenate((self.lengths, counts))
+        self.ids = np.concatenate((self.ids, own))
+        self.known = pa.concat_arrays([self.known, new])
 
 
 _LOADED: dict[int, _Words] = {}
