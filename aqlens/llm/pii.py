@@ -1,19 +1,29 @@
 """Personal data replaced by surrogates.
 
-Detected entities (e-mail, phone, card, IBAN, IPv4, US social security number,
-name after a title) receive keyed replacements of the same kind: the keyed
-hash of the entity's canonical form drives every choice, so all mentions of an
+Detected entities receive keyed replacements of the same kind: the keyed hash
+of the entity's canonical form drives every choice, so all mentions of an
 entity, in whatever format and document, get the same replacement, written in
 the format of the mention.  Names keep the gender of the title, the script and
 the letter case; cards keep a valid check digit and the issuer digit; e-mails
 keep the shape of each part, and addresses of one domain stay in one domain.
 
-Collisions: the distinct entities of all documents are gathered by grouped
-aggregation; a replacement that two entities share, or that is itself an
-entity of the documents, is drawn anew with the next attempt number (of those
-that share one the least entity keeps it) until none is left.  Entities off
-their first attempt are few; up to BROADCAST_ENTITIES of them go to all tasks,
-beyond that they reach their documents by joins.
+Detected are e-mail addresses; phone numbers with a three-digit (or bracketed)
+area code and separators, and international ones from a plus sign on, compact
+or in groups; payment cards of 13 to 19 digits; IBANs; IPv4 addresses; US
+social security numbers; and up to three capitalised words (or words of a
+script without case) after a title (English and German ones capitalised).  Names of a script without
+syllables here get letters of the same stretch of Unicode.  Every pattern tries
+a run of characters once, so time is linear in the text.
+
+Collisions: the distinct entities of all documents, e-mail domains among them,
+are gathered by grouped aggregation; a replacement that two entities share, or
+that is itself an entity of the documents, is drawn anew with the next attempt
+number (of those that share one the least entity keeps it) until none is left.
+From attempt WIDEN on each attempt draws from a larger shape than the one
+before (one more character; an IPv6 address for an IPv4 one), so the rounds end
+however few replacements the original shape has.  Entities off their first
+attempt are few; up to BROADCAST_ENTITIES of them go to all tasks, beyond that
+they reach their documents by joins.
 
 Null texts stay null, texts without entities are unchanged, repeated rows are
 treated alike, and all columns of the input are kept (a clash is not possible:
@@ -25,7 +35,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +47,8 @@ from pyspark.sql import functions as F
 from aqlens.llm.common import slices, written
 
 BROADCAST_ENTITIES = 100_000
+# Attempts within the shape of the original.
+WIDEN = 4
 
 # Titles and the gender they tell.
 TITLES = {
@@ -49,19 +63,25 @@ SCRIPTS = {
     "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"m": ("ов", "ин", "ев"), "f": ("ова", "ина", "ева"), "n": ("ко", "их", "юк")}),
     "greek": ("βγδζθκλμνπρσφ", "αεηιο", {"m": ("ος", "ης", "ας"), "f": ("α", "η", "ου"), "n": ("ι", "ο", "υ")}),
 }
-WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+# Letters in lower case: no name begins with one.
+SMALL = "".join(chr(c) for c in range(0x2000) if chr(c).islower() and chr(c).isalpha())
+WORD = rf"[^\W\d_{SMALL}](?:[^\W\d_]|[-'’](?=[^\W\d_]))*+"
+# Titles that English and German write with a capital: in lower case they are
+# other words.
+CAPITAL = {"mr", "mister", "sir", "mrs", "ms", "miss", "madam", "dr", "prof", "herr", "frau"}
+TITLE = "|".join(sorted({w for t in TITLES for w in (t.capitalize(), t.upper(), t.capitalize() if t in CAPITAL else t)}, key=len, reverse=True))
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9]))"
     r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-    r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}|(?<![0-9])[0-9]{3}[ .-][0-9]{3,4})[ .-][0-9]{4}(?![0-9]))"
-    r"|(?P<name>(?i:\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r"))\b\.?[ ](?P<who>(?=[^\W\d_a-zа-яα-ω])" + WORD
-    + r"(?:[ ](?=[^\W\d_a-zа-яα-ω])" + WORD + r"){0,2}))"
-)
+    r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{3,4}|(?<![0-9])[0-9]{3}[ .-][0-9]{3,4})[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+[1-9](?:[0-9]{7,14}|[0-9]{0,2}[ .-]\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,5}){1,4})(?![0-9]))"
+    rf"|\b(?P<title>{TITLE})\b\.?[ ](?P<name>{WORD}(?:[ ]{WORD}){{0,2}})"
+)
 # Texts without any of these hold no entity.
-HINT = re.compile(r"@|[0-9]{3}|[0-9]\.[0-9]|(?i:\b(?:" + "|".join(TITLES) + r")\b)")
+HINT = re.compile(rf"@|[0-9]{{3}}|[0-9]\.[0-9]|\+[1-9]|\b(?:{TITLE})\b")
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -70,22 +90,19 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     found = []
     for m in PATTERN.finditer(text):
-        kind, value = m.lastgroup, m[0]
-        if m["name"]:
-            words = m["who"]
-            gender = TITLES[m["title"].lower()]
-            found.append((m.start("who"), m.end("who"), "name", f"{gender}:{words.lower()}"))
-            continue
-        kind = next(k for k in ("email", "iban", "ssn", "ip", "card", "phone") if m[k])
-        if kind == "email":
+        kind = next(k for k in ("email", "iban", "ssn", "ip", "card", "phone", "name") if m[k])
+        value = m[kind]
+        if kind == "name":
+            canon = f"{TITLES[m['title'].lower()]}:{value.lower()}"
+        elif kind == "email":
             canon = value.lower()
         elif kind == "ip":
             canon = value
         else:
             canon = re.sub(r"[^A-Za-z0-9]", "", value)
-        if kind == "card" and len(canon) not in range(13, 20):
+        if kind == "phone" and not 7 <= len(canon) <= 15:
             continue
-        found.append((m.start(), m.end(), kind, canon))
+        found.append((m.start(kind), m.end(kind), kind, canon))
     return found
 
 
@@ -116,6 +133,9 @@ class _Draws:
                 out.append(ch)
         return "".join(out)
 
+    def pick(self, letters: str) -> str:
+        return letters[self.below(len(letters))]
+
 
 def _luhn(digits: str) -> str:
     """Check digit that follows ``digits``."""
@@ -126,42 +146,61 @@ def _luhn(digits: str) -> str:
     return str(-total % 10)
 
 
-def _script(letter: str) -> str:
-    if "\u0400" <= letter <= "\u052f":
-        return "cyrillic"
-    return "greek" if "\u0370" <= letter <= "\u03ff" else "latin"
+@cache
+def _script(letter: str) -> str | None:
+    """The script of SCRIPTS that a letter belongs to, if any."""
+    name = unicodedata.name(letter, "").partition(" ")[0].lower()
+    return name if name in SCRIPTS else None
+
+
+@cache
+def _neighbours(letter: str) -> str:
+    """Letters of the same kind in the letter's stretch of 128 code points."""
+    base, kind = ord(letter) & ~127, unicodedata.category(letter)
+    word = unicodedata.name(letter, "").partition(" ")[0]
+    own = [c for c in map(chr, range(base, base + 128)) if unicodedata.category(c) == kind]
+    return "".join(c for c in own if unicodedata.name(c, "").partition(" ")[0] == word)
+
+
+def _name(draw: _Draws, word: str, gender: str, more: int) -> str:
+    script = _script(word[0])
+    if script is None:
+        # what is neither a letter nor a mark of the script (hyphens) stays
+        return "".join(draw.pick(_neighbours(c)) if c.isalpha() else c for c in word + more * word[-1])
+    onset, vowel, endings = SCRIPTS[script]
+    stem = "".join(draw.pick(onset) + draw.pick(vowel) for _ in range(max(2, len(word) // 2) + more))
+    return stem + draw.pick(onset) + endings[gender][draw.below(len(endings[gender]))]
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
-    """Canonical form of the replacement of an entity."""
+    """Canonical form of the replacement of an entity.  An e-mail address keeps
+    its domain here: domains are entities of their own (kind ``domain``)."""
     draw = _Draws(key, f"{kind}|{canon}|{attempt}")
+    more = max(0, attempt - WIDEN + 1)
     if kind == "email":
         local, _, domain = canon.partition("@")
-        labels = domain.split(".")
-        # one domain stays one domain: its replacement doesn't depend on the person
-        new = _Draws(key, f"domain|{domain}").like(".".join(labels[:-1])) + "." + labels[-1]
-        return draw.like(local) + "@" + new
+        return draw.like(local + "a" * more) + "@" + domain
+    if kind == "domain":
+        labels, _, top = canon.rpartition(".")
+        return draw.like(labels + "a" * more) + "." + top
     if kind == "ip":
+        if more:
+            return "2001:db8:" + ":".join(f"{draw.below(65536):x}" for _ in range(6))
         return ".".join(str(1 + draw.below(223 if i == 0 else 254)) for i in range(4))
     if kind == "card":
-        body = canon[0] + draw.like(canon[1:-1])
+        body = canon[0] + draw.like(canon[1:-1] + "0" * more)
         return body + _luhn(body)
     if kind == "iban":
-        body = draw.like(canon[4:])
+        body = draw.like(canon[4:] + "0" * more)
         number = "".join(str(int(c, 36)) for c in body + canon[:2] + "00")
         return f"{canon[:2]}{98 - int(number) % 97:02d}{body}"
     if kind == "name":
         gender, _, words = canon.partition(":")
-        out = []
-        for word in words.split(" "):
-            onset, vowel, endings = SCRIPTS[_script(word[0])]
-            stem = "".join(onset[draw.below(len(onset))] + vowel[draw.below(len(vowel))] for _ in range(max(2, len(word) // 2)))
-            tail = endings[gender]
-            out.append(stem + onset[draw.below(len(onset))] + tail[draw.below(len(tail))])
-        return f"{gender}:{' '.join(out)}"
+        parts = words.split(" ")
+        return f"{gender}:{' '.join(_name(draw, w, gender, more if i + 1 == len(parts) else 0) for i, w in enumerate(parts))}"
     if kind == "phone" and len(canon) > 10:  # country code kept
-        return canon[:-10] + draw.like(canon[-10:])
-    return draw.like(canon)
+        return canon[:-10] + draw.like(canon[-10:] + "0" * more)
+    return draw.like(canon + "0" * more)
 
 
 def _shaped(mention: str, kind: str, canon: str) -> str:
@@ -177,7 +216,12 @@ def _shaped(mention: str, kind: str, canon: str) -> str:
     if kind == "email":
         return canon.upper() if mention.isupper() else canon
     rest = iter(canon)
-    return "".join(next(rest) if ch.isalnum() else ch for ch in mention)
+    return "".join(next(rest) if ch.isalnum() else ch for ch in mention) + "".join(rest)
+
+
+def with_domains(found: list[tuple[int, int, str, str]]) -> set[tuple[str, str]]:
+    """(kind, canonical form) of all entities, the domains of addresses among them."""
+    return {(k, c) for _, _, k, c in found} | {("domain", c.partition("@")[2]) for _, _, k, c in found if k == "email"}
 
 
 def replaced(text: str | None, key: bytes, changed: dict[tuple[str, str], str]) -> str | None:
@@ -187,6 +231,9 @@ def replaced(text: str | None, key: bytes, changed: dict[tuple[str, str], str])
     out, at = [], 0
     for start, end, kind, canon in found:
         new = changed.get((kind, canon)) or surrogate(key, kind, canon)
+        if kind == "email":
+            local, _, domain = new.partition("@")
+            new = local + "@" + (changed.get(("domain", domain)) or surrogate(key, "domain", domain))
         out += [text[at:start], _shaped(text[start:end], kind, new)]
         at = end
     return "".join(out) + text[at:]
@@ -199,7 +246,7 @@ def resolved(df: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                found = {(k, c) for b in part.column(0).to_pylist() if b for _, _, k, c in entities(b.decode("utf-8"))}
+                found = {e for b in part.column(0).to_pylist() if b for e in with_domains(entities(b.decode("utf-8")))}
                 cols = list(zip(*sorted(found))) or [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["kind", "canon"])
 
@@ -249,7 +296,7 @@ def replace_entities(df: DataFrame, key: bytes, text_col: str = "text", broadcas
         context = TaskContext.get()
         at = (context.partitionId() if context else 0) << 40
         for batch in batches:
-            found = [[{"kind": k, "canon": c} for _, _, k, c in entities(t)] for t in batch.column(place).to_pylist()]
+            found = [[{"kind": k, "canon": c} for k, c in sorted(with_domains(entities(t)))] for t in batch.column(place).to_pylist()]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("canon", pa.string())]))
             row = pa.StructArray.from_arrays(batch.columns, names=names)
             cols = [pa.array(range(at, at + batch.num_rows), pa.int64()), pa.array(found, kind), row]

@@ -1,5 +1,7 @@
 import re
 import string
+import timeit
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -128,3 +130,59 @@ def test_surrogates_of_documents(spark, sf_small):
     for r in queries.op7_surrogates(spark, sf_small).collect():
         for s, e, *_ in pii.entities(rows[r["doc_id"]]):
             assert rows[r["doc_id"]][s:e] not in r["text"]
+
+
+def test_forms_of_entities():
+    text = (
+        "call +14155550123 or +44 20 7946 0958 or +442079460958; .foo.bar@x.example.com, miss America, sir George, don José; "
+        "Mr. éric and Dr. Łukasz O'Neil-Ćwik went; Mr Smith and Mrs Jones; DR. WHO; Dr 山田 太郎"
+    )
+    got = [(text[s:e], k) for s, e, k, _ in pii.entities(text)]
+    assert got == [
+        ("+14155550123", "phone"), ("+44 20 7946 0958", "phone"), ("+442079460958", "phone"), ("foo.bar@x.example.com", "email"),
+        ("José", "name"), ("Łukasz O'Neil-Ćwik", "name"), ("Smith", "name"), ("Jones", "name"), ("WHO", "name"), ("山田 太郎", "name"),
+    ]
+    phones = [c for _, _, k, c in pii.entities(text) if k == "phone"]
+    assert phones[1] == phones[2]  # one number in two formats
+
+
+@pytest.mark.parametrize(
+    "unit", ["a", "a.", "1", "1 ", "a@", "a@b.", "a@b-", "Mr ", "Mr A'", "A-", "+1 ", "+1-", "AB12 ", "1.1.", "@", "a%", "é", "Dr. A "]
+)
+def test_patterns_take_linear_time(unit):
+    def seconds(n):
+        text = "x@" + unit * (n // len(unit))
+        return min(timeit.repeat(lambda: pii.entities(text), number=1, repeat=3))
+
+    small, large = seconds(50_000), seconds(400_000)
+    assert large < 0.05 + 24 * small  # eight times the text; the square would be 64 times
+
+
+def test_names_of_other_scripts_keep_their_letters():
+    for name in ["山田 太郎", "محمد علي", "דוד", "김철수", "अमन"]:
+        new = pii.surrogate(b"k", "name", f"m:{name}").partition(":")[2]
+        assert new != name and len(new) == len(name) and [c == " " for c in new] == [c == " " for c in name]
+        first = lambda c: unicodedata.name(c).split()[0]
+        assert all(first(a) == first(b) for a, b in zip(name, new) if a.isalpha())
+
+
+@pytest.mark.parametrize("broadcast", [100_000, -1])
+def test_domains_stay_distinct_where_shapes_run_out(spark, broadcast):
+    # every domain of one letter is real, so each needs a wider shape
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"from {who}@{x}.de") for i, (x, who) in enumerate((x, who) for x in letters for who in ("p", "q"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"].removeprefix("from ").partition("@")[::2] for r in pii.replace_entities(df, b"k", broadcast=broadcast).collect()}
+    domains = {}
+    for i, text in rows:
+        domains.setdefault(text.partition("@")[2], set()).add(got[i][1])
+    assert all(len(new) == 1 for new in domains.values())  # addresses of one domain stay in one
+    new = [d for own in domains.values() for d in own]
+    assert len(set(new)) == len(letters) and not set(new) & set(domains)
+    assert len(set(got.values())) == len(rows)
+
+
+def test_every_shape_widens():
+    for kind, canon in [("ssn", "078051120"), ("phone", "5558120"), ("domain", "x.de"), ("email", "a@x.de"), ("card", "4" * 16), ("name", "m:al"), ("ip", "1.2.3.4")]:
+        sizes = [max(len(pii.surrogate(b"%d" % k, kind, canon, n)) for k in range(20)) for n in (0, pii.WIDEN, pii.WIDEN + 9)]
+        assert sizes[0] < sizes[1] <= sizes[2]
