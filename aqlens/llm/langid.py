@@ -41,18 +41,38 @@ PRIOR_ROWS = 5.0  # weight of the level above, in pages
 EVIDENCE_ROWS = 2.0
 MOST_LANGUAGES = 1000
 
-HIDDEN = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+HIDDEN = re.compile(r"<(?:(script|style|noscript|template)\b|!--)", re.I)
+HIDDEN_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template")} | {None: re.compile("-->")}
 TAG = re.compile(r"<[^>]*>")
-DECLARED = (
-    re.compile(r"""<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I),
-    re.compile(r"""<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I),
-)
+HTML, META = re.compile(r"<html\b[^>]*", re.I), re.compile(r"<meta\b[^>]*", re.I)
+LANG = re.compile(r"""\b(?:xml:)?lang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
+LANGUAGE = re.compile(r"""content-language["']""", re.I)
+CONTENT = re.compile(r"""content\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
 ADDRESS = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?(/[^?#]*)?")
 SEGMENT = re.compile(r"^/([a-z]{2})(?:-[A-Za-z]{2})?(?:/|$)")
 
 
+def shown(page: str) -> str:
+    """The page without comments and elements that aren't shown; one that never
+    ends hides nothing.  Scanned by position: an end is looked for once where
+    it is found, and once a kind where there is none."""
+    out, at, pos, endless = [], 0, 0, set()
+    while begin := HIDDEN.search(page, pos):
+        kind = begin[1] and begin[1].lower()
+        end = None if kind in endless else HIDDEN_END[kind].search(page, begin.end())
+        if end:
+            out += [page[at : begin.start()], " "]
+            at = pos = end.end()
+        else:
+            endless.add(kind)
+            pos = begin.end()
+    return "".join(out) + page[at:]
+
+
 def visible(page: str) -> str:
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", page)))
+    page = shown(page)
+    last = page.rfind(">") + 1  # no tag ends beyond
+    return html.unescape(TAG.sub(" ", page[:last]) + page[last:])
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -76,8 +96,12 @@ def address(url: str | None) -> tuple[str | None, str | None, str | None, str |
 
 
 def declared(page: str) -> str | None:
-    for pattern in DECLARED:
-        if found := pattern.search(page):
+    for tag in HTML.finditer(page):
+        if found := LANG.search(tag[0]):
+            return found[1].lower()
+    for tag in META.finditer(page):
+        named = LANGUAGE.search(tag[0])
+        if named and (found := CONTENT.search(tag[0], named.end())):
             return found[1].lower()
     return None
 

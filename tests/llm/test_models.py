@@ -1,4 +1,8 @@
+import html
 import math
+import random
+import re
+import timeit
 import zlib
 
 import numpy as np
@@ -173,3 +177,28 @@ def brute_language(pages, docs):
 def test_every_query_runs(spark, sf_small, name):
     rows = queries.QUERIES[name](spark, sf_small)
     assert rows.count() > 0 and len(set(rows.columns)) == len(rows.columns)
+
+
+def test_visible_text_and_declared_language_as_by_patterns():
+    hidden = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+    tag = re.compile(r"<[^>]*>")
+    says = [
+        re.compile(r"""<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I),
+        re.compile(r"""<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I),
+    ]
+    bits = [
+        "<script>", "</script >", "<SCRIPT src=x>", "</Script>", "<style", "</style>", "<!--", "-->", "a", "<", "> ", ">", "&amp;", " ",
+        "<html lang=en>", "<html ", "xml:lang='de'", "lang=fr", "<meta content-language' ", "content = it", "<template>", "</template",
+    ]
+    pick = random.Random(5)
+    for _ in range(20_000):
+        page = "".join(pick.choice(bits) for _ in range(pick.randint(0, 14)))
+        assert langid.visible(page) == html.unescape(tag.sub(" ", hidden.sub(" ", page)))
+        found = says[0].search(page) or says[1].search(page)
+        assert langid.declared(page) == (found[1].lower() if found else None)
+
+
+@pytest.mark.parametrize("unit", ["<script ", "<", "<!--", "<html ", "<meta ", "<html lang ", "<style></style "])
+def test_pages_are_scanned_in_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    assert min(timeit.repeat(lambda: (langid.visible(page), langid.declared(page)), number=1, repeat=2)) < 5
