@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aqlens.llm.common import remove, sized, slices, written
+from aqlens.llm.common import released, remove, sized, slices, written
 
 MEAN_BITS = 10  # a chunk holds about 2^10 bytes beyond the least
 LEAST, MOST = 256, 8192
@@ -119,7 +119,7 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     rows = df.select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")
     )
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(released(run), SCHEMA)
 
 
 def verified_recipes(df: DataFrame, id_col: str, text_col: str, id_bytes: int = ID_BYTES) -> DataFrame:

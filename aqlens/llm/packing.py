@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aqlens.llm.common import slices, written
+from aqlens.llm.common import released, slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -208,7 +208,7 @@ def pieces(
                 ]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names=names)
 
-    return rows.mapInArrow(run, schema + ", ids binary" * with_ids)
+    return rows.mapInArrow(released(run), schema + ", ids binary" * with_ids)
 
 
 def fullest(supply: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
@@ -302,7 +302,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
-    return ranked.mapInArrow(run, schema + ", sequence_id long, offset long")
+    return ranked.mapInArrow(released(run), schema + ", sequence_id long, offset long")
 
 
 def pack(

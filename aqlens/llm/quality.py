@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aqlens.llm.common import slices
+from aqlens.llm.common import released, slices
 
 WIDTH, FILTERS, STRIDE = 6, 16, 128
 TRAIN_DOCS, TRAIN_CHUNKS = 3000, 8
@@ -206,7 +206,7 @@ def train(
 
     rows = texts.join(F.broadcast(chosen), "id").select("id", "label", "text")
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, label int, chunks array<binary>")
+    found = rows.mapInArrow(released(run), f"id {kind}, label int, chunks array<binary>")
     # rows that repeat an id: one of them
     found = found.groupBy("id").agg(F.min(F.struct("label", "chunks")).alias("s")).select("id", "s.label", "s.chunks")
     sample = sorted(found.collect(), key=lambda r: str(r["id"]))
@@ -226,7 +226,7 @@ def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(net, part.column(1)))], names=["id", "score"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    out = rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce(fold("id") == 0, F.lit(False)).alias("held_out"),
@@ -249,4 +249,4 @@ def keep_good(df: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names).filter(pa.array(good))
 
     whole = df.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").cast("binary").alias(scored))
-    return whole.mapInArrow(run, schema)
+    return whole.mapInArrow(released(run), schema)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aqlens.llm.common import sized, slices, written
+from aqlens.llm.common import released, sized, slices, written
 from aqlens.llm.graph import components
 
 BITS = 64
@@ -81,7 +81,7 @@ def fingerprints(
                 yield pa.RecordBatch.from_arrays([part.column(0), fp], names=["id", "fp"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(released(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def ring(distance: int) -> list[int]:
@@ -203,7 +203,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chain: int = CHAIN, blo
     )
     group = ["tag", "masked", "x", "y"]
     sorted_rows = members.repartition(*group).sortWithinPartitions(*group)
-    return sorted_rows.mapInArrow(_search(distance, chain, [s for s, _ in keys]), "a long, b long").distinct()
+    return sorted_rows.mapInArrow(released(_search(distance, chain, [s for s, _ in keys])), "a long, b long").distinct()
 
 
 def near_duplicates(
