@@ -23,13 +23,18 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
 def versions(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
     """(folder, whether it is published) of every version, oldest first."""
     path, fs = _fs(spark, root)
     if not fs.exists(path):
         return []
     names = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("v-"))
-    return [(f"{root}/{n}", fs.exists(_fs(spark, f"{root}/{n}/{MARK}")[0])) for n in names]
+    return [(f"{root}/{n}", _exists(spark, f"{root}/{n}/{MARK}")) for n in names]
 
 
 def current(spark: SparkSession, root: str) -> str | None:
@@ -55,14 +60,25 @@ def publish(spark: SparkSession, root: str, write: Callable[[str], None]) -> str
 
 
 def publish_table(df: DataFrame, root: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Publish ``df`` as Parquet and read it back from there."""
+    """Publish ``df`` as Parquet and read it back from there.
+
+    An empty table with partitions has no files to read the schema from, so
+    that is written beside it."""
     spark = df.sparkSession
 
     def write(folder: str) -> None:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/table")
+        spark.createDataFrame([], df.schema).write.parquet(f"{folder}/schema")
+
+    return _table(spark, publish(spark, root, write))
+
 
-    return spark.read.parquet(f"{publish(spark, root, write)}/table")
+def _table(spark: SparkSession, folder: str) -> DataFrame:
+    reader = spark.read
+    if _exists(spark, f"{folder}/schema"):  # versions published before have none
+        reader = reader.schema(spark.read.parquet(f"{folder}/schema").schema)
+    return reader.parquet(f"{folder}/table")
 
 
 def read_table(spark: SparkSession, root: str) -> DataFrame:
@@ -70,4 +86,4 @@ def read_table(spark: SparkSession, root: str) -> DataFrame:
     folder = current(spark, root)
     if folder is None:
         raise FileNotFoundError(f"{root} not found: run the step that produces it first")
-    return spark.read.parquet(f"{folder}/table")
+    return _table(spark, folder)

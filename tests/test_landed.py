@@ -287,3 +287,13 @@ TIMES = {
 def test_times_in_any_layout(spark):
     df = spark.createDataFrame([(t,) for t in TIMES], "t string")
     assert {r.t: r.p for r in df.select("t", X.parse_reading_time(F.col("t")).cast("string").alias("p")).collect()} == TIMES
+
+
+def test_an_empty_version_is_published(spark):
+    """The first version of ``published_table`` holds no row where no day is bad."""
+    root = scratch_path(spark, "test-empty-version")
+    df = spark.range(6).select("id", F.lit("x").alias("v"), (F.col("id") % 2).cast("int").alias("year"))
+    assert V.publish_table(df.filter("id > 9"), root, ["year"]).count() == 0
+    assert V.read_table(spark, root).dtypes == df.dtypes
+    V.publish_table(df, root, ["year"])
+    assert sorted(map(tuple, V.read_table(spark, root).collect())) == sorted(map(tuple, df.collect()))
