@@ -5,7 +5,6 @@ doesn't need a trained model."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from aqlens import constants as K
@@ -185,10 +184,9 @@ def reading_median_impute(spark, sf):
 def one_hot_vector(spark, sf):
     """Stations as one sparse vector each: its size and the place of the one."""
     n = R.normalise(T.readings(spark, sf)).select("reading_id", "station")
-    v = vector_to_array(F.col("v"))
-    return Fe.one_hot_vector(n, "station", "v").select(
-        "reading_id", F.size(v).cast("long").alias("size"), (F.array_position(v, F.lit(1.0)) - 1).alias("place")
-    )
+    v = F.unwrap_udt("v")  # as it is: an array of all places would be as long as there are stations
+    place = F.coalesce(F.get(v["indices"], F.lit(0)), F.lit(-1))
+    return Fe.one_hot_vector(n, "station", "v").select("reading_id", v["size"].cast("long").alias("size"), place.cast("long").alias("place"))
 
 
 @query(

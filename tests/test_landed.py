@@ -297,3 +297,19 @@ def test_an_empty_version_is_published(spark):
     assert V.read_table(spark, root).dtypes == df.dtypes
     V.publish_table(df, root, ["year"])
     assert sorted(map(tuple, V.read_table(spark, root).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_places_of_stations_are_read_from_sparse_vectors(spark, tmp_path):
+    """An array with a place for each station would be rows times stations."""
+    from aqlens.plans import landed as L
+
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", 7 * i, "click", 1.0) for i in range(30)] + [(30, None, 7, None, None)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("nation", "region"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = L.one_hot_vector(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_position" not in plan
+    places = {s: k for k, s in enumerate(sorted(str(7 * i) for i in range(30)))}
+    assert {r.reading_id: (r.size, r.place) for r in got.collect()} == {r[0]: (30, places[str(r[2])]) for r in rows}
