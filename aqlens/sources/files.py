@@ -185,7 +185,8 @@ def write_pages(
     if by_state:
         keys.append(F.regexp_replace(F.col("state"), " ", "_").alias("state_key"))
     pages = readings.groupBy(*keys).agg(F.array_sort(F.collect_list(rec)).alias("records"))
-    pages = pages.withColumn("records", F.col("records.rec")).orderBy("page")
+    # by state first: else every task would write a file for every state
+    pages = pages.withColumn("records", F.col("records.rec")).orderBy(*(["state_key"] if by_state else []), "page")
     out = pages.select(F.lit(total).cast("long").alias("total"), "records", *(["state_key"] if by_state else []))
     w = out.write.mode("overwrite")
     (w.partitionBy("state_key") if by_state else w).json(path)

@@ -313,3 +313,56 @@ def test_places_of_stations_are_read_from_sparse_vectors(spark, tmp_path):
     assert "array_position" not in plan
     places = {s: k for k, s in enumerate(sorted(str(7 * i) for i in range(30)))}
     assert {r.reading_id: (r.size, r.place) for r in got.collect()} == {r[0]: (30, places[str(r[2])]) for r in rows}
+
+
+def test_a_batch_writes_one_file_a_date(spark):
+    sink = scratch_path(spark, "test-few-files")
+    rows = [(f"s{i}", "NO2", f"{i % 5 + 1:02d}-01-2024 10:00:00") for i in range(400)]
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        Sx.land_new(Sx.timed(spark.createDataFrame(rows, "station string, pollutant_id string, last_update string")), sink)
+    finally:
+        spark.conf.set(conf, before)
+    landed = Sx.landed(spark, sink)
+    assert landed.count() == 400 and landed.select(F.input_file_name()).distinct().count() == 5
+
+
+def test_tiles_read_the_new_rows_of_a_batch_alone(spark, tmp_path, monkeypatch):
+    land = tmp_path / "land"
+    land.mkdir()
+    root = scratch_path(spark, "test-own-rows")
+    read = []
+    normalise = R.normalise
+    monkeypatch.setattr(R, "normalise", lambda rows: read.append(rows.count()) or normalise(rows))
+
+    def run(name, *records):
+        (land / f"{name}.json").write_text(json.dumps({"total": 0, "records": list(records)}) + "\n")
+        Sx.run_tiles(Sx.page_stream(spark, str(land)), f"{root}/o", f"{root}/t", f"{root}/c")
+        return Sx.latest_tiles(spark, f"{root}/t").first()
+
+    run("a", rec(1), rec(2), rec(3), rec(4, last_update="bad"))
+    t = run("b", rec(5, city="D"), rec(1), rec(6, last_update="11-01-2024 10:00:00"), rec(7, last_update="bad"))
+    assert read == [4, 3]
+    want = (7, 7, 2, 4.0, 7.0)
+    assert (t.n_rows, t.n_stations, t.n_cities, t.mean_aqi, t.max_aqi) == want
+    near = Sx.latest_tiles(spark, f"{root}/t", approx=True).first()
+    assert (near.n_rows, near.n_stations, near.n_cities) == want[:3]
+    # the last batch again, as after a failure behind its landing
+    dates = [r.date for r in Sx.landed(spark, f"{root}/o").select("date").distinct().collect()]
+    Sx.state_dates(spark, f"{root}/o", f"{root}/t", dates, 1)
+    t = Sx.latest_tiles(spark, f"{root}/t").first()
+    assert (t.n_rows, t.n_stations, t.n_cities, t.mean_aqi, t.max_aqi) == want
+
+
+def test_landed_keys_are_compared_in_place(spark):
+    """The keys of a batch go to the landed rows; those aren't shuffled."""
+    sink = scratch_path(spark, "test-in-place")
+    kind = "station string, pollutant_id string, last_update string"
+    Sx.land_new(Sx.timed(spark.createDataFrame([("a", None, "10-01-2024 10:00:00"), ("b", "NO2", "bad")], kind)), sink)
+    batch = Sx.timed(spark.createDataFrame([("a", None, "10-01-2024 10:00:00"), ("c", "NO2", "bad"), ("b", "NO2", "bad")], kind))
+    batch = batch.withColumn("date", F.to_date("event_time"))
+    fresh = Sx.unseen(batch, Sx.landed(spark, sink), Sx.batch_dates(batch))
+    assert "LeftSemi" in fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.station for r in fresh.collect()] == ["c"]
