@@ -21,7 +21,7 @@ from aqlens.plans import models as M
 from aqlens.plans import oracle as O
 from aqlens.plans import training as Tr
 from aqlens.plans.catalog import query
-from aqlens.session import scratch_path
+from aqlens.session import scratch_path, written
 from aqlens.sources import files as Fs
 from aqlens.sources import tables as T
 from aqlens.sources import versions as V
@@ -35,7 +35,7 @@ def land_mixed(spark, sf, path: str) -> None:
     printed over lines, a third in arrays; beside them broken copies."""
     record = F.struct("reading_id", F.struct("reading_id", *Fs.READING_FIELDS).alias("rec"))
     page = F.floor(F.col("reading_id") / PAGE)
-    pages = T.readings(spark, sf).groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(record)).alias("r"))
+    pages = written(T.readings(spark, sf).groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(record)).alias("r")), "mixed-pages")
     doc = F.struct(F.lit(0).alias("total"), F.transform("r", lambda x: x["rec"]).alias("records"))
     line, printed = F.to_json(doc), F.to_json(doc, {"pretty": "true"})
     cut = lambda text: F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - 40), r"[,\[:\s]+$", "")
