@@ -27,7 +27,7 @@ from aqlens.plans import daily as Dy
 from aqlens.plans import models as M
 from aqlens.plans import oracle as O
 from aqlens.plans import training as Tr
-from aqlens.session import scratch_path
+from aqlens.session import scratch_path, written
 from aqlens.sources import files as Fs
 from aqlens.sources import tables as T
 from aqlens.streaming import ingest as Sx
@@ -1074,8 +1074,8 @@ GROUP BY city, date, pollutant""",
 )
 def live_feed_combined(spark, sf):
     """First value and ordered pair fold of live pages, by their arrival."""
-    rows = R.valid(_live(spark, sf))
-    rows = rows.select("reading_id", "city", "date", "pollutant", "value")
+    # written, as both results would clean the pages again
+    rows = written(R.valid(_live(spark, sf)).select("reading_id", "city", "date", "pollutant", "value"), "live-valid")
     keys = ["city", "date", "pollutant"]
     first = R.first_value(rows, keys[:2]).select(*keys, X.rnd(F.col("value")).alias("first_value"))
     return first.join(R.pair_fold(rows, keys[:2]).select(*keys, X.rnd(F.col("value")).alias("folded")), keys)

@@ -366,3 +366,11 @@ def test_landed_keys_are_compared_in_place(spark):
     fresh = Sx.unseen(batch, Sx.landed(spark, sink), Sx.batch_dates(batch))
     assert "LeftSemi" in fresh._jdf.queryExecution().optimizedPlan().toString()
     assert [r.station for r in fresh.collect()] == ["c"]
+
+
+def test_live_pages_are_cleaned_once(spark, sf_small):
+    from aqlens.plans import catalog
+
+    out = catalog.live_feed_combined(spark, sf_small)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "last_update" not in plan and out.count() > 0
