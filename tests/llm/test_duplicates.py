@@ -326,3 +326,10 @@ def test_passages_cover_exact_repeats(spark, sf_small):
             got[r["doc_id"]].update(range(a, b))
     missed = sum(len(need[i] - got[i]) for i in texts)
     assert missed <= 0.001 * sum(map(len, need.values()))
+
+
+def test_passage_tasks_give_memory_back(spark, monkeypatch):
+    tasks = []
+    monkeypatch.setattr(passages, "released", lambda run: tasks.append(run) or run, raising=False)
+    assert len(marked(spark, {i: words(60, 1) if i else words(60, 2) for i in range(3)})) == 3
+    assert len(tasks) == 3  # signatures, exact windows, open places
