@@ -28,6 +28,9 @@ from aqlens.sources import versions as V
 from aqlens.streaming import ingest as Sx
 
 PAGE = 250
+# Pages over lines, or broken ones, in a file: a response is no larger than
+# ``pages.DOCUMENT_BYTES``, above which such lines aren't joined.
+PAGES_PER_FILE = 300
 
 
 def land_mixed(spark, sf, path: str) -> None:
@@ -47,7 +50,8 @@ def land_mixed(spark, sf, path: str) -> None:
         "broken-printed": (F.col("page") % 5 == 1, cut(printed)),
     }
     for name, (which, text) in parts.items():
-        pages.filter(which).select(text.alias("text")).write.text(f"{path}/{name}")
+        most = 0 if name in ("lines", "arrays") else PAGES_PER_FILE  # 0: any number
+        pages.filter(which).select(text.alias("text")).write.option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
 @query(

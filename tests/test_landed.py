@@ -374,3 +374,17 @@ def test_live_pages_are_cleaned_once(spark, sf_small):
     out = catalog.live_feed_combined(spark, sf_small)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "last_update" not in plan and out.count() > 0
+
+
+def test_files_of_printed_pages_stay_small(spark, sf_small, monkeypatch):
+    """Lines of a larger file than a response aren't joined, and would be lost."""
+    from aqlens.plans import landed as L
+
+    monkeypatch.setattr(L, "PAGES_PER_FILE", 1, raising=False)
+    path = scratch_path(spark, "test-mixed")
+    L.land_mixed(spark, sf_small, path)
+    pages = T.readings(spark, sf_small).select(F.floor(F.col("reading_id") / L.PAGE).alias("p")).distinct()
+    for name, which in (("printed", F.col("p") % 3 == 1), ("broken", F.col("p") % 5 == 0), ("broken-printed", F.col("p") % 5 == 1)):
+        files = spark.read.text(f"{path}/{name}").select(F.input_file_name()).distinct().count()
+        assert files == pages.filter(which).count() > 0, name
+    assert L.PAGES_PER_FILE == 1
