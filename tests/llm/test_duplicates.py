@@ -261,6 +261,21 @@ def test_an_earlier_part_hides_no_exact_repeat(spark):
             assert start <= 45 and end >= 95
 
 
+def test_an_earlier_part_hides_no_near_repeat(spark):
+    """The first documents with the signatures hold too little of the passage; a
+    later one has all but a word of it."""
+    docs, late = {}, []
+    for k in range(40):
+        passage, at = words(50, 17 * k), 10 * k + 1
+        for j, part in enumerate((passage[12:40], passage[6:40], passage[10:44], passage)):
+            docs[at + j] = words(30, 17 * k + 2 * j + 1) + part + words(30, 17 * k + 2 * j + 2)
+        docs[at + 4] = words(45, 17 * k + 9) + edited(passage, "change", 25) + words(20, 17 * k + 10)
+        late.append(at + 4)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: list(r["first_ids"]) for r in passages.mark_passages(df).collect()}
+    assert [i for i in late if got[i] != [i - 1]] == []
+
+
 def test_every_place_of_the_first_document_is_compared():
     """The passage stands after a part of it in the same document."""
     lost = 0
