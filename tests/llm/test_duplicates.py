@@ -305,6 +305,43 @@ def test_spans_of_signatures_are_overlaps_of_compact_windows():
         left, right = (f(trees[0][x][k], trees[1][y][k]) for k, f in enumerate((max, min)))
         assert (l, h) == (max(left, max(x, y) - least + 1), min(right, min(x, y) + least - 1))
 
+def test_signatures_follow_from_the_runs_of_minima(monkeypatch):
+    """No Python loop over the places; compact windows as by their definition."""
+
+    def loop(*_):
+        raise AssertionError("a loop over all places")
+
+    monkeypatch.setattr(passages, "_tree", loop)
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, n).astype(np.uint64) for n in (5, 8, 9, 60, 200)]
+    text, _, c, lo, hi = passages.signatures_of(texts, 8, 2)
+    for i, token in enumerate(texts):
+        own = [passages._mix(token, 2 + k) for k in (0, 1)]
+        minima = [[s + int(np.argmin(v[s : s + 8])) for s in range(len(v) - 7)] for v in own]
+        spans: dict[tuple[int, int], list[int]] = {}
+        for s, both in enumerate(zip(*minima)):
+            spans.setdefault(both, []).append(s)
+        expected = sorted((a, s[0], s[-1] + 7) for (a, _), s in spans.items())
+        here = text == i
+        assert sorted(zip(c[here].tolist(), lo[here].tolist(), hi[here].tolist())) == expected
+
+
+def test_texts_that_repeat_themselves_are_compared_under_few_shifts(monkeypatch):
+    """Every place of one text has every place of the other one as counterpart;
+    where the first shifts show all windows, the others aren't tried."""
+    line = np.random.default_rng(6).integers(0, 2**63, 50).astype(np.uint64)
+    a, b = np.tile(line, 40), np.tile(line, 30)
+    places = [(50 * i, 50 * j, max(0, 50 * i - 50), min(len(a) - 1, 50 * i + 50)) for i in range(40) for j in range(30)]
+    tried: list[int] = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            tried.append(1)
+            return np.asarray(super().__getitem__(key))
+
+    assert passages.similar_spans(a, b.view(Counted), places, ordered=np.sort(b)) == [(0, len(a))]
+    assert len(tried) < 20  # of 69 shifts
+
 
 @pytest.mark.parametrize("kind", ["insert", "delete", "change"])
 def test_recall_of_near_passages_at_the_production_setting(kind):
