@@ -326,6 +326,65 @@ def test_signatures_follow_from_the_runs_of_minima(monkeypatch):
         assert sorted(zip(c[here].tolist(), lo[here].tolist(), hi[here].tolist())) == expected
 
 
+def test_words_are_hashed_as_one_array(monkeypatch):
+    """XXH64 of every word, without a call for each short one."""
+    import pyarrow as pa
+    import xxhash
+
+    own, long = xxhash.xxh64_intdigest, []
+    texts = [None, b"", b" \n", " ".join("xY1é"[k % 4] * k for k in range(1, 70)).encode(), b" A b\tc\x0bd\x1ce  f g h\xff i ", b"a b c d", b"a b c d e"]
+    expected = []
+    for text in texts:
+        h = [own(w) for w in (text or b"").lower().split()]
+        rows = []
+        for at in range(len(h) - 4):
+            value = 0
+            for x in h[at : at + 5]:
+                value = (value * 0xD1342543DE82EF95 + x) % 2**64
+            rows.append(value)
+        expected.append(passages._mix(np.array(rows, np.uint64), 1).tolist())
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: long.append(len(w)) or own(w))
+    assert [t.tolist() for t in passages.tokens_of(pa.array([b"x"] + texts, pa.binary()).slice(1))] == expected
+    assert [passages.tokens(t).tolist() for t in texts] == expected
+    assert min(long) >= 32
+    assert passages.tokens_of(pa.array([], pa.binary())) == []
+
+
+def test_shifts_are_compared_together():
+    """Two texts with many runs in common, each under a shift of its own, are not
+    compared one shift at a time."""
+    rng = np.random.default_rng(8)
+    b = rng.integers(0, 2**63, 8000).astype(np.uint64)
+    a, places, runs = [], [], []
+    for k in range(60):
+        at = len(a)
+        places.append((at + 20, 130 * k + 20, max(0, at - 20), at + 60))
+        runs.append((at, at + 50))
+        a += [*b[130 * k : 130 * k + 50], *rng.integers(0, 2**63, 80 + k).astype(np.uint64)]
+    tried: list[int] = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            tried.append(1)
+            return np.asarray(super().__getitem__(key))
+
+    spans = passages.similar_spans(np.array(a, np.uint64), b.view(Counted), places, ordered=np.sort(b))
+    assert len(spans) == 60
+    assert all(s <= first and last <= e for (s, e), (first, last) in zip(spans, runs))
+    assert len(tried) < 20  # of 60 shifts
+
+
+def test_signatures_are_first_grouped_without_places(spark):
+    """The pass that looks for shared signatures brings them and their ids alone."""
+    docs = spark.createDataFrame([(1, 11, " ".join(words(70, 1)).encode()), (2, 12, b"too short"), (3, 13, None)], "id long, uid long, text binary")
+    every = passages._signature_rows(docs, passages.LEAST, passages.HASHES, True)
+    alone = passages._signature_rows(docs, passages.LEAST, passages.HASHES, False)
+    assert alone.columns == ["sig", "id"]
+    rows = every.collect()
+    assert rows and {r["uid"] for r in rows} == {11}
+    assert sorted(alone.collect()) == sorted((r["sig"], r["id"]) for r in rows)
+
+
 def test_texts_that_repeat_themselves_are_compared_under_few_shifts(monkeypatch):
     """Every place of one text has every place of the other one as counterpart;
     where the first shifts show all windows, the others aren't tried."""
