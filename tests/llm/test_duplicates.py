@@ -374,15 +374,24 @@ def test_shifts_are_compared_together():
     assert len(tried) < 20  # of 60 shifts
 
 
-def test_signatures_are_first_grouped_without_places(spark):
-    """The pass that looks for shared signatures brings them and their ids alone."""
-    docs = spark.createDataFrame([(1, 11, " ".join(words(70, 1)).encode()), (2, 12, b"too short"), (3, 13, None)], "id long, uid long, text binary")
-    every = passages._signature_rows(docs, passages.LEAST, passages.HASHES, True)
-    alone = passages._signature_rows(docs, passages.LEAST, passages.HASHES, False)
+def test_places_are_made_of_shared_signatures_only(spark):
+    """The first pass brings signatures and ids alone; the second one leaves out
+    what isn't shared before it leaves the task, and loses nothing that is."""
+    docs = spark.createDataFrame(
+        [(1, 11, " ".join(words(70, 1)).encode()), (2, 12, b"too short"), (3, 13, None), (4, 14, " ".join(words(900, 2)).encode())],
+        "id long, uid long, text binary",
+    )
+    alone = passages._signature_rows(docs, passages.LEAST, passages.HASHES)
     assert alone.columns == ["sig", "id"]
-    rows = every.collect()
-    assert rows and {r["uid"] for r in rows} == {11}
-    assert sorted(alone.collect()) == sorted((r["sig"], r["id"]) for r in rows)
+    every = {r["sig"] for r in alone.collect()}
+    for ids in ([1], [4], [1, 4]):
+        several = alone.filter(alone["id"].isin(ids)).select("sig")
+        places = passages._signature_rows(docs, passages.LEAST, passages.HASHES, several).collect()
+        wanted = {r["sig"] for r in several.collect()}
+        assert {r["uid"] - 10 for r in places if r["sig"] in wanted} == set(ids)
+        assert wanted <= {r["sig"] for r in places}
+        assert sum(r["sig"] not in wanted for r in places) <= 0.01 * len(every)
+    assert passages._signature_rows(docs, passages.LEAST, passages.HASHES, alone.limit(0).select("sig")).collect() == []
 
 
 def test_texts_that_repeat_themselves_are_compared_under_few_shifts(monkeypatch):
