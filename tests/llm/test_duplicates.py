@@ -276,6 +276,61 @@ def test_an_earlier_part_hides_no_near_repeat(spark):
     assert [i for i in late if got[i] != [i - 1]] == []
 
 
+def test_a_part_in_all_documents_hides_no_near_copy(spark):
+    """All have 30 words in common, which is too short, and every third is the one
+    before it with a word changed."""
+    part, docs, want = words(30, 1), {}, {}
+    for k in range(120):
+        own = words(40, 3 * k + 2) + part + words(40, 3 * k + 3)
+        if k % 3 == 2:
+            own = edited(docs[k - 1], "change", 20)
+            want[k] = [k - 1]
+        docs[k] = own
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    found = passages.mark_passages(df).collect()
+    assert {r["doc_id"]: list(r["first_ids"]) for r in found if r["n_spans"]} == want
+
+
+@pytest.mark.parametrize("kinds", [10**9, 3])
+def test_places_of_a_signature_are_searched_like_pairs_one_by_one(kinds, monkeypatch):
+    """Of each window the first earlier document that it resembles, as by a
+    comparison with each; also for texts that repeat few tokens, in small blocks."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(passages, "HOLDERS", 2)
+    rng, least = np.random.default_rng(kinds % 97), 10
+    base = [rng.integers(0, kinds, 25) for _ in range(3)]
+    rows = []
+    for sig in range(6):
+        for k in range(9):
+            text = base[int(rng.integers(3))].copy()
+            at = rng.integers(0, 25, int(rng.integers(0, 7)))
+            text[at] = rng.integers(0, kinds, len(at))
+            asks = k > 0 and k % 4 != 3
+            rows.append((sig, k // 2, 100 * sig + k, 12, 12, 4 if asks else -1, 20 if asks else -1, text))
+    cols = [pa.array([r[x] for r in rows], pa.int64()) for x in range(7)]
+    cut = [r[7].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : passages.TOKEN_WIDTH].tobytes() for r in rows]
+    batch = pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.binary())], names=["sig", "id", "uid", "c", "at", "lo", "hi", "tokens"])
+    whole = list(passages._whole_groups(batch.slice(k, 4) for k in range(0, len(rows), 4)))
+    assert [len(set(b.column(0).to_pylist())) for b in whole] == [1] * 6
+    got: dict = {}
+    for part in whole:
+        for ident, uid, first, s, e in passages.repeats_around(part, least, 0.8):
+            for t in range(s, e - passages.WORDS + 1):
+                got[uid, t] = min(first, got.get((uid, t), first))
+    want: dict = {}
+    for sig, ident, uid, c, at, lo, hi, text in rows:
+        if lo >= 0:
+            for other in rows:
+                if other[0] == sig and other[1] < ident:
+                    x, y = text[lo : hi + 1].astype(np.uint64), other[7].astype(np.uint64)
+                    for s, e in passages.similar_spans(x, y, [(c - lo, at, 0, hi - lo)], least, 0.8):
+                        for t in range(lo + s, lo + e):
+                            want[uid, t] = min(other[1], want.get((uid, t), other[1]))
+    assert len(want) > 50 and set(got) == set(want)
+    assert all(got[k] >= want[k] for k in want) and sum(got[k] != want[k] for k in want) <= 0.1 * len(want)
+
+
 def test_every_place_of_the_first_document_is_compared():
     """The passage stands after a part of it in the same document."""
     lost = 0
