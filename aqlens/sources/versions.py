@@ -63,21 +63,23 @@ def publish_table(df: DataFrame, root: str, partition_by: list[str] | None = Non
     """Publish ``df`` as Parquet and read it back from there.
 
     An empty table with partitions has no files to read the schema from, so
-    that is written beside it."""
+    that is written beside it, where readers of the whole root don't look."""
     spark = df.sparkSession
 
     def write(folder: str) -> None:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/table")
-        spark.createDataFrame([], df.schema).write.parquet(f"{folder}/schema")
+        spark.createDataFrame([], df.schema).write.parquet(f"{folder}/_schema")
 
     return _table(spark, publish(spark, root, write))
 
 
 def _table(spark: SparkSession, folder: str) -> DataFrame:
     reader = spark.read
-    if _exists(spark, f"{folder}/schema"):  # versions published before have none
-        reader = reader.schema(spark.read.parquet(f"{folder}/schema").schema)
+    for name in ("_schema", "schema"):  # versions published before have the latter or none
+        if _exists(spark, f"{folder}/{name}"):
+            reader = reader.schema(spark.read.parquet(f"{folder}/{name}").schema)
+            break
     return reader.parquet(f"{folder}/table")
 
 
